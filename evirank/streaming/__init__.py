@@ -1,0 +1,5 @@
+"""No operator of this package keeps stream state.
+
+``evirank.operators.scoring.weighted_score`` is row-wise and takes a streaming
+DataFrame as it is; ``tests/test_scoring.py`` runs it that way.
+"""
