@@ -195,11 +195,9 @@ FROM (SELECT item_id, max(tpm) AS tpm FROM matrix GROUP BY 1)
 """)
 def population_percentile(spark: SparkSession, sf: str) -> DataFrame:
     from evirank.operators.ranking import average_rank_share
-    from evirank.operators.skew import lookup_join
 
     best = t.matrix(spark, sf).groupBy("item_id").agg(F.max("tpm").alias("max_tpm"))
-    share = average_rank_share(best, "max_tpm", "share")
-    out = lookup_join(best, share, ["max_tpm"], [F.col("item_id")])
+    out = average_rank_share(best, "max_tpm", "share", [F.col("item_id")])
     return out.withColumn("share", F.round("share", 9))
 
 

@@ -335,17 +335,18 @@ FROM label_universe WHERE scored
 """)
 
 
-def label_universe(spark: SparkSession, sf: str) -> DataFrame:
+def label_universe(spark: SparkSession, sf: str, ev: DataFrame | None = None) -> DataFrame:
     from evirank.operators.labels import candidate_status, clinical_by_group, labelled_universe
 
+    ev = evidence(spark, sf) if ev is None else ev
     pairs = clinical_by_group(clinical(spark, sf), family(spark, sf))
-    return labelled_universe(candidate_status(evidence(spark, sf), RULES), pairs)
+    return labelled_universe(candidate_status(ev, RULES), pairs)
 
 
-def labels(spark: SparkSession, sf: str) -> DataFrame:
+def labels(spark: SparkSession, sf: str, ev: DataFrame | None = None) -> DataFrame:
     from evirank.operators.labels import labels_of
 
-    return labels_of(label_universe(spark, sf))
+    return labels_of(label_universe(spark, sf, ev))
 
 
 cte("feats", """
@@ -370,19 +371,20 @@ FROM feats
 """)
 
 
-def score_features(spark: SparkSession, sf: str) -> DataFrame:
+def score_features(spark: SparkSession, sf: str, ev: DataFrame | None = None) -> DataFrame:
     """Evidence, flag and display columns: what the weighted score needs."""
     from evirank.plans.features import build_feature_table
 
     return build_feature_table(
-        evidence(spark, sf), CONFIG, flags=flags(spark, sf), info=item_info(spark, sf)
+        evidence(spark, sf) if ev is None else ev, CONFIG,
+        flags=flags(spark, sf), info=item_info(spark, sf),
     )
 
 
-def weighted(spark: SparkSession, sf: str) -> DataFrame:
+def weighted(spark: SparkSession, sf: str, ev: DataFrame | None = None) -> DataFrame:
     """Weighted score, rounded so that both engines see the same ties."""
     from evirank.operators.scoring import weighted_score
 
-    return weighted_score(score_features(spark, sf)).withColumn(
+    return weighted_score(score_features(spark, sf, ev)).withColumn(
         "score", F.round("prioritization_score", 9)
     )

@@ -249,8 +249,7 @@ def centralities(
 ) -> DataFrame:
     """PageRank, its percentile over the whole graph, and betweenness, per node."""
     ranks = pagerank(graph)
-    share = average_rank_share(ranks, "pagerank", dim("network"))
-    out = lookup_join(ranks, share, ["pagerank"], [F.col("node")])
+    out = average_rank_share(ranks, "pagerank", dim("network"), [F.col("node")])
     out = out.withColumnRenamed("pagerank", NETWORK_PREFIX + "pagerank")
     if with_betweenness:
         between = betweenness(graph, k, seed)

@@ -31,35 +31,36 @@ def find_roots(
     tops = relations.select(F.col(parent).alias("node")).distinct().join(
         parents, "node", "left_anti"
     ).select("node", F.col("node").alias("root"))
-    # anc: ancestor reached so far; low: smallest id among the ancestors passed
-    open_nodes = cut_lineage(parents.withColumn("low", F.col("anc")))
-    n = open_nodes.count()
-    done = tops
-    rounds = max(1, math.ceil(math.log2(n + 1))) + 1 if n else 0
+    # anc: ancestor reached so far; low: smallest id among the ancestors passed;
+    # done: anc is a root
+    state = cut_lineage(
+        parents.join(tops.select(F.col("node").alias("anc"), F.lit(True).alias("_top")),
+                     "anc", "left")
+        .select("node", "anc", F.col("anc").alias("low"),
+                F.coalesce("_top", F.lit(False)).alias("done"))
+    )
+    n = state.count()
+    rounds = math.ceil(math.log2(n + 1)) + 1 if n else 0
     for _ in range(rounds):
-        # an ancestor without a parent of its own is a root
-        ahead = open_nodes.select(
-            F.col("node").alias("anc"), F.col("anc").alias("_next"), F.col("low").alias("_low")
-        )
-        step = cut_lineage(lookup_join(open_nodes, ahead, ["anc"], [F.col("node")]))
-        known = lookup_join(
-            step.where(F.col("_next").isNull()).select("node", "anc"),
-            done.select(F.col("node").alias("anc"), "root"), ["anc"], [F.col("node")],
+        still = state.where(~F.col("done"))
+        if still.isEmpty():
+            break
+        ahead = state.select(
+            F.col("node").alias("anc"), F.col("anc").alias("_next"), F.col("low").alias("_low"),
+            F.col("done").alias("_done"),
         )
-        done = cut_lineage(
-            done.unionByName(known.select("node", F.coalesce("root", "anc").alias("root")))
+        stepped = lookup_join(still, ahead, ["anc"], [F.col("node")], "inner").select(
+            "node", F.col("_next").alias("anc"), F.least("low", "_low").alias("low"),
+            F.col("_done").alias("done"),
         )
-        open_nodes = cut_lineage(
-            step.where(F.col("_next").isNotNull()).select(
-                "node", F.col("_next").alias("anc"), F.least("low", "_low").alias("low")
-            )
-        )
-        if open_nodes.isEmpty():
-            return done
-    # only cycles are left: every ancestor now lies on its cycle and has gone round it
-    low = open_nodes.select(F.col("node").alias("anc"), F.col("low").alias("_low"))
-    cyclic = lookup_join(open_nodes.select("node", "anc"), low, ["anc"], [F.col("node")])
-    return done.unionByName(cyclic.select("node", F.coalesce("_low", "anc").alias("root")))
+        state = cut_lineage(state.where("done").unionByName(stepped))
+    found = tops.unionByName(state.where("done").select("node", F.col("anc").alias("root")))
+    # what is left leads into a cycle: the ancestor reached lies on it and has gone round it
+    cyclic = state.where(~F.col("done")).select("node", "anc")
+    low = state.select(F.col("node").alias("anc"), F.col("low").alias("root"))
+    return found.unionByName(
+        lookup_join(cyclic, low, ["anc"], [F.col("node")], "inner").select("node", "root")
+    )
 
 
 def with_roots(

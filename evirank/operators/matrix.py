@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from evirank.columns import EXPRESSION_PREFIX, ITEM, dim, missing
 from evirank.functions.text import QUERY_STOPWORDS, tokens
 from evirank.operators.ranking import average_rank_share
-from evirank.operators.skew import lookup_join
 
 # Detection is strictly above this in features, at or above it in filters.
 DETECTION_LEVEL = 1.0
@@ -106,9 +105,8 @@ def population_percentile(
     relevant = cells.join(cols, variable).groupBy(*keys, item).agg(
         F.round(F.avg(value), 10).alias(RELEVANT)
     )
-    share = average_rank_share(relevant, RELEVANT, dim("expression"), keys)
-    # half of a matrix can share one value (0), so spread that value's rows
-    return lookup_join(relevant, share, [*keys, RELEVANT], [F.col(item)])
+    # half of a matrix can share one value (0): that value's rows are spread
+    return average_rank_share(relevant, RELEVANT, dim("expression"), [F.col(item)], keys)
 
 
 def expression_features(

@@ -165,9 +165,9 @@ def threshold_metrics(
 def evaluate(
     scored: DataFrame, labels: DataFrame, ranking: tuple[str, ...] = RANKING_METRICS,
     classification: tuple[str, ...] = (), keys: list[str] | None = None, group: str = GROUP,
-    item: str = ITEM, score: str = "score",
+    item: str = ITEM, score: str = "score", digits: int | None = DIGITS,
 ) -> DataFrame:
-    """All metrics, one row per key, rounded to 10 digits."""
+    """All metrics, one row per key, rounded (``digits=None`` keeps them for averaging)."""
     keys = keys or [group]
     unknown = [c for c in classification if c not in CLASSIFICATION_METRICS]
     if unknown:
@@ -179,9 +179,8 @@ def evaluate(
     if {"precision", "recall", "f1", "brier_score"} & set(classification):
         out = out.join(threshold_metrics(ranked, keys, score), keys, "left")
     names = [*ranking, *classification]
-    return out.select(
-        *keys, "n_candidates", "n_positive", *[F.round(n, DIGITS).alias(n) for n in names]
-    )
+    out = out.select(*keys, "n_candidates", "n_positive", *names)
+    return out if digits is None else out.withColumns({n: F.round(n, digits) for n in names})
 
 
 def mean_over_groups(

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from evirank.operators.skew import lookup_join
 from evirank.session import cut_lineage
 
 _OFFSET_BITS = 33  # monotonically_increasing_id keeps the row position in the low 33 bits
@@ -107,13 +108,15 @@ def top_n(
 
 
 def average_rank_share(
-    df: DataFrame, value: str, out: str, groups: list[str] | None = None
+    df: DataFrame, value: str, out: str, spread_by: list[Column], groups: list[str] | None = None
 ) -> DataFrame:
-    """Distinct values with their average-method rank divided by the non-null count.
+    """Average-method rank divided by the non-null count, per group; null stays null.
 
-    Ranks distinct values with their counts, so ties cost nothing.
+    Ranks the distinct values with their counts, so ties cost nothing, and joins
+    the shares back by value with frequent values spread.
     """
     groups = groups or []
+    df = cut_lineage(df)
     counts = (
         df.where(F.col(value).isNotNull()).groupBy(*groups, value)
         .agg(F.count(F.lit(1)).alias("_n"))
@@ -122,7 +125,10 @@ def average_rank_share(
         counts, groups, [F.col(value).asc()], {"_cum": "_n"}, rank=None, totals={"_all": "_n"}
     )
     mean_rank = F.col("_cum") - F.col("_n") + (F.col("_n") + 1) / 2.0
-    return cum.select(*groups, value, (mean_rank / F.col("_all")).alias(out))
+    shares = cum.select(*groups, value, "_n", (mean_rank / F.col("_all")).alias(out))
+    return lookup_join(
+        df, shares.drop("_n"), [*groups, value], spread_by, counts=shares.drop(out)
+    )
 
 
 def exact_median(df: DataFrame, keys: list[str], value: str, out: str = "median") -> DataFrame:

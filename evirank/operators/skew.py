@@ -11,14 +11,14 @@ MAX_HOT_KEYS = 1000
 MIN_HOT_ROWS = 1_000_000
 
 
-def hot_keys(df: DataFrame, keys: list[str], min_rows: int = MIN_HOT_ROWS) -> DataFrame:
+def hot_keys(counts: DataFrame, keys: list[str], n: str, min_rows: int = MIN_HOT_ROWS
+             ) -> DataFrame:
     """``keys, _copies`` for the keys that carry too many rows for one task."""
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     cut = counts.agg(
-        F.greatest(F.lit(float(min_rows)), F.sum("_n") / F.lit(float(MAX_HOT_KEYS)))
+        F.greatest(F.lit(float(min_rows)), F.sum(n) / F.lit(float(MAX_HOT_KEYS)))
     ).scalar()
-    return counts.where(F.col("_n") > cut).select(
-        *keys, F.ceil(F.col("_n") / cut).cast("int").alias("_copies")
+    return counts.where(F.col(n) > cut).select(
+        *keys, F.ceil(F.col(n) / cut).cast("int").alias("_copies")
     )
 
 
@@ -29,21 +29,24 @@ def lookup_join(
     spread_by: list[Column],
     how: str = "left",
     min_rows: int = MIN_HOT_ROWS,
+    counts: DataFrame | None = None,
+    n: str = "_n",
 ) -> DataFrame:
-    """Join ``left`` to a ``right`` side that is unique per key.
+    """Join ``left`` to a ``right`` side with few rows per key.
 
     Rows of a hot key are spread over several tasks by a hash of ``spread_by``
-    and the one matching row of ``right`` is repeated for each of them. Keys
-    that are not hot are joined as they are.
+    and the matching rows of ``right`` are repeated for each of them. Keys that
+    are not hot are joined as they are. ``counts`` gives the rows per key of
+    ``left`` (column ``n``) where the caller has them already.
     """
-    hot = F.broadcast(hot_keys(left, keys, min_rows))
+    if counts is None:
+        counts = left.groupBy(*keys).agg(F.count(F.lit(1)).alias(n))
+    hot = F.broadcast(hot_keys(counts, keys, n, min_rows))
+    copies = F.coalesce(F.col("_copies"), F.lit(1))
     salted_left = left.join(hot, keys, "left").withColumn(
-        "_salt",
-        F.when(F.col("_copies").isNull(), F.lit(0)).otherwise(
-            F.pmod(F.xxhash64(*spread_by), F.col("_copies")).cast("int")
-        ),
+        "_salt", F.pmod(F.xxhash64(*spread_by), copies).cast("int")
     ).drop("_copies")
     salted_right = right.join(hot, keys, "left").withColumn(
-        "_salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_copies"), F.lit(1)) - 1))
+        "_salt", F.explode(F.sequence(F.lit(0), copies - 1))
     ).drop("_copies")
     return salted_left.join(salted_right, [*keys, "_salt"], how).drop("_salt")
