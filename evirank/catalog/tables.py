@@ -364,6 +364,9 @@ SELECT group_id, item_id, symbol,
        round(0.4 * coalesce(dim__genetics, 0) + 0.2 * coalesce(dim__evidence_diversity, 0)
          + 0.15 * coalesce(dim__functional, 0) + 0.15 * coalesce(dim__literature, 0)
          + 0.1 * coalesce(dim__druggability, 0), 9) AS score,
+       0.4 * coalesce(dim__genetics, 0) + 0.2 * coalesce(dim__evidence_diversity, 0)
+         + 0.15 * coalesce(dim__functional, 0) + 0.15 * coalesce(dim__literature, 0)
+         + 0.1 * coalesce(dim__druggability, 0) AS raw,
        ((dim__genetics IS NOT NULL)::INT + (dim__evidence_diversity IS NOT NULL)::INT
          + (dim__functional IS NOT NULL)::INT + (dim__literature IS NOT NULL)::INT
          + (dim__druggability IS NOT NULL)::INT) / 5.0 AS completeness

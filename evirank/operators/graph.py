@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 
 from evirank.columns import MISSING_PREFIX, NETWORK_PREFIX, dim
 from evirank.operators.ranking import average_rank_share, top_n
-from evirank.operators.skew import lookup_join
 from evirank.session import cut_lineage
 
 # Score bands and walk parameters.
@@ -59,7 +58,6 @@ def collapse_edges(
 def translate_edges(
     raw: DataFrame, lookup: DataFrame, min_score: float = MIN_SCORE, left: str = "raw_a",
     right: str = "raw_b", score: str = "score", raw_id: str = "raw_id", node: str = "node",
-    min_hot_rows: int = 1_000_000,
 ) -> DataFrame:
     """Threshold, translate both endpoints (inner), drop self-loops, collapse.
 
@@ -70,9 +68,8 @@ def translate_edges(
     )
     pairs = lookup.select(F.col(raw_id).alias(left), F.col(node).alias("a")).distinct()
     pairs_b = lookup.select(F.col(raw_id).alias(right), F.col(node).alias("b")).distinct()
-    one = lookup_join(kept, pairs, [left], [F.col(right)], "inner", min_hot_rows)
-    two = lookup_join(one, pairs_b, [right], [F.col(left), F.col("a")], "inner", min_hot_rows)
-    return collapse_edges(two, "a", "b", score)
+    both = kept.join(pairs, left).join(pairs_b, right)
+    return collapse_edges(both, "a", "b", score)
 
 
 def symmetric(edges: DataFrame) -> DataFrame:

@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 from evirank.columns import ITEM, MISSING_PREFIX, PATHWAY_PREFIX, dim
 from evirank.functions.numeric import saturate
-from evirank.operators.skew import lookup_join
 from evirank.session import cut_lineage
 
 ROOT_SATURATION = 5
@@ -49,7 +48,7 @@ def find_roots(
             F.col("node").alias("anc"), F.col("anc").alias("_next"), F.col("low").alias("_low"),
             F.col("done").alias("_done"),
         )
-        stepped = lookup_join(still, ahead, ["anc"], [F.col("node")], "inner").select(
+        stepped = still.join(ahead, "anc").select(
             "node", F.col("_next").alias("anc"), F.least("low", "_low").alias("low"),
             F.col("_done").alias("done"),
         )
@@ -58,18 +57,15 @@ def find_roots(
     # what is left leads into a cycle: the ancestor reached lies on it and has gone round it
     cyclic = state.where(~F.col("done")).select("node", "anc")
     low = state.select(F.col("node").alias("anc"), F.col("low").alias("root"))
-    return found.unionByName(
-        lookup_join(cyclic, low, ["anc"], [F.col("node")], "inner").select("node", "root")
-    )
+    return found.unionByName(cyclic.join(low, "anc").select("node", "root"))
 
 
 def with_roots(
-    memberships: DataFrame, roots: DataFrame, node: str = "pathway_id", item: str = ITEM
+    memberships: DataFrame, roots: DataFrame, node: str = "pathway_id"
 ) -> DataFrame:
     """Attach the root of each membership's node; an unknown node is its own root."""
-    joined = lookup_join(
-        memberships, roots.select(F.col("node").alias(node), F.col("root").alias("_root")),
-        [node], [F.col(item)],
+    joined = memberships.join(
+        roots.select(F.col("node").alias(node), F.col("root").alias("_root")), node, "left"
     )
     return joined.withColumn("root_id", F.coalesce("_root", node)).drop("_root")
 
@@ -80,7 +76,7 @@ def memberships_of(
 ) -> DataFrame:
     """Membership rows of the requested items with their roots; all rows kept."""
     kept = memberships.join(universe.select(item).distinct(), item, "left_semi")
-    return with_roots(kept, roots, node, item)
+    return with_roots(kept, roots, node)
 
 
 def root_features(universe: DataFrame, rooted: DataFrame, item: str = ITEM) -> DataFrame:
@@ -141,7 +137,7 @@ def membership_detail(
     names_unique = names.groupBy(F.col("node").alias("root_id")).agg(
         F.min("name").alias("root_name")
     )
-    named = lookup_join(unique, names_unique, ["root_id"], [F.col(item), F.col(node)])
+    named = unique.join(names_unique, "root_id", "left")
     return named.withColumn("root_name", F.coalesce("root_name", "root_id"))
 
 

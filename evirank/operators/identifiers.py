@@ -77,13 +77,15 @@ def symbol_lookup(
     One pass over the table; a column that is absent contributes nothing.
     """
     kinds = [(approved, "approved", 0), (previous, "previous", 1), (alias, "alias", 2)]
-    packed = F.concat(*[
-        F.transform(
-            F.coalesce(unpack(F.col(c)), F.array().cast("array<string>")),
-            lambda s, kind=kind, p=p: F.struct(
-                s.alias("symbol"), F.lit(kind).alias("symbol_kind"), F.lit(p).alias("priority")
-            ),
+    none = F.array().cast("array<string>")
+
+    def tagged(kind: str, priority: int):  # noqa: ANN202
+        return lambda s: F.struct(
+            s.alias("symbol"), F.lit(kind).alias("symbol_kind"), F.lit(priority).alias("priority")
         )
+
+    packed = F.concat(*[
+        F.transform(F.coalesce(unpack(F.col(c)), none), tagged(kind, p))
         for c, kind, p in kinds if c in table.columns
     ])
     known = table.where(F.col(item).isNotNull() & (F.trim(item) != ""))

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evirank.columns import GROUP, ITEM, source_count, source_score
+from evirank.columns import GROUP, ITEM, missing, source_count, source_score
 from evirank.functions.text import snake_case
 from evirank.operators.evidence import (
     DEFAULT_RULES,
@@ -17,7 +17,7 @@ from evirank.operators.evidence import (
     stale_rules,
     violations,
 )
-from evirank.operators.scoring import label_derived, select_features
+from evirank.operators.scoring import DISPLAY_CATEGORIES, label_derived, select_features
 
 
 class SchemaError(ValueError):
@@ -187,10 +187,7 @@ def acceptance_suite(
 
     leaked = [c for c in features.columns if label_derived(c)]
     can_fire = any(label_derived(c) for c in display.columns)
-    any_missing = reduce(
-        lambda a, b: a | b,
-        [F.col(c) == 1 for c in features.columns if c.startswith("missing__")],
-    )
+    any_missing = reduce(lambda a, b: a | b, [F.col(missing(c)) == 1 for c in DISPLAY_CATEGORIES])
     checks = [
         value_check(features, "label columns in the scored table", F.max(F.lit(len(leaked)))),
         value_check(features, "leakage check can fire", F.max(F.lit(0 if can_fire else 1))),

@@ -127,7 +127,7 @@ def average_rank_share(
     mean_rank = F.col("_cum") - F.col("_n") + (F.col("_n") + 1) / 2.0
     shares = cum.select(*groups, value, "_n", (mean_rank / F.col("_all")).alias(out))
     return lookup_join(
-        df, shares.drop("_n"), [*groups, value], spread_by, counts=shares.drop(out)
+        df, shares.drop("_n"), [*groups, value], spread_by, shares.drop(out)
     )
 
 

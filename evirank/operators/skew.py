@@ -27,20 +27,19 @@ def lookup_join(
     right: DataFrame,
     keys: list[str],
     spread_by: list[Column],
+    counts: DataFrame,
+    n: str = "_n",
     how: str = "left",
     min_rows: int = MIN_HOT_ROWS,
-    counts: DataFrame | None = None,
-    n: str = "_n",
 ) -> DataFrame:
-    """Join ``left`` to a ``right`` side with few rows per key.
+    """Join ``left`` to a ``right`` side with few rows per key, hot keys spread.
 
-    Rows of a hot key are spread over several tasks by a hash of ``spread_by``
-    and the matching rows of ``right`` are repeated for each of them. Keys that
-    are not hot are joined as they are. ``counts`` gives the rows per key of
-    ``left`` (column ``n``) where the caller has them already.
+    For callers that know the rows per key of ``left`` already (``counts``,
+    column ``n``): rows of a hot key go to several tasks by a hash of
+    ``spread_by``, and the matching rows of ``right`` are repeated for each of
+    them. A join without such counts is left to adaptive execution, which splits
+    skewed partitions of a shuffled join without another pass over the data.
     """
-    if counts is None:
-        counts = left.groupBy(*keys).agg(F.count(F.lit(1)).alias(n))
     hot = F.broadcast(hot_keys(counts, keys, n, min_rows))
     copies = F.coalesce(F.col("_copies"), F.lit(1))
     salted_left = left.join(hot, keys, "left").withColumn(
