@@ -168,11 +168,32 @@ def tau_specificity(spark: SparkSession, sf: str) -> DataFrame:
     return out.withColumn(matrix.SPECIFICITY, F.round(matrix.SPECIFICITY, 6))
 
 
-@query("token_set_match", "SELECT group_id, query, tissue FROM matched")
-def token_set_match(spark: SparkSession, sf: str) -> DataFrame:
+@query("relevant_tissues", "SELECT group_id, query, tissue FROM matched")
+def relevant_tissues(spark: SparkSession, sf: str) -> DataFrame:
     return t.matched(spark, sf)
 
 
+_TEXT_QUERIES = ["ring small", "Brand#2, blue tissue", "hot-rod", "plate", "no such part", "tissue"]
+_TEXT_VALUES = ", ".join(f"('{q}')" for q in _TEXT_QUERIES)
+
+
+@query("token_set_match", f"""
+WITH q AS (SELECT query, list_filter(string_split_regex(lower(query), '[^a-z0-9]+'),
+                                     lambda x: x <> '' AND x <> 'tissue') AS tokens
+           FROM (VALUES {_TEXT_VALUES}) AS v(query)),
+c AS (SELECT DISTINCT p_name || '_' || p_brand || '_' || p_type AS tissue FROM part)
+SELECT query, tissue FROM q LEFT JOIN c
+  ON len(tokens) > 0
+ AND list_has_all(string_split_regex(lower(tissue), '[^a-z0-9]+'), tokens)
+""")
+def token_set_match(spark: SparkSession, sf: str) -> DataFrame:
+    """Free-text queries against the descriptions of all parts."""
+    asked = t.rows(spark, [(q,) for q in _TEXT_QUERIES], "query STRING")
+    described = t.read(spark, sf, "part", "p_name", "p_brand", "p_type").select(
+        F.concat_ws("_", "p_name", "p_brand", "p_type").alias("tissue"))
+    return matrix.match_columns(asked, described)
+
+
 cte("relevant", """
 SELECT m.group_id, x.item_id, round(avg(x.tpm), 6) AS tpm
 FROM (SELECT DISTINCT group_id, tissue FROM matched WHERE tissue IS NOT NULL) m

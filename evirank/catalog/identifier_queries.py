@@ -202,49 +202,51 @@ def text_normalize(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-cte("nation_groups", f"""
-SELECT lower(n_name) AS key, replace(n_name, '_', '-') AS name, r_name AS resolved_name,
-       {_norm("replace(n_name, '_', '-')")} AS n, n_nationkey
-FROM nation JOIN region ON n_regionkey = r_regionkey
+cte("named_groups", f"""
+SELECT 'key_' || s_suppkey AS key, s_name AS name, n_name AS resolved_name, {_norm('s_name')} AS n,
+       s_suppkey
+FROM supplier JOIN nation ON s_nationkey = n_nationkey
 """)
 
 
-def _nation_groups(spark: SparkSession, sf: str) -> DataFrame:
-    region = t.read(spark, sf, "region")
-    return t.read(spark, sf, "nation").join(
-        region, F.col("n_regionkey") == F.col("r_regionkey")
+def _named_groups(spark: SparkSession, sf: str) -> DataFrame:
+    nation = t.read(spark, sf, "nation", "n_nationkey", "n_name")
+    return t.read(spark, sf, "supplier", "s_suppkey", "s_name", "s_nationkey").join(
+        nation, F.col("s_nationkey") == F.col("n_nationkey")
     ).select(
-        F.lower("n_name").alias("key"), F.translate("n_name", "_", "-").alias("name"),
-        F.col("r_name").alias("resolved_name"), "n_nationkey",
+        F.concat(F.lit("key_"), "s_suppkey").alias("key"), F.col("s_name").alias("name"),
+        F.col("n_name").alias("resolved_name"), "s_suppkey",
     )
 
 
 @query("group_search", f"""
-SELECT name, resolved_name, n_suppliers, row_number() OVER (ORDER BY n <> 'nation 1', name) AS position
-FROM nation_groups LEFT JOIN
-  (SELECT s_nationkey AS n_nationkey, count(*) AS n_suppliers FROM supplier GROUP BY 1)
-  USING (n_nationkey)
+SELECT key, name, resolved_name, n_items,
+       row_number() OVER (ORDER BY n <> 'nation 1', name, key) AS position
+FROM named_groups LEFT JOIN
+  (SELECT l_suppkey AS s_suppkey, count(DISTINCT l_partkey) AS n_items FROM lineitem GROUP BY 1)
+  USING (s_suppkey)
 WHERE contains(n, 'nation 1') OR contains({_norm("replace(key, '_', ' ')")}, 'nation 1')
    OR contains({_norm('resolved_name')}, 'nation 1')
-ORDER BY position LIMIT 8
+ORDER BY position LIMIT 25
 """)
 def group_search(spark: SparkSession, sf: str) -> DataFrame:
-    counts = t.read(spark, sf, "supplier", "s_nationkey").groupBy(
-        F.col("s_nationkey").alias("n_nationkey")
-    ).agg(F.count(F.lit(1)).alias("n_suppliers"))
+    """Suppliers found by name, key or nation, with their item counts."""
+    counts = t.read(spark, sf, "lineitem", "l_suppkey", "l_partkey").groupBy(
+        F.col("l_suppkey").alias("s_suppkey")
+    ).agg(F.countDistinct("l_partkey").alias("n_items"))
     found = ids.search_groups(
-        _nation_groups(spark, sf), "Nation'1".replace("'", " "), 8,
-        resolved_name="resolved_name", details=counts, details_on="n_nationkey",
+        _named_groups(spark, sf), "NATION - 1", 25, resolved_name="resolved_name",
+        details=counts, details_on="s_suppkey",
     )
-    return found.select("name", "resolved_name", "n_suppliers", "position")
+    return found.select("key", "name", "resolved_name", "n_items", "position")
 
 
 @query("prefix_suggest", """
-SELECT name, row_number() OVER (ORDER BY name) AS position FROM nation_groups
-WHERE starts_with(n, 'nation 2') ORDER BY name LIMIT 4
+SELECT name, row_number() OVER (ORDER BY name) AS position FROM named_groups
+WHERE starts_with(n, 'supplier 00000001') ORDER BY name LIMIT 4
 """)
 def prefix_suggest(spark: SparkSession, sf: str) -> DataFrame:
-    return ids.suggest(_nation_groups(spark, sf), "NATION-2", 4)
+    return ids.suggest(_named_groups(spark, sf), "Supplier#00000001", 4)
 
 
 @query("search_url", """

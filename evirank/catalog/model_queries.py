@@ -1 +1,163 @@
-"""placeholder"""
+"""Held-out training, attributions and explanations. Fits have no SQL form, so most have no oracle."""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from evirank.catalog import query
+from evirank.catalog import label_queries  # noqa: F401  (registers the label blocks)
+from evirank.catalog import tables as t
+from evirank.operators import attributions as at
+from evirank.operators import models as md
+from evirank.operators.evidence import LeakageError
+from evirank.operators.quality import leakage_probe
+from evirank.operators.scoring import select_features
+from evirank.plans import training as tr
+from evirank.session import cut_lineage, ensure_checkpoint_dir
+
+LOGISTIC = {"max_iter": 50}
+FOREST = {"trees": 20, "max_depth": 6}
+BOOSTED = {"rounds": 10, "max_depth": 4}
+ALL_MODELS = {
+    "weighted_baseline": {}, "logistic_regression": LOGISTIC, "random_forest": FOREST,
+    "boosted_trees": BOOSTED,
+}
+
+
+def inputs(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    shared = cut_lineage(t.evidence(spark, sf))
+    feats = cut_lineage(t.score_features(spark, sf, shared))
+    return feats, cut_lineage(t.labels(spark, sf, shared))
+
+
+def new_folder(spark: SparkSession) -> str:
+    """A fresh model folder beside the checkpoints, on the storage all executors share."""
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/models-{uuid.uuid4().hex}"
+
+
+@query("lodo_split", """
+SELECT group_id, count(*) AS n_test, (SELECT count(*) FROM dims) - count(*) AS n_train
+FROM dims GROUP BY 1
+""")
+def lodo_split(spark: SparkSession, sf: str) -> DataFrame:
+    return md.fold_sizes(t.score_features(spark, sf))
+
+
+_MEDIAN_COLUMNS = ["dim__genetics", "dim__functional", "dim__druggability", "n_evidence_types"]
+
+
+@query("fold_medians", " UNION ALL ".join(
+    f"""SELECT g.group_id AS fold, '{c}' AS "column", median({c}::DOUBLE) AS median
+    FROM (SELECT DISTINCT group_id FROM dims) g JOIN feats f ON f.group_id <> g.group_id
+    JOIN label_table v ON v.group_id = f.group_id AND v.item_id = f.item_id
+    WHERE label IS NOT NULL GROUP BY 1""" for c in _MEDIAN_COLUMNS
+))
+def fold_medians(spark: SparkSession, sf: str) -> DataFrame:
+    """The imputation values each fold learns from its training rows."""
+    feats, labels = inputs(spark, sf)
+    rows = md.training_slice(feats, labels, _MEDIAN_COLUMNS)
+    by_fold = md.fold_medians(rows, _MEDIAN_COLUMNS, md.group_values(feats))
+    flat = [(g, c, m) for g, values in by_fold.items() for c, m in values.items()]
+    return spark.createDataFrame(flat, "fold STRING, column STRING, median DOUBLE")
+
+
+def _lodo(name: str, params: dict):  # noqa: ANN202
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        feats, labels = inputs(spark, sf)
+        return tr.leave_one_group_out(feats, labels, {name: params}, rules=t.RULES)
+
+    return run
+
+
+query("logistic_lodo")(_lodo("logistic_regression", LOGISTIC))
+query("forest_lodo")(_lodo("random_forest", FOREST))
+query("boosted_lodo")(_lodo("boosted_trees", BOOSTED))
+
+
+@query("baseline_scores", """
+SELECT 'popularity' AS method, group_id, item_id, n_other_groups_positive::DOUBLE AS score FROM popular
+UNION ALL SELECT 'random', group_id, item_id,
+  ('0x' || substr(md5('42|' || group_id || '|' || item_id), 1, 8))::BIGINT / 4294967296.0 FROM dims
+UNION ALL SELECT 'overall_score', d.group_id, d.item_id, e.score
+FROM dims d LEFT JOIN (SELECT * FROM ev WHERE source = '5-LOW') e USING (group_id, item_id)
+""")
+def baseline_scores(spark: SparkSession, sf: str) -> DataFrame:
+    shared = cut_lineage(t.evidence(spark, sf))
+    from evirank.operators.evidence import drop_denied_sources, overall_scores
+
+    pairs = drop_denied_sources(shared, t.RULES)
+    overall = overall_scores(shared, None, "5-LOW", kind_col="source")
+    return tr.baseline_scores(pairs, t.labels(spark, sf, shared), overall)
+
+
+def _attributions(spark: SparkSession, sf: str, name: str, params: dict
+                  ) -> tuple[DataFrame, md.FittedModel, DataFrame]:
+    feats, labels = inputs(spark, sf)
+    fitted = md.train(feats, labels, name, params, rules=t.RULES)
+    path = None
+    if name != "logistic_regression":
+        path = new_folder(spark)
+        md.save_model(fitted, spark, path)
+    return feats, fitted, at.shap_values(fitted, feats, path)
+
+
+@query("attributions_linear")
+def attributions_linear(spark: SparkSession, sf: str) -> DataFrame:
+    return _attributions(spark, sf, "logistic_regression", LOGISTIC)[2]
+
+
+@query("attributions_forest")
+def attributions_forest(spark: SparkSession, sf: str) -> DataFrame:
+    return _attributions(spark, sf, "random_forest", FOREST)[2]
+
+
+@query("attributions_boosted")
+def attributions_boosted(spark: SparkSession, sf: str) -> DataFrame:
+    return _attributions(spark, sf, "boosted_trees", BOOSTED)[2]
+
+
+@query("feature_importance")
+def feature_importance(spark: SparkSession, sf: str) -> DataFrame:
+    return at.feature_importance(attributions_boosted(spark, sf))
+
+
+@query("explain_pairs")
+def explain_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    feats, fitted, values = _attributions(spark, sf, "boosted_trees", BOOSTED)
+    return at.explain_pairs(feats, fitted.score(feats), values)
+
+
+@query("held_out_scores")
+def held_out_scores(spark: SparkSession, sf: str) -> DataFrame:
+    """Saved fold models, loaded again and routed to the group each did not see."""
+    feats, labels = inputs(spark, sf)
+    folder = new_folder(spark)
+    tr.leave_one_group_out(feats, labels, {"boosted_trees": BOOSTED}, rules=t.RULES, save_to=folder)
+    return tr.held_out_scores(feats, folder)
+
+
+@query("full_evaluation")
+def full_evaluation(spark: SparkSession, sf: str) -> DataFrame:
+    """All fitted models, baselines and the ablation, held out, averaged over groups."""
+    feats, labels = inputs(spark, sf)
+    run = tr.run_evaluation(feats, labels, ALL_MODELS, t.DIMENSIONS["literature"], rules=t.RULES,
+                            min_wins=4)
+    return run.means.unionByName(run.means_novel.withColumn(
+        "method", F.concat("method", F.lit("_novel_only"))))
+
+
+@query("leakage_probe", """
+SELECT count(*) AS n_rows, true AS refused FROM dims
+""")
+def probe(spark: SparkSession, sf: str) -> DataFrame:
+    """An injected forbidden column must be refused, on the real feature table."""
+    feats = t.score_features(spark, sf)
+    leakage_probe(feats, t.RULES, "assoc_ds__5-LOW_score")
+    try:
+        select_features(feats.withColumn("label", F.lit(1)), t.RULES, exclude=set())
+    except LeakageError:
+        raise AssertionError("the label is an id column, not a feature") from None
+    return feats.agg(F.count(F.lit(1)).alias("n_rows")).withColumn("refused", F.lit(True))

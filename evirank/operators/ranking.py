@@ -137,13 +137,20 @@ def exact_median(df: DataFrame, keys: list[str], value: str, out: str = "median"
         df.where(F.col(value).isNotNull()).groupBy(*keys, value)
         .agg(F.count(F.lit(1)).alias("_n"))
     )
+    return median_of_counts(counts, keys, value, "_n", out)
+
+
+def median_of_counts(
+    counts: DataFrame, keys: list[str], value: str, n: str, out: str = "median"
+) -> DataFrame:
+    """Median per key of a table of distinct values with their counts."""
     cum = running_totals(
-        counts, keys, [F.col(value).asc()], {"_cum": "_n"}, rank=None, totals={"_all": "_n"}
+        counts, keys, [F.col(value).asc()], {"_cum": n}, rank=None, totals={"_all": n}
     )
     low, high = F.floor((F.col("_all") + 1) / 2), F.floor(F.col("_all") / 2) + 1
 
     def holds(position: Column) -> Column:
-        return (position > F.col("_cum") - F.col("_n")) & (position <= F.col("_cum"))
+        return (position > F.col("_cum") - F.col(n)) & (position <= F.col("_cum"))
 
     middle = cum.where(holds(low) | holds(high))
     pair = (
