@@ -7,6 +7,7 @@ with running counts feeds the threshold-free ones. No group is ever collected.
 
 from __future__ import annotations
 
+import math
 import re
 
 from pyspark.sql import Column, DataFrame
@@ -27,31 +28,42 @@ HIT_RATE_K = 10
 THRESHOLD = 0.5
 DIGITS = 10
 
-_LABEL, _RANK = F.col(LABEL).cast("double"), F.col("rank")
-_POSITIVES, _ROWS = F.sum(LABEL).cast("double"), F.count(F.lit(1)).cast("double")
+
+def _label() -> Column:
+    return F.col(LABEL).cast("double")
+
+
+def _rank() -> Column:
+    return F.col("rank")
+
+
+def _positives() -> Column:
+    return F.sum(LABEL).cast("double")
+
+
+def _rows() -> Column:
+    return F.count(F.lit(1)).cast("double")
 
 
 def _has_positives(value: Column) -> Column:
-    return F.when(_POSITIVES > 0, value)
+    return F.when(_positives() > 0, value)
 
 
 def precision_at(k: int) -> Column:
-    hits = F.count_if((_RANK <= k) & (F.col(LABEL) == 1))
-    return F.when(_ROWS > 0, hits / F.least(F.lit(float(k)), _ROWS)).otherwise(F.lit(0.0))
+    hits = F.count_if((_rank() <= k) & (F.col(LABEL) == 1))
+    return F.when(_rows() > 0, hits / F.least(F.lit(float(k)), _rows())).otherwise(F.lit(0.0))
 
 
 def recall_at(k: int) -> Column:
-    hits = F.count_if((_RANK <= k) & (F.col(LABEL) == 1))
-    return _has_positives(hits / _POSITIVES)
+    hits = F.count_if((_rank() <= k) & (F.col(LABEL) == 1))
+    return _has_positives(hits / _positives())
 
 
 def ndcg_at(k: int) -> Column:
     """Binary NDCG; the ideal list holds min(positives, k, rows) hits."""
-    gain = F.sum(F.when(_RANK <= k, _LABEL * dcg_discount(_RANK)).otherwise(F.lit(0.0)))
-    ideal_hits = F.least(_POSITIVES, F.lit(float(k)), _ROWS).cast("int")
+    gain = F.sum(F.when(_rank() <= k, _label() * dcg_discount(_rank())).otherwise(F.lit(0.0)))
+    ideal_hits = F.least(_positives(), F.lit(float(k)), _rows()).cast("int")
     prefix, running = [0.0], 0.0
-    import math
-
     for i in range(1, k + 1):
         running += 1.0 / math.log2(i + 1)
         prefix.append(running)
@@ -61,15 +73,15 @@ def ndcg_at(k: int) -> Column:
 
 def average_precision() -> Column:
     """Needs ``rank`` and the running number of positives ``hits``."""
-    return _has_positives(F.sum(_LABEL * F.col("hits") / _RANK) / _POSITIVES)
+    return _has_positives(F.sum(_label() * F.col("hits") / _rank()) / _positives())
 
 
 def reciprocal_rank() -> Column:
-    return F.lit(1.0) / F.min(F.when(F.col(LABEL) == 1, _RANK))
+    return F.lit(1.0) / F.min(F.when(F.col(LABEL) == 1, _rank()))
 
 
 def hit_rate(k: int = HIT_RATE_K) -> Column:
-    return _has_positives(F.max(F.when(_RANK <= k, _LABEL).otherwise(F.lit(0.0))))
+    return _has_positives(F.max(F.when(_rank() <= k, _label()).otherwise(F.lit(0.0))))
 
 
 _AT_K = {"precision": precision_at, "recall": recall_at, "ndcg": ndcg_at}
