@@ -62,7 +62,7 @@ def export_ranking(shown: DataFrame, n_total: int, path: str) -> int:
         shown.select(*columns).withColumns(
             {"n_exported": F.lit(n_shown), "n_total": F.lit(n_total)}
         )
-        .orderBy("rank").write.mode("overwrite").option("header", True)
+        .orderBy("rank").write.mode("overwrite").option("header", True).option("escape", '"')
         .csv(f"{path.rstrip('/')}_{n_shown}_of_{n_total}")
     )
     return n_shown
