@@ -31,13 +31,19 @@ EDGES_PER_TASK = 500_000
 
 @dataclass(frozen=True)
 class Graph:
-    """``edges(src, dst, score, salt)`` both ways, ``nodes(node, degree, strength, fanout)``."""
+    """``edges(src, dst, score, salt)`` both ways, ``nodes(node, degree, strength, fanout)``.
+
+    ``has_hubs`` tells whether any node has a fanout above one.
+    """
 
     edges: DataFrame
     nodes: DataFrame
+    has_hubs: bool
 
     def spread(self, state: DataFrame, node: str = "node") -> DataFrame:
         """Repeat each state row once per salt of its node."""
+        if not self.has_hubs:
+            return state.withColumn("salt", F.lit(0))
         fanout = self.nodes.select(F.col("node").alias(node), "fanout")
         return state.join(fanout, node).withColumn(
             "salt", F.explode(F.sequence(F.lit(0), F.col("fanout") - 1))
@@ -95,7 +101,9 @@ def prepare_graph(edges: DataFrame, edges_per_task: int = EDGES_PER_TASK) -> Gra
             F.count(F.lit(1)).alias("degree"), F.sum("score").cast("double").alias("strength")
         ).withColumn("fanout", F.ceil(F.col("degree") / F.lit(edges_per_task)).cast("int"))
     )
-    # hubs are at most 2·edges/edges_per_task nodes; AQE picks the join side
+    has_hubs = not nodes.where(F.col("fanout") > 1).isEmpty()
+    if not has_hubs:
+        return Graph(cut_lineage(both.withColumn("salt", F.lit(0))), nodes, False)
     hubs = nodes.where(F.col("fanout") > 1).select(F.col("node").alias("src"), "fanout")
     salted = both.join(hubs, "src", "left").withColumn(
         "salt",
@@ -103,7 +111,7 @@ def prepare_graph(edges: DataFrame, edges_per_task: int = EDGES_PER_TASK) -> Gra
             F.pmod(F.xxhash64("dst"), F.col("fanout")).cast("int")
         ),
     ).drop("fanout")
-    return Graph(cut_lineage(salted), nodes)
+    return Graph(cut_lineage(salted), nodes, True)
 
 
 def pagerank(

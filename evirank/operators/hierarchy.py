@@ -79,15 +79,20 @@ def memberships_of(
     return with_roots(kept, roots, node)
 
 
-def root_features(universe: DataFrame, rooted: DataFrame, item: str = ITEM) -> DataFrame:
-    """Distinct roots per item, saturating share, missing flag; one row per item."""
+def add_root_features(df: DataFrame, rooted: DataFrame, item: str = ITEM) -> DataFrame:
+    """Append distinct roots per item, their saturating share and the missing flag."""
     counts = rooted.groupBy(item).agg(F.countDistinct("root_id").alias(N_ROOTS))
-    return universe.select(item).distinct().join(counts, item, "left").withColumns({
+    return df.join(counts, item, "left").withColumns({
         dim("pathways"): saturate(F.col(N_ROOTS), ROOT_SATURATION),
         MISSING_PREFIX + "pathways": F.col(N_ROOTS).isNull().cast("byte"),
     })
 
 
+def root_features(universe: DataFrame, rooted: DataFrame, item: str = ITEM) -> DataFrame:
+    """The root features of the requested items, one row each."""
+    return add_root_features(universe.select(item).distinct(), rooted, item)
+
+
 def root_overlap(
     universe: DataFrame, rooted: DataFrame, seeds: DataFrame, groups: list[str] | None = None,
     item: str = ITEM, out: str = PATHWAY_PREFIX + "overlap_with_known",

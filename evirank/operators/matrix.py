@@ -109,21 +109,28 @@ def population_percentile(
     return average_rank_share(relevant, RELEVANT, dim("expression"), [F.col(item)], keys)
 
 
-def expression_features(
-    universe: DataFrame, long: DataFrame, matched: DataFrame, n_columns: int,
+def add_expression_features(
+    df: DataFrame, long: DataFrame, matched: DataFrame, n_columns: int,
     keys: list[str], item: str = ITEM, variable: str = "tissue", value: str = "tpm",
 ) -> DataFrame:
-    """One row per requested ``keys + item``: profile, specificity, percentile, flag."""
+    """Append profile, specificity, percentile and missing flag by ``keys + item``."""
     profile = matrix_profile(long, item, variable, value, n_columns=n_columns)
     pct = population_percentile(long, matched, keys, item, variable, value)
     return (
-        universe.select(*keys, item).distinct()
-        .join(profile, item, "left")
-        .join(pct, [*keys, item], "left")
+        df.join(profile, item, "left").join(pct, [*keys, item], "left")
         .withColumn(missing("expression"), F.col(MAX).isNull().cast("byte"))
     )
 
 
+def expression_features(
+    universe: DataFrame, long: DataFrame, matched: DataFrame, n_columns: int,
+    keys: list[str], item: str = ITEM, variable: str = "tissue", value: str = "tpm",
+) -> DataFrame:
+    """The expression features of the requested ``keys + item``, one row each."""
+    asked = universe.select(*keys, item).distinct()
+    return add_expression_features(asked, long, matched, n_columns, keys, item, variable, value)
+
+
 def item_tissue_detail(
     universe: DataFrame, long: DataFrame, item: str = ITEM, variable: str = "tissue",
     value: str = "tpm",

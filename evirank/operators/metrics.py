@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from evirank.columns import GROUP, ITEM, LABEL
 from evirank.functions.numeric import dcg_discount
 from evirank.operators.ranking import running_totals
+from evirank.session import cut_lineage
 
 # The metric lists in force and the decision threshold.
 RANKING_METRICS = (
@@ -113,13 +114,16 @@ def ranked_with_labels(
 
 
 def ranking_metrics_table(
-    ranked: DataFrame, names: tuple[str, ...] = RANKING_METRICS, keys: list[str] | None = None
+    ranked: DataFrame, names: tuple[str, ...] = RANKING_METRICS, keys: list[str] | None = None,
+    more: list[Column] | None = None,
 ) -> DataFrame:
+    """One row per key; ``more`` adds aggregates to the same pass."""
     keys = keys or [GROUP]
     return ranked.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n_candidates"),
         F.sum(LABEL).alias("n_positive"),
         *[ranking_metric(n).alias(n) for n in names],
+        *(more or []),
     )
 
 
@@ -147,15 +151,11 @@ def threshold_free(
     )
 
 
-def threshold_metrics(
-    joined: DataFrame, keys: list[str] | None = None, score: str = "score",
-    threshold: float = THRESHOLD,
-) -> DataFrame:
+def threshold_expressions(score: str = "score", threshold: float = THRESHOLD) -> list[Column]:
     """Precision, recall and F1 at the threshold (0 for 0/0) and the Brier score.
 
     Brier is null when any score of the key lies outside [0, 1].
     """
-    keys = keys or [GROUP]
     said = F.col(score) >= threshold
     tp = F.count_if(said & (F.col(LABEL) == 1))
     fp = F.count_if(said & (F.col(LABEL) == 0))
@@ -166,12 +166,20 @@ def threshold_metrics(
 
     inside = (F.min(score) >= 0) & (F.max(score) <= 1)
     gap = F.col(score) - F.col(LABEL)
-    return joined.groupBy(*keys).agg(
+    return [
         ratio(tp, tp + fp).alias("precision"),
         ratio(tp, tp + fn).alias("recall"),
         ratio(2 * tp, 2 * tp + fp + fn).alias("f1"),
         F.when(inside, F.avg(gap * gap)).alias("brier_score"),
-    )
+    ]
+
+
+def threshold_metrics(
+    joined: DataFrame, keys: list[str] | None = None, score: str = "score",
+    threshold: float = THRESHOLD,
+) -> DataFrame:
+    """The threshold metrics per key."""
+    return joined.groupBy(*(keys or [GROUP])).agg(*threshold_expressions(score, threshold))
 
 
 def evaluate(
@@ -185,11 +193,14 @@ def evaluate(
     if unknown:
         raise ValueError(f"unknown classification metrics {unknown}")
     ranked = ranked_with_labels(scored, labels, keys, group, item, score)
-    out = ranking_metrics_table(ranked, ranking, keys)
-    if {"roc_auc", "pr_auc"} & set(classification):
+    areas = bool({"roc_auc", "pr_auc"} & set(classification))
+    if areas:
+        # read twice: by row and by distinct score
+        ranked = cut_lineage(ranked)
+    more = threshold_expressions(score) if classification else []
+    out = ranking_metrics_table(ranked, ranking, keys, more)
+    if areas:
         out = out.join(threshold_free(ranked, keys, score), keys, "left")
-    if {"precision", "recall", "f1", "brier_score"} & set(classification):
-        out = out.join(threshold_metrics(ranked, keys, score), keys, "left")
     names = [*ranking, *classification]
     out = out.select(*keys, "n_candidates", "n_positive", *names)
     return out if digits is None else out.withColumns({n: F.round(n, digits) for n in names})

@@ -19,8 +19,8 @@ from evirank.operators.evidence import (
     flag_mean,
     nonnull_count,
 )
-from evirank.operators.hierarchy import root_features
-from evirank.operators.matrix import expression_features
+from evirank.operators.hierarchy import add_root_features
+from evirank.operators.matrix import add_expression_features
 from evirank.operators.quality import assert_no_leakage
 from evirank.operators.scoring import ordered_columns, select_features
 
@@ -71,7 +71,8 @@ def build_feature_table(
 ) -> DataFrame:
     """One row per (group, item) with a scoreable source.
 
-    Forbidden sources leave before anything is built. ``flags``, ``info``,
+    Forbidden sources leave before anything is built. The evidence is aggregated
+    once; every other part is appended by left joins. ``flags``, ``info``,
     ``rooted`` and ``network`` are keyed by item, ``matrix`` is long, ``matched``
     holds the matrix columns each group cares about.
     """
@@ -85,16 +86,14 @@ def build_feature_table(
         out = out.join(rated, ITEM, "left").withColumn(
             missing("druggability"), F.col(dim("druggability")).isNull().cast("byte")
         )
-    pairs = kept.select(GROUP, ITEM)
     if rooted is not None:
-        out = out.join(root_features(pairs, rooted), ITEM, "left")
+        out = add_root_features(out, rooted)
     if network is not None:
         out = out.join(network, ITEM, "left").withColumn(
             missing("network"), F.coalesce(missing("network"), F.lit(1)).cast("byte")
         )
     if matrix is not None and matched is not None:
-        expressed = expression_features(pairs, matrix, matched, config.matrix_columns, [GROUP])
-        out = out.join(expressed, [GROUP, ITEM], "left")
+        out = add_expression_features(out, matrix, matched, config.matrix_columns, [GROUP])
     if rooted is not None and matrix is not None:
         out = cooccurrence_flags(out)
     if config.dataset_version:
