@@ -332,11 +332,9 @@ SELECT source, count(*) AS n_rows, count(DISTINCT item_id) AS n_items,
        count(DISTINCT group_id) AS n_groups FROM ev GROUP BY 1
 """)
 def source_counts(spark: SparkSession, sf: str) -> DataFrame:
-    # one aggregation per distinct count keeps rows from being expanded
-    e = t.evidence(spark, sf)
-    return e.groupBy("source").agg(
+    return t.evidence(spark, sf).groupBy("source").agg(
         F.count(F.lit(1)).alias("n_rows"), F.countDistinct("item_id").alias("n_items"),
-        F.size(F.collect_set("group_id")).cast("long").alias("n_groups"),
+        F.countDistinct("group_id").alias("n_groups"),
     )
 
 

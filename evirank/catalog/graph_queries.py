@@ -52,8 +52,9 @@ SELECT node, round(r, 10) AS pagerank FROM r{PAGERANK_STEPS}
 """)
 def pagerank(spark: SparkSession, sf: str) -> DataFrame:
     """A fixed number of iterations, so that SQL can follow."""
-    ranks = gr.pagerank(gr.prepare_graph(t.edges(spark, sf)), tolerance=0.0,
-                        max_iterations=PAGERANK_STEPS)
+    graph = gr.prepare_graph(t.edges(spark, sf))
+    ranks = gr.pagerank(graph, tolerance=0.0, max_iterations=PAGERANK_STEPS)
+    graph.release()
     return ranks.withColumn("pagerank", F.round("pagerank", 10))
 
 
@@ -64,7 +65,9 @@ FROM (SELECT node, round(r, 10) AS v FROM r4)
 """)
 def pagerank_percentile(spark: SparkSession, sf: str) -> DataFrame:
     """Percentile over the whole graph of a four-step PageRank."""
-    ranks = gr.pagerank(gr.prepare_graph(t.edges(spark, sf)), tolerance=0.0, max_iterations=4)
+    graph = gr.prepare_graph(t.edges(spark, sf))
+    ranks = gr.pagerank(graph, tolerance=0.0, max_iterations=4)
+    graph.release()
     rounded = ranks.select("node", F.round("pagerank", 10).alias("v"))
     out = average_rank_share(rounded, "v", "dim__network", [F.col("node")])
     return out.select("node", F.round("dim__network", 9).alias("dim__network"))
@@ -106,7 +109,9 @@ FROM node_stats LEFT JOIN summed USING (node), (SELECT count(*)::DOUBLE AS n FRO
 """)
 def betweenness(spark: SparkSession, sf: str) -> DataFrame:
     """Sampled betweenness; the sample size is the operator's own parameter."""
-    out = gr.betweenness(gr.prepare_graph(t.edges(spark, sf)), k=BETWEENNESS_SAMPLE)
+    graph = gr.prepare_graph(t.edges(spark, sf))
+    out = gr.betweenness(graph, k=BETWEENNESS_SAMPLE)
+    graph.release()
     return out.withColumn("betweenness", F.round("betweenness", 9))
 
 
@@ -133,7 +138,10 @@ def seed_distance(spark: SparkSession, sf: str) -> DataFrame:
     seeds = t.read(spark, sf, "part", "p_partkey", "p_type", "p_size").where(
         (F.col("p_size") == 50) & (F.col("p_type") != "ECONOMY")
     ).select(F.col("p_type").alias("group_id"), F.concat(F.lit("P"), "p_partkey").alias("node"))
-    return gr.seed_distances(gr.prepare_graph(t.edges(spark, sf)), seeds, ["group_id"])
+    graph = gr.prepare_graph(t.edges(spark, sf))
+    out = gr.seed_distances(graph, seeds, ["group_id"])
+    graph.release()
+    return out
 
 
 @query("network_features", """

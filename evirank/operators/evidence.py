@@ -21,7 +21,8 @@ from evirank.columns import (
     source_count,
     source_score,
 )
-from evirank.functions.numeric import flag, saturate
+from evirank.functions.numeric import flag, row_count, row_mean, saturate
+from evirank.operators.ranking import exact_median
 
 DIVERSITY_SATURATION = 4
 
@@ -209,8 +210,6 @@ def flag_mean(
     flags: DataFrame, columns: list[str], out: str = dim("druggability")
 ) -> DataFrame:
     """Mean of binary flags, nulls skipped; null when every flag is null."""
-    from evirank.functions.numeric import row_mean
-
     return flags.withColumn(out, row_mean([F.col(c) for c in columns])).withColumn(
         missing(out.removeprefix(dim(""))), F.col(out).isNull().cast("byte")
     )
@@ -218,15 +217,11 @@ def flag_mean(
 
 def nonnull_count(flags: DataFrame, columns: list[str], out: str = "safety__n_flags") -> DataFrame:
     """Number of flags that are known at all."""
-    from evirank.functions.numeric import row_count
-
     return flags.withColumn(out, row_count([F.col(c) for c in columns]))
 
 
 def score_summary(df: DataFrame, value: str) -> DataFrame:
     """Count, mean, deviation, min, median and max of a column, in one row."""
-    from evirank.operators.ranking import exact_median
-
     basic = df.agg(
         F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev(value).alias("stddev"),
         F.min(value).alias("min"), F.max(value).alias("max"),

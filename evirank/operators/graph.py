@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -40,6 +41,10 @@ class Graph:
     nodes: DataFrame
     has_hubs: bool
 
+    def release(self) -> None:
+        """Drop the cached edges; finished results do not need them."""
+        self.edges.unpersist()
+
     def spread(self, state: DataFrame, node: str = "node") -> DataFrame:
         """Repeat each state row once per salt of its node."""
         if not self.has_hubs:
@@ -103,7 +108,7 @@ def prepare_graph(edges: DataFrame, edges_per_task: int = EDGES_PER_TASK) -> Gra
     )
     has_hubs = not nodes.where(F.col("fanout") > 1).isEmpty()
     if not has_hubs:
-        return Graph(cut_lineage(both.withColumn("salt", F.lit(0))), nodes, False)
+        return Graph(_placed(both.withColumn("salt", F.lit(0))), nodes, False)
     hubs = nodes.where(F.col("fanout") > 1).select(F.col("node").alias("src"), "fanout")
     salted = both.join(hubs, "src", "left").withColumn(
         "salt",
@@ -111,7 +116,19 @@ def prepare_graph(edges: DataFrame, edges_per_task: int = EDGES_PER_TASK) -> Gra
             F.pmod(F.xxhash64("dst"), F.col("fanout")).cast("int")
         ),
     ).drop("fanout")
-    return Graph(cut_lineage(salted), nodes, True)
+    return Graph(_placed(salted), nodes, True)
+
+
+def _placed(edges: DataFrame) -> DataFrame:
+    """Edges hash-partitioned by the step key once, so that no iteration shuffles them again.
+
+    The cached partitions are rebuilt from the checkpoint when an executor is lost.
+    """
+    n = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = cut_lineage(edges).repartition(n, "src", "salt").persist(StorageLevel.MEMORY_AND_DISK)
+    # only a filled cache tells the planner how it is partitioned
+    placed.count()
+    return placed
 
 
 def pagerank(

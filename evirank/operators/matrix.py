@@ -69,22 +69,29 @@ def match_columns(
 ) -> DataFrame:
     """Token-set containment: a column matches when it has every query token.
 
-    Works through an inverted index (equi-join on the token and a count), so no
-    pair without a shared token is formed. Queries without a match keep one row
-    with a null column.
+    Each query meets only the columns that have its rarest token (an equi-join);
+    the other tokens are then checked on the row. Queries without a match keep
+    one row with a null column.
     """
     keys = keys or []
     q = queries.select(*keys, query).distinct().withColumn(
-        "_tokens", tokens(F.col(query), QUERY_STOPWORDS)
+        "_asked", tokens(F.col(query), QUERY_STOPWORDS)
     )
-    c = columns.select(column).distinct().select(
-        column, F.explode(tokens(F.col(column))).alias("_token")
+    has = columns.select(column).distinct().withColumn("_has", tokens(F.col(column)))
+    index = has.select(column, "_has", F.explode("_has").alias("_token"))
+    seen = index.groupBy("_token").agg(F.count(F.lit(1)).alias("_n"))
+    rarest = (
+        q.select(*keys, query, "_asked", F.explode("_asked").alias("_token"))
+        .join(seen, "_token", "left")
+        .groupBy(*keys, query, "_asked")
+        # a token no column has sorts first and finds nothing
+        .agg(F.min(F.struct(F.coalesce("_n", F.lit(0)), F.col("_token").alias("_token")))
+             .alias("_rare"))
+        .select(*keys, query, "_asked", F.col("_rare._token").alias("_token"))
     )
-    wanted = q.select(*keys, query, F.size("_tokens").alias("_n"),
-                      F.explode("_tokens").alias("_token"))
     hits = (
-        wanted.join(c, "_token").groupBy(*keys, query, "_n", column)
-        .agg(F.count(F.lit(1)).alias("_hit")).where(F.col("_hit") == F.col("_n"))
+        rarest.join(index, "_token")
+        .where(F.size(F.array_except("_asked", "_has")) == 0)
         .select(*keys, query, column)
     )
     return q.select(*keys, query).join(hits, [*keys, query], "left")

@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 from evirank.operators.skew import lookup_join
 from evirank.session import cut_lineage
 
+# spark.sql.optimizer.windowGroupLimitThreshold's default
+GROUP_LIMIT = 1000
 _OFFSET_BITS = 33  # monotonically_increasing_id keeps the row position in the low 33 bits
 
 
@@ -101,8 +103,13 @@ def rank_within_group(
 def top_n(
     df: DataFrame, group: str | list[str], order: list[Column], n: int, out: str = "rank"
 ) -> DataFrame:
-    """First n rows per group. Spark cuts to n per task before the shuffle."""
+    """First n rows per group. Spark cuts to n per task before the shuffle.
+
+    It does so up to a limit on n; beyond it the distributed ranking takes over.
+    """
     groups = [group] if isinstance(group, str) else group
+    if n > GROUP_LIMIT:
+        return running_totals(df, groups, order, rank=out).where(F.col(out) <= n)
     w = W.partitionBy(*groups).orderBy(*order)
     return df.withColumn(out, F.row_number().over(w).cast("long")).where(F.col(out) <= n)
 

@@ -40,10 +40,7 @@ class FeatureConfig:
 
 def evidence_features(evidence: DataFrame, config: FeatureConfig, keys: list[str] | None = None
                       ) -> DataFrame:
-    """Dimensions, source count and the wide per-source columns in one aggregation.
-
-    The set behind the source count holds at most one entry per source.
-    """
+    """Dimensions, source count and the wide per-source columns in one aggregation."""
     keys = keys or [GROUP, ITEM]
     best = [
         F.max(F.when(F.col(SOURCE).isin(list(s)), F.col(SCORE))).alias(dim(d))
@@ -55,7 +52,7 @@ def evidence_features(evidence: DataFrame, config: FeatureConfig, keys: list[str
         wide.append(F.max(F.when(here, F.col(SCORE))).alias(source_score(s)))
         wide.append(F.sum(F.when(here, F.col(COUNT))).alias(source_count(s)))
     out = evidence.groupBy(*keys).agg(
-        *best, F.size(F.collect_set(SOURCE)).cast("long").alias("n_evidence_types"), *wide
+        *best, F.countDistinct(SOURCE).alias("n_evidence_types"), *wide
     )
     return out.withColumns({
         dim("evidence_diversity"): saturate(F.col("n_evidence_types"), config.saturation),
