@@ -142,6 +142,9 @@ def build_labels(
     levels: dict[str, int | None] | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Labels of every group at once, and one reconciliation row per group."""
+    known = (STAGE_LEVELS if levels is None else levels).values()
+    if not any(v is not None and v >= threshold for v in known):
+        raise ValueError(f"no stage reaches the threshold {threshold}")
     per_pair = clinical_by_group(clinical, family, group, item, levels)
     groups = evidence.select(group).distinct()
     per_pair = per_pair.join(groups, group, "left_semi")

@@ -18,6 +18,7 @@ from evirank.operators.evidence import (
     drop_denied_sources,
     flag_mean,
     nonnull_count,
+    violations,
 )
 from evirank.operators.hierarchy import add_root_features
 from evirank.operators.matrix import add_expression_features
@@ -37,6 +38,16 @@ class FeatureConfig:
     dataset_version: str | None = None
     stamp_date: bool = False
 
+    def __post_init__(self) -> None:
+        """Dimensions are disjoint, and no forbidden source is scored."""
+        scored = [s for sources in self.dimensions.values() for s in sources]
+        twice = sorted({s for s in scored if scored.count(s) > 1})
+        if twice:
+            raise ValueError(f"sources in more than one dimension: {twice}")
+        forbidden = violations([source_score(s) for s in [*scored, *self.sources]], self.rules)
+        if forbidden:
+            raise ValueError(f"forbidden sources are scored: {sorted(forbidden)}")
+
 
 def evidence_features(evidence: DataFrame, config: FeatureConfig, keys: list[str] | None = None
                       ) -> DataFrame:

@@ -100,3 +100,12 @@ def test_score_summary_uses_the_exact_median(spark):
     df = spark.createDataFrame([(float(x),) for x in (1, 3, 5, 7)], "s DOUBLE")
     row = ev.score_summary(df, "s").first()
     assert (row["median"], row["max"], row["n"]) == (4.0, 7.0, 4)
+
+
+def test_config_invariants():
+    from evirank.plans.features import FeatureConfig
+
+    with pytest.raises(ValueError, match="more than one"):
+        FeatureConfig({"a": ["x"], "b": ["x"]}, [], [])
+    with pytest.raises(ValueError, match="forbidden"):
+        FeatureConfig({"a": ["clinical_precedence"]}, [], [])

@@ -78,3 +78,9 @@ def test_unnest_and_drug_names(spark, by):
     family = spark.createDataFrame([("M", "M")], "group_id STRING, member STRING")
     row = lb.drug_summary(clinical, family, names).first()
     assert row["label__n_drugs"] == 7 and row["label__drug_names"] == "N4, N5, N6, N7, N8"
+
+
+def test_a_stage_must_reach_the_threshold(spark):
+    empty = spark.createDataFrame([], "group_id STRING, item_id STRING, source STRING")
+    with pytest.raises(ValueError, match="threshold"):
+        lb.build_labels(empty, empty, empty, threshold=9)

@@ -182,3 +182,13 @@ def test_select_features_and_dropped_dimension(candidates):
         sc.select_features(candidates.withColumn("assoc_overall__score", F.lit(1.0)))
     bare = sc.drop_dimension_columns(candidates, "literature", ["x"]).columns
     assert "dim__literature" not in bare and "dim__evidence_diversity" not in bare
+
+
+def test_nulls_survive_the_sinks(spark, candidates, shown, tmp_path, by):
+    product = pr.rank_groups(candidates, shown)
+    for kind in ("json", "parquet"):
+        path = str(tmp_path / kind)
+        product.write.format(kind).save(path)
+        back = by(spark.read.schema(product.schema).format(kind).load(path), "item_id")
+        assert back["T3"]["evidence"].get("genetics") is None
+        assert back["T3"]["evidence"]["functional"] == 0.3
