@@ -161,57 +161,60 @@ def learn(docs: DataFrame, text: str = "text", lang: str = "lang") -> Parser:
     return Parser(languages, symbol, tables)
 
 
-def predict(docs: DataFrame, parser: Parser, keep_columns: bool = False) -> DataFrame:
-    """Adds lang_pred and score to doc_id (or to all columns).
+def _judged(parser: Parser, texts: list[str | None]) -> tuple[list[str], list[float]]:
+    """Predicted label and score of every text.
 
     The score is how far the second language's phrases exceed the winner's: 0 for a tie,
     near 1 where any other language needs many times the phrases.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(parser)
-    columns = docs.columns if keep_columns else ["doc_id"]
-    narrow = docs if keep_columns else docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    at = narrow.columns.index("text")
+    letters = [letters_of(t) for t in texts]
+    empty = np.array([not t.strip() for t in letters], bool)
+    if not parser.languages or not texts:
+        return ["und"] * len(texts), [0.0] * len(texts)
+    phrases = parser.phrases(letters)
+    best = np.where(empty, len(parser.languages), phrases.argmin(axis=1))
+    ranked = np.sort(phrases, axis=1)
+    score = 1 - ranked[:, 0] / np.maximum(ranked[:, 1], 1) if len(parser.languages) > 1 else np.ones(len(texts))
+    names = np.array([*parser.languages, "und"], object)[best]
+    return names.tolist(), np.where(empty, 0.0, score).tolist()
+
+
+_ROWS = 1000  # texts parsed together
+
+
+def identify(docs: DataFrame, parser: Parser | None = None) -> DataFrame:
+    """doc_id, held_out, lang_pred, score for every document; fits the parser if none is given."""
+    shared = docs.sparkSession.sparkContext.broadcast(learn(docs) if parser is None else parser)
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parser = shared.value
-        und = np.array([*parser.languages, "und"], object)
         for batch in batches:
             names, scores = [], []
-            for low in range(0, batch.num_rows, 1000):
-                texts = [letters_of(t) for t in batch.column(at)[low:low + 1000].to_pylist()]
-                size = np.array([len(t.strip()) for t in texts])
-                best = np.full(len(texts), len(parser.languages))
-                score = np.zeros(len(texts))
-                if parser.languages:
-                    phrases = parser.phrases(texts)
-                    best = np.where(size > 0, phrases.argmin(axis=1), best)
-                    ranked = np.sort(phrases, axis=1)
-                    if len(parser.languages) > 1:
-                        score = 1 - ranked[:, 0] / np.maximum(ranked[:, 1], 1)
-                    else:
-                        score = np.ones(len(texts))
-                    score = np.where(size > 0, score, 0.0)
-                names += und[best].tolist()
-                scores += score.tolist()
-            kept = [c for c, name in zip(batch.columns, batch.schema.names, strict=True) if name in columns]
-            yield pa.RecordBatch.from_arrays(
-                [*kept, pa.array(names, pa.string()), pa.array(scores, pa.float64())],
-                names=[*columns, "lang_pred", "score"],
-            )
-
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in narrow.schema if f.name in columns)
-    return narrow.mapInArrow(judge, f"{schema}, lang_pred string, score double")
-
-
-def identify(docs: DataFrame) -> DataFrame:
-    """doc_id, held_out, lang_pred, score for every document."""
-    found = predict(docs, learn(docs))
-    return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
-
-
-def keep_identified(docs: DataFrame) -> DataFrame:
-    """The documents whose text has a language; only those predicted ``und`` are rejected."""
-    drop = ["lang_pred", "score"]
-    if set(drop) & set(docs.columns):
-        raise ValueError(f"the documents already have a column named {drop}")
-    return predict(docs, learn(docs), keep_columns=True).where("lang_pred <> 'und'").drop(*drop)
+            for low in range(0, batch.num_rows, _ROWS):
+                some = _judged(shared.value, batch.column("text")[low:low + _ROWS].to_pylist())
+                names += some[0]
+                scores += some[1]
+            yield pa.RecordBatch.from_arrays([
+                batch.column("doc_id"), batch.column("held_out"),
+                pa.array(names, pa.string()), pa.array(scores, pa.float64()),
+            ], names=["doc_id", "held_out", "lang_pred", "score"])
+
+    narrow = docs.select(
+        F.col("doc_id").cast("long"), held_out().alias("held_out"), F.col("text").cast("string").alias("text")
+    )
+    return narrow.mapInArrow(judge, "doc_id long, held_out boolean, lang_pred string, score double")
+
+
+def keep_identified(docs: DataFrame, parser: Parser | None = None) -> DataFrame:
+    """The documents whose text has a language, all columns as they were; ``und`` is rejected."""
+    shared = docs.sparkSession.sparkContext.broadcast(learn(docs) if parser is None else parser)
+    at = docs.columns.index("text")
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kept: list[bool] = []
+            for low in range(0, batch.num_rows, _ROWS):
+                names, _ = _judged(shared.value, batch.column(at)[low:low + _ROWS].to_pylist())
+                kept += [n != "und" for n in names]
+            yield batch.filter(pa.array(kept, pa.bool_()))
+
+    return docs.mapInArrow(keep, docs.schema)

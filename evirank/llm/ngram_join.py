@@ -240,9 +240,10 @@ def near_duplicates(
 def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
     """One document of each component, all columns as they were; texts without words all stay."""
     kept = near_duplicates(docs, **options).where("kept").select("row").distinct()
-    named = docs.withColumn("_row", F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")))
-    chosen = named.join(kept.select(F.col("row").alias("_row")), "_row", "left_semi")
-    empty = F.coalesce(~F.col("text").rlike(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"), F.lit(True))
-    return (
-        chosen.where(~empty).dropDuplicates(["_row"]).unionByName(chosen.where(empty)).drop("_row")
-    )
+    packed = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"),
+        F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")).alias("row"),
+        F.coalesce(F.col("text").rlike(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"), F.lit(False)).alias("words"),
+    ).join(kept, "row", "left_semi")
+    one = packed.where("words").dropDuplicates(["row"])
+    return one.unionByName(packed.where("NOT words")).select("doc.*")

@@ -248,37 +248,37 @@ def merged_passages(passages: DataFrame) -> DataFrame:
     )
 
 
+def _without(text: str, spans: list[dict], words: Words, k: int) -> str:
+    """The text without the word ranges; ``k`` is its number among the texts of ``words``."""
+    raw = text.encode()
+    first = int(words.first[k])
+    origin = int(words.at[k])
+    kept, at = [], 0
+    for s in spans:
+        kept.append(raw[at:int(words.start[first + s["start"]]) - origin])
+        at = int(words.end[first + s["end"] - 1]) - origin
+    return (b"".join(kept) + raw[at:]).decode()
+
+
 def remove_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """The documents with repeated passages cut out of ``text``, except in their first owner."""
-    merged = merged_passages(repeated_passages(docs, min_words)).select(
-        F.col("row").alias("_row"), F.col("extra").alias("_extra")
-    )
-    named = docs.withColumn("_row", F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")))
+    merged = merged_passages(repeated_passages(docs, min_words)).select("row", "extra")
     text_at = docs.columns.index("text")
+    packed = docs.select(
+        F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")).alias("row"),
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"),
+    ).join(merged, "row", "left").select("doc", "extra")
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = []
-            extra = batch.column(batch.num_columns - 1)
-            for first, last, words in word_pieces(batch.column(text_at)):
+            columns, extra = batch.column("doc").flatten(), batch.column("extra").to_pylist()
+            texts = columns[text_at].to_pylist()
+            for first, last, words in word_pieces(columns[text_at]):
                 for k in range(first, last):
-                    spans = extra[k].as_py() or []
-                    text = batch.column(text_at)[k].as_py()
-                    if spans:
-                        base = words.first[k - first]
-                        start = [int(words.start[base + s["start"]]) for s in spans]
-                        end = [int(words.end[base + s["end"] - 1]) for s in spans]
-                        origin = len("".join(x or "" for x in batch.column(text_at)[first:k].to_pylist()).encode())
-                        raw = text.encode()
-                        kept, at = [], 0
-                        for a, b in zip(start, end, strict=True):
-                            kept.append(raw[at:a - origin])
-                            at = b - origin
-                        text = (b"".join(kept) + raw[at:]).decode()
-                    texts.append(text)
-            columns = batch.columns[:-1]
-            columns[text_at] = pa.array(texts, batch.schema.field(text_at).type)
-            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names[:-1])
-
-    joined = named.join(merged, "_row", "left").select(*docs.columns, "_extra")
-    return joined.mapInArrow(remove, docs.schema)
+                    if extra[k]:
+                        texts[k] = _without(texts[k], extra[k], words, k - first)
+            columns[text_at] = pa.array(texts, columns[text_at].type)
+            yield pa.RecordBatch.from_arrays(columns, names=docs_names)
+
+    docs_names = docs.columns
+    return packed.mapInArrow(remove, docs.schema)

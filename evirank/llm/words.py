@@ -70,13 +70,17 @@ def range_hash(values: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int
 
 @dataclass
 class Words:
-    """Words of a few texts: ``data[start[i]:end[i]]``; text t has words first[t] .. first[t+1]-1."""
+    """Words of a few texts: ``data[start[i]:end[i]]``; text t has words first[t] .. first[t+1]-1.
+
+    ``at`` holds the byte where every text begins, and the end of the last.
+    """
 
     data: np.ndarray
     start: np.ndarray
     end: np.ndarray
     first: np.ndarray
     hash: np.ndarray
+    at: np.ndarray
 
     def __len__(self) -> int:
         return len(self.start)
@@ -101,7 +105,7 @@ def words_of_bytes(data: np.ndarray, at: np.ndarray) -> Words:
     n = len(data)
     if n == 0:
         empty = np.zeros(0, np.int64)
-        return Words(data, empty, empty, np.zeros(len(at), np.int64), np.zeros(0, np.uint64))
+        return Words(data, empty, empty, np.zeros(len(at), np.int64), np.zeros(0, np.uint64), at)
     inside = IS_WORD[data]
     starts, ends = inside.copy(), inside.copy()
     starts[1:] &= ~inside[:-1]
@@ -113,7 +117,7 @@ def words_of_bytes(data: np.ndarray, at: np.ndarray) -> Words:
     sums = np.zeros(n + 1, np.uint64)
     np.cumsum((LOWER[data].astype(np.uint64) + np.uint64(1)) * _power(n), out=sums[1:])
     hashes = mix((sums[end] - sums[start]) * _inverse_power(n)[start])
-    return Words(data, start, end, np.searchsorted(start, at), hashes)
+    return Words(data, start, end, np.searchsorted(start, at), hashes, at)
 
 
 def word_pieces(column: pa.Array, limit: int = PIECE_BYTES) -> Iterator[tuple[int, int, Words]]:
