@@ -173,7 +173,8 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     document with a smaller row hash is their partner. Ranges may overlap; ``row`` is
     ``xxhash64(doc_id, text)``.
     """
-    cut = cut_lineage(chunks(docs))
+    # cut twice rather than stored: the chunk table would be larger than the texts
+    cut = chunks(docs)
     place = F.struct("row", "at")
     repeated = (
         cut.groupBy("digest").agg(F.min(place).alias("low"), F.max(place).alias("high"))
