@@ -24,8 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from evirank.llm.tables import stored
 from evirank.llm.words import Words, mix, range_hash, word_pieces
-from evirank.session import cut_lineage
 
 MIN_WORDS = 50
 REACH = 5
@@ -130,8 +130,18 @@ def _passages(
     if windows:
         at = np.array(sorted(windows))
         pair = [range_hash(hashes, at, at + min_words, seed).view(np.int64).tolist() for seed in (11, 12)]
+        # equal windows that overlap (filler that repeats itself) go as one range
+        open_ranges: dict[tuple[int, int], list[int]] = {}
         for s, a, b in zip(at.tolist(), *pair, strict=True):
-            yield s, s + min_words, None, a, b
+            last = open_ranges.get((a, b))
+            if last and s <= last[1]:
+                last[1] = s + min_words
+                continue
+            if last:
+                yield *last, None, a, b
+            open_ranges[a, b] = [s, s + min_words]
+        for (a, b), (s, e) in open_ranges.items():
+            yield s, e, None, a, b
 
 
 def _propose(docs: DataFrame, found: DataFrame, min_words: int) -> DataFrame:
@@ -186,7 +196,7 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
         .select("row", "at", "size", partner.alias("p"))
         .select("row", "at", "size", F.col("p.row").alias("partner"), F.col("p.at").alias("partner_at"))
     )
-    proposed = cut_lineage(_propose(docs, found, min_words))
+    proposed = stored(_propose(docs, found, min_words))
     settled = proposed.where("digest_a IS NULL").select("row", "start", "end", "own")
     windows = proposed.where("digest_a IS NOT NULL")
     twice = (
