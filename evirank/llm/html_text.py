@@ -208,7 +208,7 @@ def main_text(page: str | None, shares: dict[str, float]) -> str:
     """Blocks of the best region, joined by an empty line."""
     seen, scores = [], []
     for token in tokens(page or ""):
-        feature, text, never, _ = token
+        feature, text, never, main = token
         share = shares.get(feature)
         if share is None:
             share = shares.get(feature.partition(".")[0], 0.5)
@@ -216,7 +216,9 @@ def main_text(page: str | None, shares: dict[str, float]) -> str:
             words = len(text.split())
             scores.append(0.0 if never else words * max(share, _FLOOR))
         else:
-            scores.append(-TAG_COST * max(1.0 if never else 1 - share, _FLOOR))
+            # an advert or form in the middle of a marked main region does not end it
+            outside = float(not main) if never else 1 - share
+            scores.append(-TAG_COST * max(outside, _FLOOR))
         seen.append(token)
     first, last = best_region(scores)
     blocks: list[str] = []

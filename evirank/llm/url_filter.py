@@ -78,7 +78,8 @@ class Bloom:
             value = F.conv(F.hex(byte), 16, 10).cast("int")
             return F.call_function("shiftright", value, (bit % 8).cast("int")).bitwiseAND(1) == 1
 
-        return reduce(lambda a, b: a & b, [is_set(bit) for bit in self._bits(key)])
+        # the hash of a null is a number too
+        return key.isNotNull() & reduce(lambda a, b: a & b, [is_set(bit) for bit in self._bits(key)])
 
 
 class Cascade:
