@@ -27,7 +27,7 @@ def evidence_scan(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("overall_scores", """
-SELECT group_id, item_id, score AS overall_score FROM ev
+SELECT group_id, item_id, score AS assoc_overall__score FROM ev
 WHERE group_id = 'MACHINERY' AND source = '5-LOW'
 """)
 def overall_scores(spark: SparkSession, sf: str) -> DataFrame:

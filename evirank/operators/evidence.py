@@ -14,6 +14,7 @@ from evirank.columns import (
     DIVERSITY_PREFIX,
     GROUP,
     ITEM,
+    OVERALL_PREFIX,
     SCORE,
     SOURCE,
     dim,
@@ -77,9 +78,21 @@ def stale_rules(columns: list[str], rules: tuple[DenyRule, ...] = DEFAULT_RULES)
 
 
 def glob_to_regex(glob: str) -> str:
-    """Anchored regex for a ``*``/``?`` glob, usable in ``rlike``."""
-    out = "".join({"*": ".*", "?": "."}.get(ch) or re.escape(ch) for ch in glob)
-    return f"^{out}$"
+    """Regex for a glob with ``*``, ``?`` and ``[...]`` or ``[!...]`` classes, usable in ``rlike``.
+
+    A bracket without an end stands for itself, as in ``fnmatchcase``.
+    """
+    out, rest = [], glob
+    while rest:
+        found = re.match(r"\[(!?)(\]?[^\]]*)\]", rest)
+        if found:
+            inner = re.sub(r"([\\\[\]^&~|])", r"\\\1", found[2])
+            out.append(f"[{'^' if found[1] else ''}{inner}]")
+            rest = rest[found.end():]
+        else:
+            out.append({"*": ".*", "?": "."}.get(rest[0]) or re.escape(rest[0]))
+            rest = rest[1:]
+    return rf"(?s)^(?:{''.join(out)})(?!.)"
 
 
 def is_denied_source(source: Column, rules: tuple[DenyRule, ...] = DEFAULT_RULES) -> Column:
@@ -128,7 +141,7 @@ def overall_scores(
     kept = associations.where(F.col(kind_col) == F.lit(kind))
     if group_value is not None:
         kept = kept.where(F.col(group) == F.lit(group_value))
-    return kept.select(group, item, F.col(score).alias("overall_score"))
+    return kept.select(group, item, F.col(score).alias(f"{OVERALL_PREFIX}score"))
 
 
 def dimension_scores(

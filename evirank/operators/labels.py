@@ -145,6 +145,7 @@ def build_labels(
     known = (STAGE_LEVELS if levels is None else levels).values()
     if not any(v is not None and v >= threshold for v in known):
         raise ValueError(f"no stage reaches the threshold {threshold}")
+    check_stages(clinical, levels=levels)
     per_pair = clinical_by_group(clinical, family, group, item, levels)
     groups = evidence.select(group).distinct()
     per_pair = per_pair.join(groups, group, "left_semi")
