@@ -8,9 +8,11 @@ the listed keys that level 2 wrongly holds by level 3, and so on until a level h
 A key is listed exactly if the number of levels it passes in a row is odd, so urls are judged
 without a join: the filters are constants of the plan.
 
-All steps are DataFrame functions. Filters are sized from the counts of their level
-(``BITS_PER_KEY``); more than ``MAX_LISTED`` listed keys are refused, which bounds what a
-task receives. A level's false positives are a small share of the level before it.
+All steps are DataFrame functions. Level 1 takes as many hashes as make its false positives
+about as many as the listed keys, however large the universe is; each later level halves what
+passes. So every filter has some ``MAX_LISTED`` keys at most and one hash more for each doubling of
+the universe: more listed keys, or more than ``MAX_PASSED`` false positives, are refused, which
+bounds what a task receives.
 
 Edge cases: a null url or one without ``://`` has an empty host and path and fits no rule; an
 empty path does not start with "/"; repeated rules count once; if two rules of one key differ,
@@ -20,16 +22,16 @@ every url gets the default verdict; extra columns are ignored.
 
 from __future__ import annotations
 
-from functools import reduce
+import math
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evirank.session import cut_lineage
 
-BITS_PER_KEY = 12
-HASHES = 6
+LEAST_BITS = 1 << 14  # two hashes make too few different patterns in a smaller filter
 MAX_LISTED = 2_000_000
+MAX_PASSED = 2 * MAX_LISTED
 MAX_LEVELS = 40
 
 #: Fixed rules of the registered query: (verdict, host, path).
@@ -49,28 +51,38 @@ def host_and_path(url: str | Column) -> tuple[Column, Column]:
     return host, path
 
 
+def _bind(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 class Bloom:
     """One level: the bits of its keys as a binary constant, tested with column functions."""
 
-    def __init__(self, keys: DataFrame, salt: int):
-        n = max(keys.count(), 1)
-        self.salt, self.bytes = salt, -(-n * BITS_PER_KEY // 8)
-        bits = keys.select(F.explode(F.array(*self._bits(F.col("key")))).alias("bit"))
+    def __init__(self, keys: DataFrame, n: int, salt: int, hashes: int):
+        """``n`` keys; a stranger passes with a probability of about 2 ** -hashes."""
+        self.salt, self.hashes = salt, hashes
+        self.bytes = -(-max(LEAST_BITS, math.ceil(n * hashes / math.log(2))) // 8)
+        bits = keys.select(F.explode(self._bits(F.col("key"))).alias("bit"))
         packed = (
             bits.groupBy((F.col("bit") / 8).cast("int").alias("byte"))
             .agg(F.bit_or(F.call_function("shiftleft", F.lit(1), (F.col("bit") % 8).cast("int"))).alias("value"))
         )
         values = bytearray(self.bytes)
-        for r in packed.toLocalIterator():  # at most MAX_LISTED * BITS_PER_KEY / 8 rows
+        for r in packed.toLocalIterator():  # at most as many rows as the filter has bytes
             values[r["byte"]] = r["value"]
         self.values = bytes(values)
 
-    def _bits(self, key: Column) -> list[Column]:
-        first = F.xxhash64(key, F.lit(self.salt))
-        second = F.xxhash64(key, F.lit(self.salt), F.lit(1))
+    def _bits(self, key: Column) -> Column:
+        """Positions of a key's bits: two hashes give all; the shifts keep the sums inside a long."""
+        pair = F.struct(
+            F.shiftright(F.xxhash64(key, F.lit(self.salt)), 8).alias("first"),
+            F.shiftright(F.xxhash64(key, F.lit(self.salt), F.lit(1)), 8).alias("step"),
+        )
         size = F.lit(self.bytes * 8).cast("long")
-        # two hashes give all positions; the shift keeps the sum inside a long
-        return [F.pmod(F.shiftright(first, 8) + F.lit(k) * F.shiftright(second, 8), size) for k in range(HASHES)]
+        return _bind(pair, lambda h: F.transform(
+            F.sequence(F.lit(0), F.lit(self.hashes - 1)), lambda k: F.pmod(h["first"] + k * h["step"], size)
+        ))
 
     def holds(self, key: Column) -> Column:
         def is_set(bit: Column) -> Column:
@@ -79,7 +91,7 @@ class Bloom:
             return F.call_function("shiftright", value, (bit % 8).cast("int")).bitwiseAND(1) == 1
 
         # the hash of a null is a number too
-        return key.isNotNull() & reduce(lambda a, b: a & b, [is_set(bit) for bit in self._bits(key)])
+        return key.isNotNull() & F.forall(self._bits(key), is_set)
 
 
 class Cascade:
@@ -93,19 +105,22 @@ class Cascade:
             raise ValueError(f"{n} listed keys; the bound is {MAX_LISTED}")
         if n == 0:
             return
+        # as many strangers as listed keys pass level 1; half of the keys asked pass each later one
+        hashes = max(2, math.ceil(math.log2(max(universe.count() / n, 1))))
         inside, outside = listed, None
         while True:
-            level = Bloom(inside, len(self.levels))
+            level = Bloom(inside, n, len(self.levels), hashes)
             self.levels.append(level)
             if outside is None:
                 passed = universe.where(level.holds(F.col("key"))).join(listed, "key", "left_anti")
             else:
                 passed = outside.where(level.holds(F.col("key")))
             passed = cut_lineage(passed)
-            if passed.isEmpty():
+            n, hashes = passed.count(), 2
+            if n == 0:
                 return
-            if len(self.levels) == MAX_LEVELS:
-                raise RuntimeError("the cascade does not end; are keys repeated?")
+            if n > MAX_PASSED or len(self.levels) == MAX_LEVELS:
+                raise RuntimeError(f"level {len(self.levels)} lets {n} keys pass; are keys repeated?")
             inside, outside = passed, inside
 
     def holds(self, key: Column) -> Column:
@@ -153,11 +168,11 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = "allow") -> DataFra
     universe = urls.select(F.explode(asked).alias("key")).distinct()
     listed = Cascade(rules.select("key"), universe)
     blocked = Cascade(rules.where("verdict = 'block'").select("key"), universe)
-    best = F.lit(None).cast("string")
-    for key, _ in sorted(zip(keys, shapes, strict=True), key=lambda k: k[1]):
-        fits = F.coalesce(listed.holds(key), F.lit(False))
-        longer = F.coalesce(F.length(key) > F.length(best), F.lit(True))
-        best = F.when(fits & longer, key).otherwise(best)
+    # one expression for all shapes; the longest wins, then the longer host
+    fitting = F.transform(F.filter(asked, listed.holds), lambda k: F.struct(
+        F.length(k).alias("size"), F.length(F.substring_index(k, "\n", 1)).alias("host"), k.alias("key")
+    ))
+    best = F.array_max(fitting)["key"]
     return urls.withColumn("_best", best).select(
         "page_id", "host", "path", F.replace("_best", F.lit("\n"), F.lit("")).alias("rule"),
         F.when(F.col("_best").isNull(), F.lit(default))

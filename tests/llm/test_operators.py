@@ -291,7 +291,7 @@ def test_url_rules(spark):
 
 
 def test_cascade_is_exact(spark, monkeypatch):
-    monkeypatch.setattr(url_filter, "BITS_PER_KEY", 3)  # many false positives: several levels
+    monkeypatch.setattr(url_filter, "LEAST_BITS", 8)  # many false positives: several levels
     universe = spark.range(3000).select(F.concat(F.lit("k"), "id").alias("key"))
     listed = universe.where("substring(key, -1) = '7'")
     cascade = url_filter.Cascade(listed, universe)
