@@ -64,7 +64,12 @@ SELECT d.group_id, d.item_id, score,
 FROM display_done d JOIN weighted USING (group_id, item_id)
 """)
 def evidence_card(spark: SparkSession, sf: str) -> DataFrame:
-    cards = pr.evidence_cards(full_features(spark, sf))
+    remarks = (
+        "Groups are market segments of customers.", "Items are parts that they ordered.",
+        "Sources are order priorities.", "Partners are suppliers of the part.",
+        "Stages stand for order states.",
+    )
+    cards = pr.evidence_cards(full_features(spark, sf), limitations=remarks)
     return cards.select(
         "group_id", "item_id", F.round("score", 9).alias("score"),
         F.array_join("supporting.category", ",").alias("supporting"),
@@ -75,15 +80,14 @@ def evidence_card(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _detail(spark: SparkSession, sf: str) -> pr.EvidenceDetail:
-    """The detail tables of one group's pairs."""
+    """The detail tables of all pairs."""
     feats = t.score_features(spark, sf)
-    pairs = feats.where(F.col("group_id") == "AUTOMOBILE")
     partners = gr.top_partners(t.edges(spark, sf), t.node_lookup(spark, sf), "node").where(
         F.col("node").startswith("P")
     ).select(F.substring("node", 2, 20).cast("long").alias("item_id"), "partner_id", "score")
     cells = t.matrix(spark, sf).withColumnRenamed("tpm", "median_tpm")
     return pr.evidence_detail(
-        pairs, feats, gq.detail(spark, sf), cells, _as_item(partners), t.matched(spark, sf),
+        feats, feats, gq.detail(spark, sf), cells, _as_item(partners), t.matched(spark, sf),
         "4-NOT SPECIFIED",
     )
 
@@ -100,17 +104,17 @@ FROM detail d JOIN (
          AS position
   FROM (SELECT item_id, root_id, root_name, count(*) AS n_pathways FROM detail GROUP BY 1, 2, 3))
   USING (item_id, root_id)
-WHERE d.item_id IN (SELECT item_id FROM dims WHERE group_id = 'AUTOMOBILE')
+WHERE d.item_id IN (SELECT item_id FROM dims)
 """)
 def detail_pathways(spark: SparkSession, sf: str) -> DataFrame:
     return _detail(spark, sf).pathways
 
 
 @query("detail_tissues", """
-SELECT d.group_id, d.item_id, x.tissue, x.tpm AS median_tpm, x.tissue IN
-       (SELECT tissue FROM matched WHERE group_id = 'AUTOMOBILE' AND tissue IS NOT NULL)
-       AS is_relevant
-FROM dims d JOIN matrix x USING (item_id) WHERE d.group_id = 'AUTOMOBILE'
+SELECT d.group_id, d.item_id, x.tissue, x.tpm AS median_tpm, m.tissue IS NOT NULL AS is_relevant
+FROM dims d JOIN matrix x USING (item_id)
+LEFT JOIN (SELECT DISTINCT group_id, tissue FROM matched) m
+  ON m.group_id = d.group_id AND m.tissue = x.tissue
 """)
 def detail_tissues(spark: SparkSession, sf: str) -> DataFrame:
     return _detail(spark, sf).tissues
@@ -120,7 +124,7 @@ def detail_tissues(spark: SparkSession, sf: str) -> DataFrame:
 SELECT a.group_id, a.item_id, substr(p.partner_id, 2)::BIGINT AS partner_id, p.score,
        coalesce(s.symbol, substr(p.partner_id, 2)) AS partner_symbol,
        c.item_id IS NOT NULL AS is_candidate
-FROM (SELECT group_id, item_id FROM dims WHERE group_id = 'AUTOMOBILE') a
+FROM (SELECT group_id, item_id FROM dims) a
 JOIN partners p ON p.node = 'P' || a.item_id
 LEFT JOIN (SELECT item_id, min(symbol) AS symbol FROM feats GROUP BY 1) s
   ON s.item_id = substr(p.partner_id, 2)::BIGINT
@@ -136,7 +140,6 @@ SELECT f.group_id, f.item_id, dim__literature AS literature_score, n AS literatu
          || f.group_id || '%22' AS search_url
 FROM feats f LEFT JOIN (SELECT group_id, item_id, sum(evidence_count)::BIGINT AS n FROM ev
                         WHERE source = '4-NOT SPECIFIED' GROUP BY 1, 2) USING (group_id, item_id)
-WHERE f.group_id = 'AUTOMOBILE'
 """)
 def literature_summary(spark: SparkSession, sf: str) -> DataFrame:
     return _detail(spark, sf).literature

@@ -71,14 +71,16 @@ def rank_within_group(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("topn_per_group", """
 SELECT * FROM (
-  SELECT group_id, item_id, score,
-         row_number() OVER (PARTITION BY group_id ORDER BY score DESC, item_id) AS rank
-  FROM ev WHERE source = '1-URGENT') WHERE rank <= 7
+  SELECT group_id, item_id, source, score,
+         row_number() OVER (PARTITION BY group_id ORDER BY score DESC, item_id, source) AS rank
+  FROM (SELECT group_id, item_id, source, max(score) AS score FROM ev GROUP BY 1, 2, 3))
+WHERE rank <= 7
 """)
 def topn_per_group(spark: SparkSession, sf: str) -> DataFrame:
-    urgent = t.evidence(spark, sf).where(F.col("source") == "1-URGENT")
-    order = [F.col("score").desc(), F.col("item_id").asc()]
-    return ranking.top_n(urgent.select("group_id", "item_id", "score"), "group_id", order, 7)
+    best = t.evidence(spark, sf).groupBy("group_id", "item_id", "source").agg(
+        F.max("score").alias("score"))
+    order = [F.col("score").desc(), F.col("item_id").asc(), F.col("source").asc()]
+    return ranking.top_n(best, "group_id", order, 7)
 
 
 @query("score_ablation", "SELECT group_id, item_id, score FROM no_lit")
@@ -173,10 +175,7 @@ FROM (SELECT group_id, source, sum(evidence_count)::DOUBLE AS n FROM ev GROUP BY
 def normalized_weights(spark: SparkSession, sf: str) -> DataFrame:
     """Weights of a profile table rescaled to sum 1 per profile (one row per source)."""
     raw = t.evidence(spark, sf).groupBy("group_id", "source").agg(F.sum("evidence_count").alias("n"))
-    totals = raw.groupBy("group_id").agg(F.sum("n").alias("total"))
-    return raw.join(totals, "group_id").select(
-        "group_id", "source", (F.col("n") / F.col("total")).alias("weight")
-    )
+    return scoring.weight_shares(raw, ["group_id"], "n", "weight").drop("n")
 
 
 @query("random_baseline", """
@@ -221,20 +220,18 @@ def ablation_columns(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("sparse_union", """
 SELECT group_id, item_id, max(CASE WHEN source = '1-URGENT' THEN score END) AS urgent,
-       NULL::DOUBLE AS low FROM ev WHERE group_id = 'BUILDING' GROUP BY 1, 2
+       NULL::DOUBLE AS low FROM ev GROUP BY 1, 2
 UNION ALL
 SELECT group_id, item_id, NULL, max(CASE WHEN source = '5-LOW' THEN score END)
-FROM ev WHERE group_id = 'FURNITURE' GROUP BY 1, 2
+FROM ev GROUP BY 1, 2
 """)
 def sparse_union(spark: SparkSession, sf: str) -> DataFrame:
     """Diagonal union: a column a part lacks becomes null."""
-    def part(group: str, source: str, out: str) -> DataFrame:
-        rows = t.evidence(spark, sf).where(F.col("group_id") == group)
+    def part(source: str, out: str) -> DataFrame:
         best = F.max(F.when(F.col("source") == source, F.col("score")))
-        return rows.groupBy("group_id", "item_id").agg(best.alias(out))
+        return t.evidence(spark, sf).groupBy("group_id", "item_id").agg(best.alias(out))
 
-    return joins.union_all(part("BUILDING", "1-URGENT", "urgent"),
-                           part("FURNITURE", "5-LOW", "low"), diagonal=True)
+    return joins.union_all(part("1-URGENT", "urgent"), part("5-LOW", "low"), diagonal=True)
 
 
 @query("keep_first", """

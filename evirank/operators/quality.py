@@ -24,13 +24,6 @@ class SchemaError(ValueError):
     """A table does not have the columns or keys it promises."""
 
 
-def require_columns(df: DataFrame, columns: list[str], context: str = "") -> None:
-    absent = [c for c in columns if c not in df.columns]
-    if absent:
-        place = f" in {context}" if context else ""
-        raise SchemaError(f"missing columns{place}: {absent}; present: {sorted(df.columns)}")
-
-
 def duplicate_keys(df: DataFrame, key: list[str]) -> DataFrame:
     """Keys that occur more than once."""
     return df.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
@@ -46,17 +39,8 @@ def unique_key_report(df: DataFrame, key: list[str]) -> DataFrame:
     )
 
 
-def require_unique_key(df: DataFrame, key: list[str], context: str = "") -> None:
-    require_columns(df, key, context)
-    surplus = unique_key_report(df, key).first()["n_duplicates"]
-    if surplus:
-        few = [r.asDict() for r in duplicate_keys(df, key).limit(3).collect()]
-        raise SchemaError(f"{surplus} duplicate key rows {context} on {key}, such as {few}")
-
-
 def null_counts(df: DataFrame, columns: list[str]) -> DataFrame:
     """Column, null count, row count: one pass."""
-    require_columns(df, columns)
     counted = df.agg(
         *[F.count_if(F.col(c).isNull()).alias(c) for c in columns],
         F.count(F.lit(1)).alias("_rows"),
@@ -66,10 +50,36 @@ def null_counts(df: DataFrame, columns: list[str]) -> DataFrame:
     )
 
 
-def require_no_nulls(df: DataFrame, columns: list[str], context: str = "") -> None:
-    bad = {r["column"]: r["n_null"] for r in null_counts(df, columns).collect() if r["n_null"]}
-    if bad:
-        raise SchemaError(f"nulls {context}: {bad}")
+def contract_report(
+    df: DataFrame, present: list[str] | None = None, key: list[str] | None = None,
+    filled: list[str] | None = None,
+) -> DataFrame:
+    """(rule, subject, n): every breach of a table's contract, none if the table keeps it.
+
+    ``present`` names columns that must exist, ``key`` columns that identify a row, ``filled``
+    columns without nulls. Rules on absent columns are reported as absent, not evaluated.
+    """
+    spark, have = df.sparkSession, set(df.columns)
+    named = dict.fromkeys([*(present or []), *(key or []), *(filled or [])])
+    breaches = [spark.createDataFrame(
+        [("absent", c, 1) for c in named if c not in have], "rule string, subject string, n long"
+    )]
+    if key and have.issuperset(key):
+        breaches.append(unique_key_report(df, key).select(
+            F.lit("repeated key").alias("rule"), F.lit(", ".join(key)).alias("subject"),
+            F.col("n_duplicates").alias("n"),
+        ))
+    if checked := [c for c in filled or [] if c in have]:
+        breaches.append(null_counts(df, checked).select(
+            F.lit("null").alias("rule"), F.col("column").alias("subject"), F.col("n_null").alias("n")
+        ))
+    return reduce(DataFrame.unionByName, breaches).where("n > 0")
+
+
+def assert_contract(df: DataFrame, **contract: list[str] | None) -> None:
+    """Raise with the whole ``contract_report``; its length is bounded by the columns named."""
+    if broken := contract_report(df, **contract).orderBy("rule", "subject").collect():
+        raise SchemaError("; ".join(f"{r.rule} {r.subject} ({r.n})" for r in broken))
 
 
 def check_leakage(

@@ -40,15 +40,6 @@ from evirank.operators.scoring import (
 LINK_BASE = "https://platform.example.org"
 SEARCH_BASE = "https://search.example.org/?query="
 SORT_KEYS = {"weighted_baseline": WEIGHTED_SCORE, "held_out": "held_out_score"}
-# Standing limitations that every explanation carries.
-LIMITATIONS = (
-    "The score sets priorities; it is not a probability of success.",
-    "The label states that an advanced stage was reached, not that the item is safe or effective.",
-    "Most positives are positive in several groups; check the other-group count first.",
-    "A missing feature means that nothing was recorded, not that nothing is there.",
-    "Experimental validation is still required.",
-)
-
 
 def source_links(item: Column, group: Column, base: str = LINK_BASE) -> Column:
     """Three links per pair: the item, the group, and their evidence."""
@@ -106,12 +97,13 @@ def rank_groups(
 
 def evidence_cards(
     features: DataFrame, weights: dict[str, float] | None = None, factors: DataFrame | None = None,
-    top: int = 5, group: str = GROUP, item: str = ITEM,
+    top: int = 5, group: str = GROUP, item: str = ITEM, limitations: tuple[str, ...] = (),
 ) -> DataFrame:
     """One card per pair: what supports it, what speaks against it, what is missing.
 
     ``factors`` holds ``top_positive_factors`` and ``top_negative_factors`` per
-    pair from the model that did not see the group.
+    pair from the model that did not see the group; ``limitations`` are the
+    caller's standing remarks, repeated on every card.
     """
     weights = DEFAULT_WEIGHTS if weights is None else weights
     scored = display_completeness(weighted_score(features, weights))
@@ -147,7 +139,7 @@ def evidence_cards(
         group, item, *[c for c in ("symbol",) if c in scored.columns],
         F.col(WEIGHTED_SCORE).alias("score"), supporting.alias("supporting"),
         contradicting.alias("contradicting"), F.col("missing_evidence").alias("missing"),
-        F.array(*[F.lit(x) for x in LIMITATIONS]).alias("limitations"),
+        F.array(*[F.lit(x) for x in limitations]).cast("array<string>").alias("limitations"),
         source_links(F.col(item), F.col(group)).alias("source_links"),
     )
 
