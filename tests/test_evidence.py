@@ -3,44 +3,50 @@ import pytest
 from evirank.operators import evidence as ev
 
 DIMS = {
-    "genetics": ["gwas_credible_sets", "eva", "orphanet"], "functional": ["impc"],
-    "literature": ["europepmc"], "pathways": ["reactome"],
+    "genetics": ["panel", "cohort"], "functional": ["screen"], "literature": ["papers"],
+    "pathways": ["maps"],
 }
+ROWS = [  # item, source, score, count
+    ("u", "panel", 0.35, 4), ("u", "cohort", 0.62, 1), ("u", "panel", 0.15, 2), ("u", "papers", 0.05, 31),
+    ("v", "screen", 0.71, 6), ("v", "clinical_precedence", 0.88, 2), ("w", "papers", 0.44, 8),
+    ("w", "cohort", 0.11, 3), ("w", "screen", 0.52, 5),
+]
 
 
 @pytest.fixture
 def evidence(spark):
     return spark.createDataFrame(
-        [("A", "gwas_credible_sets", 0.9, 10), ("A", "eva", 0.4, 2), ("A", "europepmc", 0.8, 100),
-         ("B", "europepmc", 0.7, 50), ("C", "impc", 0.6, 3), ("C", "clinical_precedence", 0.95, 1)],
-        "item_id STRING, source STRING, score DOUBLE, evidence_count LONG",
-    )
+        ROWS, "item_id STRING, source STRING, score DOUBLE, evidence_count LONG")
 
 
 def test_max_within_a_dimension_and_null_when_absent(evidence, by):
     rows = by(ev.dimension_scores(evidence, DIMS, ["item_id"]), "item_id")
-    assert set(rows) == {"A", "B", "C"}
-    assert rows["A"]["dim__genetics"] == 0.9
-    assert rows["B"]["dim__genetics"] is None and rows["B"]["missing__genetics"] == 1
-    assert all(r["dim__pathways"] is None and r["missing__pathways"] == 1 for r in rows.values())
+    for item in "uvw":
+        for d, sources in DIMS.items():
+            best = max((x for i, s, x, _ in ROWS if i == item and s in sources), default=None)
+            assert rows[item][f"dim__{d}"] == best
+            assert rows[item][f"missing__{d}"] == (best is None)
+    assert len(rows) == 3
 
 
 def test_diversity_counts_distinct_sources_and_saturates(spark, evidence, by):
-    rows = by(ev.evidence_diversity(evidence, ["item_id"], saturation=2), "item_id")
-    assert rows["A"]["n_evidence_types"] == 3 and rows["A"]["dim__evidence_diversity"] == 1.0
-    assert rows["B"]["dim__evidence_diversity"] == 0.5
+    rows = by(ev.evidence_diversity(evidence, ["item_id"], saturation=4), "item_id")
+    assert [rows[i]["n_evidence_types"] for i in "uvw"] == [3, 2, 3]
+    assert [rows[i]["dim__evidence_diversity"] for i in "uvw"] == [0.75, 0.5, 0.75]
+    few = by(ev.evidence_diversity(evidence, ["item_id"], saturation=2), "item_id")
+    assert all(r["dim__evidence_diversity"] == 1.0 for r in few.values())
 
 
 def test_denylist_blocks_by_derived_name_before_the_pivot(evidence):
     kept = ev.drop_denied_sources(evidence)
-    assert kept.count() == 5
+    assert kept.count() == len(ROWS) - 1
     assert "clinical_precedence" not in ev.source_values(kept)
     dropped = ev.denied_sources(evidence).collect()
     assert [(r["source"], r["n_rows"]) for r in dropped] == [("clinical_precedence", 1)]
 
 
 def test_no_rules_keep_everything(evidence):
-    assert ev.drop_denied_sources(evidence, ()).count() == 6
+    assert ev.drop_denied_sources(evidence, ()).count() == len(ROWS)
 
 
 def test_glob_is_escaped():
@@ -51,25 +57,24 @@ def test_glob_is_escaped():
 
 
 def test_required_rule_can_be_stale():
-    assert ev.stale_rules(["assoc_ds__eva_score"]) == ["clinical_source", "flag_clinical_stage"]
+    assert ev.stale_rules(["assoc_ds__cohort_score"]) == ["clinical_source", "flag_clinical_stage"]
     live = ["assoc_ds__clinical_precedence_score", "prio__max_clinical_stage"]
     assert ev.stale_rules(live) == []
 
 
 def test_pivot_keeps_absent_null(evidence, by):
-    rows = by(ev.pivot_evidence(evidence, ["eva", "europepmc"], ["item_id"]), "item_id")
-    assert rows["A"]["assoc_ds__eva_score"] == 0.4
-    assert rows["B"]["assoc_ds__eva_score"] is None
-    assert rows["B"]["assoc_ds__europepmc_evidence_count"] == 50
+    rows = by(ev.pivot_evidence(evidence, ["cohort", "papers"], ["item_id"]), "item_id")
+    assert [rows[i]["assoc_ds__cohort_score"] for i in "uvw"] == [0.62, None, 0.11]
+    assert [rows[i]["assoc_ds__papers_evidence_count"] for i in "uvw"] == [31, None, 8]
 
 
 def test_fused_features_agree_with_the_single_operators(spark, evidence, by):
     from evirank.plans.features import FeatureConfig, evidence_features
 
-    config = FeatureConfig(DIMS, [], [], ["eva", "europepmc"])
+    config = FeatureConfig(DIMS, [], [], ["cohort", "papers"])
     rows = by(evidence_features(evidence, config, ["item_id"]), "item_id")
     dims = by(ev.dimension_scores(evidence, DIMS, ["item_id"]), "item_id")
-    wide = by(ev.pivot_evidence(evidence, ["eva", "europepmc"], ["item_id"]), "item_id")
+    wide = by(ev.pivot_evidence(evidence, ["cohort", "papers"], ["item_id"]), "item_id")
     for k in rows:
         for c, v in {**dims[k], **wide[k]}.items():
             assert rows[k][c] == v

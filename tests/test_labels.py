@@ -3,40 +3,64 @@ import pytest
 from evirank.operators import labels as lb
 
 
+FAMILIES = {"north": ["north", "n-east", "n-west"], "south": ["south"]}
+EVIDENCE = {  # (group, item) -> sources
+    ("north", "oak"): ["assay"], ("north", "elm"): ["assay", "clinical_precedence"],
+    ("north", "fir"): ["clinical_precedence"], ("north", "ash"): ["survey"],
+    ("north", "yew"): ["survey", "assay"], ("south", "oak"): ["assay"], ("south", "yew"): ["assay"],
+    ("south", "ash"): ["clinical_precedence"],
+}
+CLINICAL = [  # item, group, stage
+    ("elm", "n-east", "PHASE_3"), ("elm", "north", "PHASE_1"), ("fir", "n-west", "APPROVAL"),
+    ("ash", "north", "UNKNOWN"), ("yew", "n-west", "PHASE_1"), ("yew", "north", "UNKNOWN"),
+    ("oak", "south", "PHASE_2_3"), ("larch", "n-east", "PHASE_3"), ("ash", "south", "PHASE_1"),
+    ("yew", "elsewhere", "APPROVAL"),
+]
+
+
 @pytest.fixture
 def built(spark):
     evidence = spark.createDataFrame(
-        [("M", "T1", "gwas", 0.9), ("M", "T1", "clinical_precedence", 0.99),
-         ("M", "T2", "clinical_precedence", 0.99)]
-        + [("M", t, "gwas", 0.5) for t in ("T3", "T4", "T5", "T6", "T8")],
+        [(g, i, s, 0.3) for (g, i), sources in EVIDENCE.items() for s in sources],
         "group_id STRING, item_id STRING, source STRING, score DOUBLE")
-    clinical = spark.createDataFrame(
-        [("T1", "M", "PHASE_3"), ("T2", "M", "APPROVAL"), ("T4", "M", "PHASE_1"),
-         ("T5", "M", "UNKNOWN"), ("T6", "M", "PHASE_1"), ("T6", "CHILD", "PHASE_3"),
-         ("T7", "CHILD", "PHASE_3"), ("T8", "M", "PHASE_2_3"), ("T3", "OTHER", "APPROVAL")],
-        "item_id STRING, group_direct STRING, stage STRING")
-    groups = spark.createDataFrame([("M", ["CHILD"])], "group_id STRING, descendants ARRAY<STRING>")
+    clinical = spark.createDataFrame(CLINICAL, "item_id STRING, group_direct STRING, stage STRING")
+    groups = spark.createDataFrame([(g, m[1:]) for g, m in FAMILIES.items()],
+                                   "group_id STRING, descendants ARRAY<STRING>")
     return lb.build_labels(evidence, clinical, lb.expand_family(groups))
 
 
 def test_tri_state_labels(built, by):
-    rows = by(built[0], "item_id")
-    assert {k: r["label"] for k, r in rows.items()} == {
-        "T1": 1, "T3": 0, "T4": 0, "T5": None, "T6": 1, "T8": 1}
-    assert rows["T3"]["label_reason"] == lb.NO_EVIDENCE
-    assert rows["T4"]["label_reason"] == lb.EARLY_STAGE
-    assert rows["T5"]["label_reason"] == lb.UNKNOWN_STAGE
-
-
-def test_buckets_reconcile(built):
-    row = built[1].first()
-    assert row["n_positive"] == 3 and row["n_positive_outside"] == 1 and row["n_positive_dropped"] == 1
-    assert row["n_family_positive"] == 5 and row["balanced"]
-    assert row["n_full_candidates"] == 7 and row["n_scored_candidates"] == 6
-    assert row["n_dropped_clinical_only"] == 1 and row["n_excluded_unknown_stage"] == 1
-    assert row["n_positive_direct_only"] == 2 and row["family_size"] == 2
+    rows = by(built[0], "group_id", "item_id")
+    want = {}
+    for (group, item), sources in EVIDENCE.items():
+        if sources == ["clinical_precedence"]:
+            continue
+        levels = [lb.STAGE_LEVELS[s] for i, g, s in CLINICAL if i == item and g in FAMILIES[group]]
+        known = [x for x in levels if x is not None]
+        if not levels:
+            want[group, item] = (0, lb.NO_EVIDENCE)
+        elif not known:
+            want[group, item] = (None, lb.UNKNOWN_STAGE)
+        elif max(known) < lb.POSITIVE_LEVEL:
+            want[group, item] = (0, lb.EARLY_STAGE)
+        else:
+            want[group, item] = (1, lb.positive_reason(lb.POSITIVE_LEVEL))
+    assert {k: (r["label"], r["label_reason"]) for k, r in rows.items()} == want
+    assert {v[0] for v in want.values()} == {0, 1, None}
+
+
+def test_buckets_reconcile(built, by):
+    rows = by(built[1], "group_id")
+    north, south = rows["north"], rows["south"]
+    assert (north["n_positive"], north["n_positive_outside"], north["n_positive_dropped"]) == (1, 1, 1)
+    assert north["n_family_positive"] == 3 and north["balanced"] and south["balanced"]
+    assert (north["n_full_candidates"], north["n_scored_candidates"]) == (5, 4)
+    assert north["n_dropped_clinical_only"] == south["n_dropped_clinical_only"] == 1
+    assert north["n_excluded_unknown_stage"] == 1 and north["n_positive_direct_only"] == 0
+    assert (north["family_size"], south["family_size"]) == (3, 1)
+    assert (south["n_positive"], south["n_negative"], south["n_positive_direct_only"]) == (1, 1, 1)
     totals = lb.label_totals(built[1]).first()
-    assert totals["n_groups"] == 1 and totals["balanced"]
+    assert totals["n_groups"] == 2 and totals["balanced"]
 
 
 def test_unknown_stage_names_raise(spark):

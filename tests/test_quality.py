@@ -12,13 +12,13 @@ def df(spark):
 
 
 def test_schema_checks_name_everything(df):
-    with pytest.raises(quality.SchemaError, match="p.*q"):
-        quality.require_columns(df, ["x", "p", "q"])
-    with pytest.raises(quality.SchemaError, match="1 duplicate"):
-        quality.require_unique_key(df, ["group_id", "item_id"])
-    with pytest.raises(quality.SchemaError, match="'x': 2"):
-        quality.require_no_nulls(df, ["x", "item_id"])
-    quality.require_no_nulls(df, ["item_id"])
+    with pytest.raises(quality.SchemaError, match=r"absent p \(1\); absent q \(1\)"):
+        quality.assert_contract(df, present=["x", "p", "q"])
+    report = quality.contract_report(df, key=["group_id", "item_id"], filled=["x", "item_id", "z"])
+    assert {tuple(r) for r in report.collect()} == {
+        ("repeated key", "group_id, item_id", 1), ("null", "x", 2), ("absent", "z", 1)}
+    quality.assert_contract(df, filled=["item_id"], present=["x"])
+    quality.assert_contract(df.limit(0), key=["item_id"], filled=["x"])
 
 
 def test_leakage_and_stale_rules(df):

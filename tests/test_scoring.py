@@ -5,26 +5,34 @@ from evirank.operators import scoring as sc
 from evirank.operators.evidence import LeakageError
 from evirank.plans import products as pr
 
-W = {"genetics": 0.5, "literature": 0.3, "druggability": 0.2}
+W = {"genetics": 0.25, "functional": 0.35, "literature": 0.4}
+VALUES = {  # item -> value of each dimension
+    "kappa": (0.8, None, 0.25), "sigma": (0.2, 0.6, None), "omega": (None, None, 0.9),
+    "rho": (0.4, 0.4, 0.4),
+}
 
 
 @pytest.fixture
 def features(spark):
     return spark.createDataFrame(
-        [("D", "ENSG_A", "AAA", 1.0, 0.0, 1.0), ("D", "ENSG_B", "BBB", 0.5, 1.0, None),
-         ("D", "ENSG_C", "CCC", None, 1.0, 0.5)],
-        "group_id STRING, item_id STRING, symbol STRING, dim__genetics DOUBLE, "
-        "dim__literature DOUBLE, dim__druggability DOUBLE")
+        [("wool", f"id-{name}", name, *v) for name, v in VALUES.items()],
+        "group_id STRING, item_id STRING, symbol STRING, "
+        + ", ".join(f"dim__{d} DOUBLE" for d in W))
+
+
+def plain_score(values, weights):
+    return sum(w * (v or 0.0) for v, w in zip(values, weights))
 
 
 def test_score_contributions_and_completeness(features, by):
     rows = by(sc.weighted_score(features, W), "symbol")
-    assert [rows[s]["prioritization_score"] for s in ("AAA", "BBB", "CCC")] == pytest.approx(
-        [0.70, 0.55, 0.40])
-    assert [rows[s]["evidence_completeness"] for s in ("AAA", "BBB", "CCC")] == pytest.approx(
-        [1, 2 / 3, 2 / 3])
-    for r in rows.values():
-        assert sum(r[f"contrib__{d}"] for d in W) == pytest.approx(r["prioritization_score"])
+    for name, values in VALUES.items():
+        r = rows[name]
+        assert r["prioritization_score"] == pytest.approx(plain_score(values, W.values()))
+        assert r["evidence_completeness"] == pytest.approx(sum(v is not None for v in values) / 3)
+        assert [r[f"contrib__{d}"] for d in W] == pytest.approx(
+            [w * (v or 0.0) for v, w in zip(values, W.values())])
+    assert rows["rho"]["prioritization_score"] == pytest.approx(0.4)
 
 
 @pytest.mark.parametrize("weights, error", [
@@ -35,11 +43,19 @@ def test_bad_weights_raise(features, weights, error):
         sc.weighted_score(features, weights)
 
 
-def test_normalized_weights():
-    assert sc.normalize_weights({"a": 1, "b": 3}) == {"a": 0.25, "b": 0.75}
-    for bad in ({}, {"a": -1}, {"a": 0}):
-        with pytest.raises(ValueError):
-            sc.normalize_weights(bad)
+def test_weight_shares(spark, by):
+    table = spark.createDataFrame(
+        [("p", "x", 3.0), ("p", "y", 5.0), ("p", "z", 0.0), ("q", "x", 0.2)], "profile STRING, d STRING, w DOUBLE")
+    rows = by(sc.weight_shares(table, ["profile"], "w", "share"), "profile", "d")
+    assert {k: r["share"] for k, r in rows.items()} == pytest.approx(
+        {("p", "x"): 0.375, ("p", "y"): 0.625, ("p", "z"): 0.0, ("q", "x"): 1.0})
+    for bad in (-1.0, None):
+        broken = table.union(spark.createDataFrame([("q", "y", bad)], table.schema))
+        with pytest.raises(Exception, match="weights must be known"):
+            sc.weight_shares(broken, ["profile"], "w", "share").collect()
+    with pytest.raises(Exception, match="weights must be known"):
+        sc.weight_shares(table.where("w = 0"), ["profile"], "w", "share").collect()
+    assert sc.weight_shares(table.limit(0), ["profile"], "w", "share").count() == 0
 
 
 def test_label_columns_never_reach_the_score(features):
@@ -58,23 +74,24 @@ def test_ties_break_by_symbol_then_id(spark):
 
 def test_ablation_rescales(features, by):
     rows = by(sc.ablate(features, ["literature"], W), "symbol")
-    assert rows["BBB"]["prioritization_score"] == pytest.approx(0.5 * 0.5 / 0.7)
+    assert rows["sigma"]["prioritization_score"] == pytest.approx((0.25 * 0.2 + 0.35 * 0.6) / 0.6)
     with pytest.raises(ValueError):
         sc.ablate(features, list(W), W)
 
 
 def test_explain_lists_missing_and_top(features, by):
     rows = by(sc.explain_rows(sc.weighted_score(features, W), W, top=1), "symbol")
-    assert rows["CCC"]["missing_dimensions"] == ["genetics"]
-    assert rows["CCC"]["dimension_values"]["genetics"] is None
-    assert rows["AAA"]["top_contributors"] == [{"dimension": "genetics", "contribution": 0.5}]
+    assert rows["kappa"]["missing_dimensions"] == ["functional"]
+    assert rows["kappa"]["dimension_values"]["functional"] is None
+    (best,) = rows["kappa"]["top_contributors"]
+    assert best["dimension"] == "genetics" and best["contribution"] == pytest.approx(0.2)
 
 
 def test_profiles_score_like_single_runs(features, by):
     profiles = {"p": W, "q": {"genetics": 1.0}}
     rows = by(sc.score_profiles(features, profiles), "profile", "item_id")
-    assert rows["p", "ENSG_A"]["score"] == pytest.approx(0.7)
-    assert rows["q", "ENSG_C"]["score"] == 0.0 and len(rows) == 6
+    assert rows["p", "id-rho"]["score"] == pytest.approx(0.4)
+    assert rows["q", "id-omega"]["score"] == 0.0 and len(rows) == 8
 
 
 def test_planned_ablations_name_the_skipped():
@@ -91,29 +108,54 @@ def test_score_runs_on_a_stream(spark, features, tmp_path):
     stream = sc.weighted_score(spark.readStream.schema(features.schema).parquet(path), W)
     q = stream.writeStream.format("memory").queryName("scored").trigger(availableNow=True).start()
     q.awaitTermination(60)
-    assert spark.table("scored").count() == 3
+    assert spark.table("scored").count() == len(VALUES)
+
+
+DIMS = ("genetics", "evidence_diversity", "functional", "literature", "druggability")
+SHOWN = ("genetics", "functional", "druggability", "pathways", "network", "expression")
+
+
+def made(n=13):
+    """Candidates by rule: every value is a residue of the number, some are null."""
+    out = []
+    for k in range(1, n + 1):
+        v = {d: None if (k + j) % 7 == 0 else (k * (3 + 2 * j) ** 2 % 97) / 97 for j, d in enumerate(DIMS)}
+        gone = {c: int((k * (j + 2)) % 5 == 0) for j, c in enumerate(SHOWN)}
+        out.append({
+            "group_id": "wool", "item_id": f"c{k:02d}", "symbol": f"sym{(k * 5) % n:02d}",
+            **{f"dim__{d}": x for d, x in v.items()}, **{f"missing__{c}": m for c, m in gone.items()},
+            "expr__relevant_tissue_tpm": None if k % 6 == 0 else k % 4 * 0.5,
+            "prio__has_small_molecule_binder": None if k % 9 == 0 else k % 2,
+            "prio__has_safety_event": -1 if k % 4 == 1 else None,
+            "held": (k * 4 % n) / n,
+        })
+    return {r["item_id"]: r for r in out}
+
+
+ROWS = made()
+
+
+def expected_score(r):
+    return sum(w * (r[f"dim__{d}"] or 0.0) for d, w in sc.DEFAULT_WEIGHTS.items())
+
+
+def known_share(r):
+    return 1 - sum(r[f"missing__{c}"] for c in SHOWN) / len(SHOWN)
 
 
 @pytest.fixture
 def candidates(spark):
-    rows = [
-        ("D1", "T1", "S1", 0.9, 0.8, 0.7, 0.6, 1.0, 0, 0, 0, 0, 0, 0, 5.0, 1, None),
-        ("D1", "T2", "S2", 0.1, 0.2, None, 0.6, 0.0, 0, 1, 0, 1, 0, 0, 0.5, 0, -1),
-        ("D1", "T3", "S3", None, 0.5, 0.3, 0.6, 0.5, 1, 0, 0, 0, 1, 0, 2.0, 1, None),
-        ("D1", "T4", "S4", 0.5, 0.5, 0.4, 0.6, None, 0, 0, 1, 0, 0, 1, None, 0, None)]
-    return spark.createDataFrame(
-        rows, "group_id STRING, item_id STRING, symbol STRING, dim__genetics DOUBLE, "
-        "dim__evidence_diversity DOUBLE, dim__functional DOUBLE, dim__literature DOUBLE, "
-        "dim__druggability DOUBLE, missing__genetics INT, missing__functional INT, "
-        "missing__druggability INT, missing__pathways INT, missing__network INT, "
-        "missing__expression INT, expr__relevant_tissue_tpm DOUBLE, "
-        "prio__has_small_molecule_binder INT, prio__has_safety_event INT")
+    kinds = ("group_id STRING, item_id STRING, symbol STRING, "
+             + ", ".join(f"dim__{d} DOUBLE" for d in DIMS) + ", "
+             + ", ".join(f"missing__{c} INT" for c in SHOWN)
+             + ", expr__relevant_tissue_tpm DOUBLE, prio__has_small_molecule_binder INT, prio__has_safety_event INT")
+    return spark.createDataFrame([tuple(v for k, v in r.items() if k != "held") for r in ROWS.values()], kinds)
 
 
 @pytest.fixture
 def shown(spark):
     return spark.createDataFrame(
-        [("D1", "T1", 0.2, 3), ("D1", "T2", 0.9, 0), ("D1", "T3", 0.5, 1), ("D1", "T4", 0.4, 0)],
+        [(r["group_id"], r["item_id"], r["held"], k) for k, r in enumerate(ROWS.values())],
         "group_id STRING, item_id STRING, held_out_score DOUBLE, n_other_groups_positive INT")
 
 
@@ -123,12 +165,14 @@ def run(candidates, shown, **kw):
 
 
 def test_ranking_and_sort_keys(candidates, shown):
-    assert run(candidates, shown)[0] == ("T1", 1)
-    assert run(candidates, shown, sort_by="held_out")[0] == ("T2", 1)
+    order = sorted(ROWS, key=lambda i: -expected_score(ROWS[i]))  # no ties by the rule of made()
+    assert run(candidates, shown) == [(i, k) for k, i in enumerate(order, 1)]
+    order = sorted(ROWS, key=lambda i: -ROWS[i]["held"])
+    assert [i for i, _ in run(candidates, shown, sort_by="held_out")] == order
     with pytest.raises(ValueError):
         run(candidates, shown, sort_by="x")
     with pytest.raises(KeyError):
-        run(candidates, shown, group_value="D9")
+        run(candidates, shown, group_value="silk")
 
 
 def test_filters_keep_ranks_and_nulls(candidates, shown):
@@ -138,12 +182,16 @@ def test_filters_keep_ranks_and_nulls(candidates, shown):
         got = run(candidates, shown, filters=f(**kw))
         assert all(every[i] == rank for i, rank in got)
         return {i for i, _ in got}
-    assert kept(exclude_safety=True) == {"T1", "T3", "T4"}
+    def those(test):
+        found = {i for i, r in ROWS.items() if test(r)}
+        assert found and found != set(ROWS)
+        return found
+    assert kept(exclude_safety=True) == those(lambda r: r["prio__has_safety_event"] is None)
     assert kept(min_genetics=0.0) == set(every)
-    assert kept(min_genetics=0.3) == {"T1", "T4"}
-    assert kept(relevant_tissue=True) == {"T1", "T3"}
-    assert kept(require_druggable=True) == {"T1", "T3"}
-    assert kept(min_completeness=0.9) == {"T1"}
+    assert kept(min_genetics=0.5) == those(lambda r: (r["dim__genetics"] or 0) >= 0.5)
+    assert kept(relevant_tissue=True) == those(lambda r: (r["expr__relevant_tissue_tpm"] or 0) >= 1)
+    assert kept(require_druggable=True) == those(lambda r: r["prio__has_small_molecule_binder"] == 1)
+    assert kept(min_completeness=0.8) == those(lambda r: known_share(r) >= 0.8)
     with pytest.raises(ValueError):
         kept(item_family="kinase")
     assert len(run(candidates, shown, n=2)) == 2
@@ -151,28 +199,32 @@ def test_filters_keep_ranks_and_nulls(candidates, shown):
 
 def test_completeness_and_missing_list(candidates, shown, by):
     rows = by(pr.rank_groups(candidates, shown), "item_id")
-    assert [rows[t]["app_evidence_completeness"] for t in ("T1", "T2", "T3", "T4")] == pytest.approx(
-        [1, 4 / 6, 4 / 6, 4 / 6])
-    assert rows["T4"]["missing_evidence"] == ["druggability", "expression"]
-    assert rows["T3"]["evidence"]["genetics"] is None
-    assert set(rows["T1"]["source_links"]) == {"item", "group", "evidence"}
+    for i, r in ROWS.items():
+        assert rows[i]["app_evidence_completeness"] == pytest.approx(known_share(r))
+        assert set(rows[i]["missing_evidence"]) == {c for c in SHOWN if r[f"missing__{c}"]}
+        assert rows[i]["evidence"]["genetics"] == r["dim__genetics"]
+        assert set(rows[i]["source_links"]) == {"item", "group", "evidence"}
 
 
 def test_cards(candidates, by):
-    rows = by(pr.evidence_cards(candidates), "item_id")
-    assert [c["category"] for c in rows["T2"]["contradicting"]] == ["safety_event"]
-    assert rows["T1"]["contradicting"] == [] and rows["T1"]["missing"] == []
-    values = [c["value"] for c in rows["T1"]["supporting"]]
-    assert values == sorted(values, reverse=True) and len(values) == 5
-    assert sum(values) == pytest.approx(rows["T1"]["score"])
+    rows = by(pr.evidence_cards(candidates, limitations=("read with care",)), "item_id")
+    for i, r in ROWS.items():
+        unsafe = ["safety_event"] if r["prio__has_safety_event"] == -1 else []
+        assert [c["category"] for c in rows[i]["contradicting"]] == unsafe
+        values = [c["value"] for c in rows[i]["supporting"]]
+        assert values == sorted(values, reverse=True)
+        assert sum(values) == pytest.approx(rows[i]["score"]) == expected_score(r)
+        assert rows[i]["limitations"] == ["read with care"]
+    assert all(r["limitations"] == [] for r in by(pr.evidence_cards(candidates), "item_id").values())
 
 
 def test_transparent_run(spark, candidates, by):
-    known = spark.createDataFrame([("D1", "T1"), ("D1", "TX")], "group_id STRING, item_id STRING")
-    done = pr.transparent_run(candidates, known, n=2)
+    best = max(ROWS, key=lambda i: expected_score(ROWS[i]))
+    known = spark.createDataFrame([("wool", best), ("wool", "nowhere")], "group_id STRING, item_id STRING")
+    done = pr.transparent_run(candidates, known, n=3)
     row = done.acceptance.first()
     assert (row["n_known"], row["n_reached"], row["passed"]) == (2, 1, False)
-    assert done.movement.count() == 2
+    assert done.movement.count() == 3
 
 
 def test_select_features_and_dropped_dimension(candidates):
@@ -190,5 +242,5 @@ def test_nulls_survive_the_sinks(spark, candidates, shown, tmp_path, by):
         path = str(tmp_path / kind)
         product.write.format(kind).save(path)
         back = by(spark.read.schema(product.schema).format(kind).load(path), "item_id")
-        assert back["T3"]["evidence"].get("genetics") is None
-        assert back["T3"]["evidence"]["functional"] == 0.3
+        for i, r in ROWS.items():
+            assert back[i]["evidence"].get("genetics") == r["dim__genetics"]
