@@ -76,9 +76,6 @@ def pagerank_percentile(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("node", F.round("dim__network", 9).alias("dim__network"))
 
 
-BETWEENNESS_SAMPLE = 8
-
-
 def _betweenness_sql(k: int, levels: int) -> str:
     """Breadth-first levels forward, dependencies backward, unrolled."""
     blocks = [
@@ -105,15 +102,15 @@ GROUP BY 1, 2, 3)""")
             + f", summed AS (SELECT node, sum(delta) AS d FROM ({union}) GROUP BY 1)")
 
 
-@query("betweenness", _betweenness_sql(BETWEENNESS_SAMPLE, 6) + f"""
-SELECT node, round(coalesce(d, 0) * (n / {BETWEENNESS_SAMPLE}.0) / ((n - 1) * (n - 2)), 9)
+@query("betweenness", _betweenness_sql(gr.BETWEENNESS_SOURCES, 6) + f"""
+SELECT node, round(coalesce(d, 0) * (n / least(n, {gr.BETWEENNESS_SOURCES}.0)) / ((n - 1) * (n - 2)), 9)
        AS betweenness
 FROM node_stats LEFT JOIN summed USING (node), (SELECT count(*)::DOUBLE AS n FROM node_stats)
 """)
 def betweenness(spark: SparkSession, sf: str) -> DataFrame:
-    """Sampled betweenness; the sample size is the operator's own parameter."""
+    """Betweenness over the operator's own number of sources."""
     graph = gr.prepare_graph(t.edges(spark, sf))
-    out = gr.betweenness(graph, k=BETWEENNESS_SAMPLE)
+    out = gr.betweenness(graph)
     graph.release()
     return out.withColumn("betweenness", F.round("betweenness", 9))
 

@@ -9,6 +9,7 @@ task. Iterations are cut by reliable checkpoints.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
@@ -223,8 +224,10 @@ def betweenness(graph: Graph, k: int = BETWEENNESS_SOURCES, seed: int = 0) -> Da
     level0 = cut_lineage(sources.select(
         F.col("node").alias("source"), "node", F.lit(1.0).alias("sigma"),
     ))
-    levels, seen = [level0], level0.select("source", "node")
+    levels = [level0]
     while True:
+        # a neighbour of a level lies in it, in the one before, or in the next
+        seen = reduce(DataFrame.unionByName, [x.select("source", "node") for x in levels[-2:]])
         ahead = (
             graph.spread(levels[-1]).withColumnRenamed("node", "src")
             .join(edges, ["src", "salt"])
@@ -234,7 +237,6 @@ def betweenness(graph: Graph, k: int = BETWEENNESS_SOURCES, seed: int = 0) -> Da
         if nxt.isEmpty():
             break
         levels.append(nxt)
-        seen = seen.unionByName(nxt.select("source", "node"))
 
     # delta(v) = sum over successors w of sigma(v)/sigma(w) * (1 + delta(w))
     deeper = levels[-1].withColumn("delta", F.lit(0.0))
