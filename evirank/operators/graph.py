@@ -185,7 +185,7 @@ def seed_distances(
     keys = [*groups, "node"]
     known = seeds.select(*keys).distinct().join(graph.nodes.select("node"), "node", "left_semi")
     frontier = cut_lineage(known.select(*keys, F.lit(0).cast("long").alias("distance")))
-    reached = frontier
+    reached = last = frontier
     hop = 0
     while max_hops is None or hop < max_hops:
         hop += 1
@@ -196,8 +196,10 @@ def seed_distances(
             .join(graph.edges.select("src", "dst", "salt"), ["src", "salt"])
             .select(*groups, F.col("dst").alias("node")).distinct()
         )
-        frontier = cut_lineage(
-            ahead.join(reached.select(*keys), keys, "left_anti")
+        # a neighbour of a level lies in it, in the one before, or in the next
+        near = frontier if hop == 1 else frontier.unionByName(last)
+        last, frontier = frontier, cut_lineage(
+            ahead.join(near.select(*keys), keys, "left_anti")
             .withColumn("distance", F.lit(hop).cast("long"))
         )
         reached = reached.unionByName(frontier)
