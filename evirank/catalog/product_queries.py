@@ -189,12 +189,12 @@ def known_item_check(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("transparent_movement", """
-SELECT b.group_id, b.item_id, b.rank
-FROM sym_rank b WHERE b.rank <= 20
+SELECT b.group_id, b.item_id, b.rank, n.rank AS rank_other, b.rank - n.rank AS movement
+FROM sym_rank b LEFT JOIN sym_rank_no_lit n USING (group_id, item_id) WHERE b.rank <= 20
 """)
 def transparent_movement(spark: SparkSession, sf: str) -> DataFrame:
     run = pr.transparent_run(cut_lineage(t.score_features(spark, sf)), _known(spark))
-    return run.movement.where(F.col("rank_other").isNotNull()).select("group_id", "item_id", "rank")
+    return run.movement.select("group_id", "item_id", "rank", "rank_other", "movement")
 
 
 @query("biggest_falls", """
