@@ -94,17 +94,23 @@ def keyed(docs: DataFrame) -> DataFrame:
     ).withColumn("row", F.xxhash64("doc_id", "text"))
 
 
-def _runs(found: list[dict]) -> list[tuple[int, int, int]]:
-    """(start, end, partner) of maximal runs of adjoining chunks in step with one partner."""
-    out: list[list[int]] = []
-    step = None
+def _runs(found: list[dict]) -> list[tuple[int, int, int, list[int]]]:
+    """(start, end, partner, turns) of maximal runs of adjoining chunks in step with one partner.
+
+    ``turns`` are the places inside the run where the set of documents that hold the chunks changes.
+    """
+    out: list[list] = []
+    step = holders = None
     for c in sorted(found, key=lambda c: c["at"]):
         here = (c["partner"], c["partner_at"] - c["at"])
         if out and out[-1][1] == c["at"] and here == step:
+            if c["holders"] != holders:
+                out[-1][3].append(c["at"])
             out[-1][1] += c["size"]
         else:
-            out.append([c["at"], c["at"] + c["size"], c["partner"]])
+            out.append([c["at"], c["at"] + c["size"], c["partner"], []])
             step = here
+        holders = c["holders"]
     return [tuple(r) for r in out]
 
 
@@ -114,19 +120,26 @@ def _passages(
     """(start, end, own, digest_a, digest_b): settled passages without digests, else windows to compare.
 
     A passage may reach past its whole chunks on both sides, so windows over the next chunk,
-    and over the words that can still move a cut, are compared there too.
+    and over the words that can still move a cut, are compared there too. Where the holders of
+    a settled passage change, another document's passage may begin or end: the windows
+    around that place are sent so that it finds them.
     """
     n = len(hashes)
     windows: set[int] = set()
-    for start, end, partner in _runs(found):
+    for start, end, partner, turns in _runs(found):
+        # the nearest cuts with a whole chunk in between: smaller ones are in no run
+        before = cuts[max(np.searchsorted(cuts, start - REACH, side="right") - 1, 0)]
+        after = cuts[min(np.searchsorted(cuts, end + REACH), len(cuts) - 1)]
+        low = max(0, min(before, start) - _SLACK)
+        high = min(n, max(after, end) + _SLACK) - min_words  # last window that ends there
         if end - start >= min_words:
             yield start, end, row < partner, None, None
-            before = cuts[max(np.searchsorted(cuts, start) - 1, 0)]
-            after = cuts[min(np.searchsorted(cuts, end, side="right"), len(cuts) - 1)]
-            windows.update(range(max(0, min(before, start) - _SLACK), start))
-            windows.update(range(end - min_words + 1, min(n, max(after, end) + _SLACK) - min_words + 1))
+            windows.update(range(low, start))
+            windows.update(range(end - min_words + 1, high + 1))
+            for turn in turns:
+                windows.update(range(max(start, turn - min_words), min(turn, n - min_words) + 1))
         else:
-            windows.update(range(max(0, end - min_words), min(start, n - min_words) + 1))
+            windows.update(range(max(0, min(low, end - min_words)), min(n - min_words, max(high, start)) + 1))
     if windows:
         at = np.array(sorted(windows))
         pair = [range_hash(hashes, at, at + min_words, seed).view(np.int64).tolist() for seed in (11, 12)]
@@ -147,7 +160,7 @@ def _passages(
 def _propose(docs: DataFrame, found: DataFrame, min_words: int) -> DataFrame:
     """Passages and windows of the documents that hold repeated chunks."""
     lists = found.groupBy("row").agg(
-        F.collect_list(F.struct("at", "size", "partner", "partner_at")).alias("found")
+        F.collect_list(F.struct("at", "size", "partner", "partner_at", "holders")).alias("found")
     )
     names = ["row", "start", "end", "own", "digest_a", "digest_b"]
     types = [pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.int64(), pa.int64()]
@@ -187,14 +200,18 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     cut = chunks(docs)
     place = F.struct("row", "at")
     repeated = (
-        cut.groupBy("digest").agg(F.min(place).alias("low"), F.max(place).alias("high"))
+        cut.groupBy("digest").agg(
+            F.min(place).alias("low"), F.max(place).alias("high"),
+            F.hash(F.bit_xor("row"), F.count("row")).alias("holders"),
+        )
         .where("low.row < high.row")
     )
     partner = F.when(F.col("low.row") == F.col("row"), F.col("high")).otherwise(F.col("low"))
     found = (
         cut.join(repeated, "digest")
-        .select("row", "at", "size", partner.alias("p"))
-        .select("row", "at", "size", F.col("p.row").alias("partner"), F.col("p.at").alias("partner_at"))
+        .select("row", "at", "size", "holders", partner.alias("p"))
+        .select("row", "at", "size", "holders", F.col("p.row").alias("partner"),
+                F.col("p.at").alias("partner_at"))
     )
     proposed = stored(_propose(docs, found, min_words))
     settled = proposed.where("digest_a IS NULL").select("row", "start", "end", "own")
