@@ -139,6 +139,34 @@ def test_repeated_passages(spark):
     assert out.columns == frame(spark, texts).columns
 
 
+def test_repeated_passages_against_brute_force(spark):
+    """Overlapping passages of several partners: word ranges equal those of all windows."""
+    rng = np.random.default_rng(3)
+    pool = [sentence(100 + k, 400).split() for k in range(4)]
+    texts = []
+    for k in range(60):
+        parts = [sentence(200 + k, int(rng.integers(0, 40)))]
+        for _ in range(3):
+            source = pool[rng.integers(len(pool))]
+            at = int(rng.integers(0, 380))
+            parts += [" ".join(source[at:at + int(rng.integers(20, 160))]), sentence(int(rng.integers(1e6)), 5)]
+        texts.append(" ".join(parts))
+    holders = defaultdict(set)
+    for i, t in enumerate(texts):
+        w = words_of(t)
+        for at in range(len(w) - 49):
+            holders[tuple(w[at:at + 50])].add(i)
+    want = {}
+    for i, t in enumerate(texts):
+        w = words_of(t)
+        want[i] = {p for at in range(len(w) - 49) if len(holders[tuple(w[at:at + 50])]) > 1
+                   for p in range(at, at + 50)}
+    assert sum(map(len, want.values())) > 2000
+    for r in substring_dedup.summarize(frame(spark, texts)).collect():
+        spans = [tuple(map(int, s.split(":"))) for s in r.spans.split(",") if s]
+        assert {p for a, b in spans for p in range(a, b)} == want[r.doc_id], r.doc_id
+
+
 def test_language_held_out_accuracy_and_und(spark):
     def text(seed, syllables):
         rng = np.random.default_rng(seed)
