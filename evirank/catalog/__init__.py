@@ -60,4 +60,5 @@ def load() -> None:
         model_queries,
         product_queries,
         score_queries,
+        source_queries,
     )
