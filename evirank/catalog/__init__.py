@@ -53,6 +53,7 @@ def load() -> None:
     """Import every catalog module so that its queries register."""
     from evirank.catalog import (  # noqa: F401
         evidence_queries,
+        feature_queries,
         graph_queries,
         identifier_queries,
         label_queries,

@@ -360,44 +360,16 @@ def sparse_columns(spark: SparkSession, sf: str) -> DataFrame:
     return quality.sparse_columns(feats, ["expr__max_tpm", "expr__relevant_tissue_tpm"])
 
 
-@query("feature_table", """
-SELECT f.*, (dim__druggability IS NULL)::INT AS missing__druggability,
-       (dim__genetics IS NULL)::INT AS missing__genetics,
-       (dim__functional IS NULL)::INT AS missing__functional,
-       (dim__literature IS NULL)::INT AS missing__literature,
-       n_roots AS path__n_pathways, least(1.0, n_roots / 5.0) AS dim__pathways,
-       (n_roots IS NULL)::INT AS missing__pathways,
-       max_tpm AS expr__max_tpm, median_tpm AS expr__median_tpm,
-       n_detected AS expr__n_tissues_detected, round(mean_tpm, 6) AS expr__mean_tpm,
-       round(tau, 6) AS expr__tissue_specificity, p.tpm AS expr__relevant_tissue_tpm,
-       round(share, 9) AS dim__expression, (max_tpm IS NULL)::INT AS missing__expression,
-       (dim__genetics IS NOT NULL AND n_roots IS NOT NULL)::INT AS diversity__genetics_and_pathway,
-       (dim__genetics IS NOT NULL AND max_tpm IS NOT NULL)::INT
-           AS diversity__genetics_and_expression,
-       degree AS net__degree, strength AS net__weighted_degree,
-       round(mean_score, 6) AS net__mean_confidence, (degree IS NULL)::INT AS missing__network
-FROM feats f
-LEFT JOIN (SELECT item_id, count(DISTINCT root_id) AS n_roots FROM rooted GROUP BY 1)
-  USING (item_id)
-LEFT JOIN profile USING (item_id) LEFT JOIN percentile p USING (group_id, item_id)
-LEFT JOIN node_stats ON node = 'P' || f.item_id
-""")
-def feature_table(spark: SparkSession, sf: str) -> DataFrame:
-    out = full_features(spark, sf).drop(*[
-        f"assoc_ds__{s}_{x}" for s in t.KEPT_SOURCES for x in ("score", "evidence_count")
-    ])
-    digits = {"expr__mean_tpm": 6, "expr__median_tpm": 6, matrix.SPECIFICITY: 6,
-              matrix.RELEVANT: 6, dim("expression"): 9, "net__mean_confidence": 6}
-    return out.withColumns({c: F.round(c, d) for c, d in digits.items()})
-
-
-def full_features(spark: SparkSession, sf: str) -> DataFrame:
-    """The whole feature table: evidence, flags, roots, local network, expression."""
+def full_features(spark: SparkSession, sf: str, central: DataFrame | None = None) -> DataFrame:
+    """The feature table: evidence, flags, roots, network, expression; global network columns if given."""
     from evirank.operators.graph import node_features
     from evirank.operators.hierarchy import find_roots, with_roots
 
     rooted = with_roots(t.memberships(spark, sf), find_roots(t.relations(spark, sf)))
-    local = node_features(t.edges(spark, sf)).withColumn(
+    local = node_features(t.edges(spark, sf))
+    if central is not None:
+        local = local.join(central, "node", "left")
+    local = local.withColumn(
         "item_id", F.substring("node", 2, 20).cast("long")
     ).where(F.col("node").startswith("P")).drop("node")
     return build_feature_table(

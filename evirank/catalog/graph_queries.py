@@ -32,7 +32,7 @@ def degree_features(spark: SparkSession, sf: str) -> DataFrame:
     return out.withColumn("net__mean_confidence", F.round("net__mean_confidence", 6))
 
 
-def _pagerank_sql(steps: int = 50) -> str:
+def pagerank_sql(steps: int = 50) -> str:
     """Unrolled steps; ``final`` holds the first one whose change is below the tolerance."""
     blocks = ["r0 AS (SELECT node, strength, 1.0 / (SELECT count(*) FROM node_stats) AS r "
               "FROM node_stats)"]
@@ -52,7 +52,7 @@ FROM node_stats n LEFT JOIN (
     return "WITH " + ",\n".join(blocks)
 
 
-@query("pagerank", _pagerank_sql() + " SELECT node, round(r, 10) AS pagerank FROM final")
+@query("pagerank", pagerank_sql() + " SELECT node, round(r, 10) AS pagerank FROM final")
 def pagerank(spark: SparkSession, sf: str) -> DataFrame:
     """To convergence at the operator's own tolerance."""
     graph = gr.prepare_graph(t.edges(spark, sf))
@@ -61,7 +61,7 @@ def pagerank(spark: SparkSession, sf: str) -> DataFrame:
     return ranks.withColumn("pagerank", F.round("pagerank", 10))
 
 
-@query("pagerank_percentile", _pagerank_sql() + """
+@query("pagerank_percentile", pagerank_sql() + """
 SELECT node, round((rank() OVER (ORDER BY v) + (count(*) OVER (PARTITION BY v) - 1) / 2.0)
                    / count(*) OVER (), 9) AS dim__network
 FROM (SELECT node, round(r, 10) AS v FROM final)
@@ -76,7 +76,7 @@ def pagerank_percentile(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("node", F.round("dim__network", 9).alias("dim__network"))
 
 
-def _betweenness_sql(k: int, levels: int) -> str:
+def betweenness_sql(k: int, levels: int) -> str:
     """Breadth-first levels forward, dependencies backward, unrolled."""
     blocks = [
         f"src AS (SELECT node AS source FROM node_stats ORDER BY md5('0|' || node), node LIMIT {k})",
@@ -102,7 +102,7 @@ GROUP BY 1, 2, 3)""")
             + f", summed AS (SELECT node, sum(delta) AS d FROM ({union}) GROUP BY 1)")
 
 
-@query("betweenness", _betweenness_sql(gr.BETWEENNESS_SOURCES, 6) + f"""
+@query("betweenness", betweenness_sql(gr.BETWEENNESS_SOURCES, 6) + f"""
 SELECT node, round(coalesce(d, 0) * (n / least(n, {gr.BETWEENNESS_SOURCES}.0)) / ((n - 1) * (n - 2)), 9)
        AS betweenness
 FROM node_stats LEFT JOIN summed USING (node), (SELECT count(*)::DOUBLE AS n FROM node_stats)
@@ -144,20 +144,6 @@ def seed_distance(spark: SparkSession, sf: str) -> DataFrame:
     return out
 
 
-@query("network_features", """
-SELECT 'P' || p_partkey AS node, degree AS net__degree, strength AS net__weighted_degree,
-       round(mean_score, 6) AS net__mean_confidence, (degree IS NULL)::INT AS missing__network
-FROM part LEFT JOIN node_stats ON node = 'P' || p_partkey
-""")
-def network_features(spark: SparkSession, sf: str) -> DataFrame:
-    universe = t.read(spark, sf, "part", "p_partkey").select(
-        F.concat(F.lit("P"), "p_partkey").alias("node"))
-    edges = t.edges(spark, sf)
-    central = edges.select(F.col("a").alias("node")).distinct()
-    out = gr.network_features(universe, edges, central, "node")
-    return out.withColumn("net__mean_confidence", F.round("net__mean_confidence", 6))
-
-
 cte("partners", """
 SELECT node, partner_id, score, position FROM (
   SELECT src AS node, dst AS partner_id, score,

@@ -271,10 +271,17 @@ def betweenness(graph: Graph, k: int = BETWEENNESS_SOURCES, seed: int = 0) -> Da
 
 
 def centralities(
-    graph: Graph, k: int = BETWEENNESS_SOURCES, seed: int = 0, with_betweenness: bool = True
+    graph: Graph, k: int = BETWEENNESS_SOURCES, seed: int = 0, with_betweenness: bool = True,
+    digits: int | None = None,
 ) -> DataFrame:
-    """PageRank, its percentile over the whole graph, and betweenness, per node."""
+    """PageRank, its percentile over the whole graph, and betweenness, per node.
+
+    With ``digits`` PageRank is rounded before it is ranked: nodes that differ only by the order
+    of summation tie.
+    """
     ranks = pagerank(graph)
+    if digits is not None:
+        ranks = ranks.withColumn("pagerank", F.round("pagerank", digits))
     out = average_rank_share(ranks, "pagerank", dim("network"), [F.col("node")])
     out = out.withColumnRenamed("pagerank", NETWORK_PREFIX + "pagerank")
     if with_betweenness:
