@@ -32,7 +32,7 @@ def degree_features(spark: SparkSession, sf: str) -> DataFrame:
     return out.withColumn("net__mean_confidence", F.round("net__mean_confidence", 6))
 
 
-def pagerank_sql(steps: int = 50) -> str:
+def pagerank_sql(steps: int = 70) -> str:
     """Unrolled steps; ``final`` holds the first one whose change is below the tolerance."""
     blocks = ["r0 AS (SELECT node, strength, 1.0 / (SELECT count(*) FROM node_stats) AS r "
               "FROM node_stats)"]
