@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from evirank.catalog import query
 from evirank.catalog import label_queries  # noqa: F401  (registers the label blocks)
 from evirank.catalog import tables as t
+from evirank.catalog.evidence_queries import full_features
+from evirank.catalog.feature_queries import centralities
 from evirank.operators import attributions as at
 from evirank.operators import models as md
 from evirank.operators.evidence import LeakageError
@@ -19,9 +21,9 @@ from evirank.operators.scoring import select_features
 from evirank.plans import training as tr
 from evirank.session import cut_lineage, ensure_checkpoint_dir
 
-LOGISTIC: dict = {}  # the defaults
-FOREST = {"trees": 20, "max_depth": 6}
-BOOSTED = {"rounds": 10, "max_depth": 4}
+LOGISTIC: dict = {}  # the defaults, as for the others
+FOREST: dict = {}
+BOOSTED: dict = {}
 ALL_MODELS = {
     "weighted_baseline": {}, "logistic_regression": LOGISTIC, "random_forest": FOREST,
     "boosted_trees": BOOSTED,
@@ -29,9 +31,9 @@ ALL_MODELS = {
 
 
 def inputs(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    shared = cut_lineage(t.evidence(spark, sf))
-    feats = cut_lineage(t.score_features(spark, sf, shared))
-    return feats, cut_lineage(t.labels(spark, sf, shared))
+    """The whole feature table, pathways, expression and network included, and the labels."""
+    feats = cut_lineage(full_features(spark, sf, centralities(spark, sf)))
+    return feats, cut_lineage(t.labels(spark, sf))
 
 
 def new_folder(spark: SparkSession) -> str:
