@@ -2,11 +2,12 @@
 
 Each text is cut into chunks of words where a gear hash over the last four words is the
 least among its ``REACH`` neighbours on both sides: cuts depend on nearby words only, so
-an insertion shifts no later cut. Stretches without a cut are split every ``MAX_CHUNK``
-words. Chunks are deduplicated by digest over all documents. Runs of repeated chunks that
-follow each other in the same partner document are passages; a run that is shorter than
-``min_words`` is extended by comparing all windows of ``min_words`` words around it by
-digest. A passage of that length holds several whole chunks wherever it stands, so short
+an insertion shifts no later cut. Chunks are deduplicated by digest over all documents. Runs
+of repeated chunks that follow each other in the same partner document are passages; a run
+that is shorter than ``min_words`` is extended by comparing all windows of ``min_words``
+words around it by digest. A window whose own words settle fewer than two cuts (text that
+repeats itself every few words has none) may hold no whole chunk, so all such windows are
+compared by digest too. Any other window holds a whole chunk wherever it stands, so short
 repeated lines and passages are told apart exactly.
 
 Edge cases: null and empty texts have no words and no passages; a text shorter than
@@ -29,7 +30,6 @@ from evirank.llm.words import Words, mix, range_hash, word_pieces
 
 MIN_WORDS = 50
 REACH = 5
-MAX_CHUNK = 32
 _GEAR_WORDS = 4
 _SLACK = REACH + _GEAR_WORDS  # words beyond a chunk's end that decide on its cut
 _GEAR_SHIFT = 8  # bits that the 32-bit hash moves per word, so that it forgets after four
@@ -54,14 +54,7 @@ def chunk_ends(words: Words) -> np.ndarray:
         cut[:-k] &= gear[:-k] <= gear[k:]
     cut[:REACH] = cut[n - REACH:] = False
     ends = np.union1d(np.flatnonzero(cut) + 1, words.first[1:])
-    ends = ends[ends > 0]
-    starts = np.concatenate([[0], ends[:-1]])
-    extra = np.maximum((ends - starts - 1) // MAX_CHUNK, 0)
-    if extra.any():
-        base = np.repeat(starts, extra)
-        nth = np.arange(len(base)) - np.repeat(np.cumsum(extra) - extra, extra) + 1
-        ends = np.union1d(ends, base + nth * MAX_CHUNK)
-    return ends
+    return ends[ends > 0]
 
 
 def chunks(docs: DataFrame) -> DataFrame:
@@ -140,21 +133,67 @@ def _passages(
                 windows.update(range(max(start, turn - min_words), min(turn, n - min_words) + 1))
         else:
             windows.update(range(max(0, min(low, end - min_words)), min(n - min_words, max(high, start)) + 1))
-    if windows:
-        at = np.array(sorted(windows))
-        pair = [range_hash(hashes, at, at + min_words, seed).view(np.int64).tolist() for seed in (11, 12)]
-        # equal windows that overlap (filler that repeats itself) go as one range
-        open_ranges: dict[tuple[int, int], list[int]] = {}
-        for s, a, b in zip(at.tolist(), *pair, strict=True):
-            last = open_ranges.get((a, b))
-            if last and s <= last[1]:
-                last[1] = s + min_words
-                continue
-            if last:
-                yield *last, None, a, b
-            open_ranges[a, b] = [s, s + min_words]
-        for (a, b), (s, e) in open_ranges.items():
-            yield s, e, None, a, b
+    for start, end, a, b in _merged(hashes, np.array(sorted(windows), np.int64), min_words):
+        yield start, end, None, a, b
+
+
+def _merged(hashes: np.ndarray, at: np.ndarray, min_words: int) -> Iterator[tuple[int, int, int, int]]:
+    """(start, end, digest_a, digest_b) of the windows at the sorted places ``at``.
+
+    Equal windows that overlap (filler that repeats itself) go as one range.
+    """
+    if not len(at):
+        return
+    pair = [range_hash(hashes, at, at + min_words, seed).view(np.int64).tolist() for seed in (11, 12)]
+    open_ranges: dict[tuple[int, int], list[int]] = {}
+    for s, a, b in zip(at.tolist(), *pair, strict=True):
+        last = open_ranges.get((a, b))
+        if last and s <= last[1]:
+            last[1] = s + min_words
+            continue
+        if last:
+            yield *last, a, b
+        open_ranges[a, b] = [s, s + min_words]
+    for (a, b), (s, e) in open_ranges.items():
+        yield s, e, a, b
+
+
+def stretches(docs: DataFrame, min_words: int) -> DataFrame:
+    """(row, start, end, digest_a, digest_b): windows whose own words settle fewer than two cuts."""
+    names = ["row", "start", "end", "digest_a", "digest_b"]
+    types = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64()]
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            row = batch.column("row").to_numpy()
+            for first, last, words in word_pieces(batch.column("text")):
+                if not len(words):
+                    continue
+                at = _unsettled(words, chunk_ends(words), min_words)
+                text = np.searchsorted(words.first, at, side="right") - 1
+                out = []
+                for some in np.split(at, np.flatnonzero(np.diff(text)) + 1) if len(at) else ():
+                    k = int(np.searchsorted(words.first, some[0], side="right")) - 1
+                    a, b = words.first[k:k + 2]
+                    out += [(int(row[first + k]), *w) for w in _merged(words.hash[a:b], some - a, min_words)]
+                if out:
+                    columns = zip(*out, strict=True)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names
+                    )
+
+    return keyed(docs).select("row", "text").mapInArrow(
+        scan, "row long, start int, end int, digest_a long, digest_b long"
+    )
+
+
+def _unsettled(words: Words, ends: np.ndarray, min_words: int) -> np.ndarray:
+    """Starts of the windows inside one text in which fewer than two cuts depend on its words alone."""
+    at = np.arange(max(len(words) - min_words + 1, 0))
+    text_end = words.first[np.searchsorted(words.first, at, side="right")]
+    at = at[at + min_words <= text_end]
+    cuts = np.searchsorted(ends, at + min_words - REACH, side="right") - np.searchsorted(ends, at + _SLACK)
+    return at[cuts < 2]
 
 
 def _propose(docs: DataFrame, found: DataFrame, min_words: int) -> DataFrame:
@@ -213,7 +252,9 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
         .select("row", "at", "size", "holders", F.col("p.row").alias("partner"),
                 F.col("p.at").alias("partner_at"))
     )
-    proposed = stored(_propose(docs, found, min_words))
+    proposed = stored(_propose(docs, found, min_words).unionByName(
+        stretches(docs, min_words).withColumn("own", F.lit(None).cast("boolean"))
+    ))
     settled = proposed.where("digest_a IS NULL").select("row", "start", "end", "own")
     windows = proposed.where("digest_a IS NOT NULL")
     twice = (

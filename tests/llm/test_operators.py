@@ -167,6 +167,22 @@ def test_repeated_passages_against_brute_force(spark):
         assert {p for a, b in spans for p in range(a, b)} == want[r.doc_id], r.doc_id
 
 
+@pytest.mark.parametrize("length", [51, 100, 400])
+def test_repeated_passages_of_periodic_text(spark, length):
+    """Text that repeats every few words has no cuts: pairs that share it at other offsets are found."""
+    texts, want = [], {}
+    for period in range(1, 6):
+        for k in range(6):
+            passage = " ".join(f"p{length}x{period}x{k}x{i % period}" for i in range(length))
+            for side in range(2):
+                seed = 1000 * period + 10 * k + side
+                before = sentence(seed, 20 + 7 * k + 13 * side)
+                want[len(texts)] = f"{len(before.split())}:{len(before.split()) + length}"
+                texts.append(f"{before} {passage} {sentence(seed + 5, 30)}")
+    rows = {r.doc_id: r for r in substring_dedup.summarize(frame(spark, texts)).collect()}
+    assert {i: r.spans for i, r in rows.items()} == want
+
+
 def test_language_held_out_accuracy_and_und(spark):
     def text(seed, syllables):
         rng = np.random.default_rng(seed)
