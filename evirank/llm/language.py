@@ -7,16 +7,18 @@ The automaton is a dense transition table, and a task parses many pieces of many
 at once: texts are cut into pieces of ``PIECE`` symbols, every symbol is read, and phrases
 are summed over the pieces.
 
-Edge cases: a null text or one without letters is ``und`` with score 0; ties go to the
+Edge cases: a null text or one without a Unicode letter is ``und`` with score 0; ties go to the
 language that sorts first; without labelled rows every text is ``und``; rows are judged one
 by one, so repeated rows agree; a null doc_id is never learned from and not held out.
 """
 
 from __future__ import annotations
 
+import unicodedata
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -37,10 +39,26 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 5 == 0, F.lit(False))
 
 
+def _without_stray(text: str, marks: set[str]) -> str:
+    """The text with a space for every mark that follows no letter, as after an emoji or a digit."""
+    out, after = list(text), False
+    for i, c in enumerate(text):
+        if c not in marks:
+            after = c.isalpha()
+        elif not after:
+            out[i] = " "
+    return "".join(out)
+
+
 def letters_of(text: str | None) -> bytes:
-    """Lower-cased letters in UTF-8, each run of anything else as one space."""
+    """Lower-cased letters (with their marks) in UTF-8, each run of anything else as one space."""
     if not text:
         return b""
+    if not text.isascii():
+        kinds = {c: unicodedata.category(c)[0] for c in set(text) if not c.isascii()}
+        text = text.translate({ord(c): " " for c, kind in kinds.items() if kind not in "LM"})
+        if marks := {c for c, kind in kinds.items() if kind == "M"}:
+            text = _without_stray(text, marks)
     raw = np.frombuffer(text.lower().encode(), np.uint8)
     keep = (raw >= 0x80) | ((raw >= 0x61) & (raw <= 0x7A))
     out = np.where(keep, raw, np.uint8(0x20))
@@ -117,6 +135,14 @@ def suffix_automaton(symbols: np.ndarray, width: int) -> np.ndarray:
     return table[:made]
 
 
+def _excerpt(letters: bytes, size: int, place: int) -> bytes:
+    """``size`` bytes from a place that the hash ``place`` picks, moved on to where a character begins."""
+    at = place // 5 % (max(len(letters) - size, 0) + 1)
+    while at < len(letters) and letters[at] & 0xC0 == 0x80:
+        at += 1
+    return letters[at:at + size]
+
+
 def learn(docs: DataFrame, text: str = "text", lang: str = "lang") -> Parser:
     """Fit one automaton per label on a bounded sample of the rows that are not held out.
 
@@ -136,14 +162,19 @@ def learn(docs: DataFrame, text: str = "text", lang: str = "lang") -> Parser:
         return Parser([], np.zeros(256, np.uint8), [])
     rate = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], min(1.0, 2.0 * SAMPLE_DOCS / r["count"]))])
     place = F.pmod(F.xxhash64("id", F.lit(5)), F.lit(1 << 30)) / float(1 << 30)
-    # excerpts keep the driver's share bounded whatever the texts are
+    # excerpts keep the driver's share bounded whatever the texts are; they begin at a hashed
+    # place, so that headers that documents share are no more of the sample than of the texts
+    room = F.greatest(F.length("text") - 4 * SAMPLE_SYMBOLS, F.lit(0)) + 1
+    begin = F.pmod(F.xxhash64("id", F.lit(6)), room).cast("int") + 1
     chosen = known.where(place < rate[F.col("lang")]).select(
-        "lang", "id", F.substring("text", 1, 4 * SAMPLE_SYMBOLS).alias("text")
+        "lang", "id", F.substring("text", begin, F.lit(4 * SAMPLE_SYMBOLS)).alias("text")
     ).collect()
     samples: dict[str, list[bytes]] = defaultdict(list)
+    places: dict[str, list[int]] = defaultdict(list)
     for r in sorted(chosen, key=lambda r: (r["lang"], r["id"])):
         if (letters := letters_of(r["text"])) and len(samples[r["lang"]]) < 2 * SAMPLE_DOCS:
             samples[r["lang"]].append(letters)
+            places[r["lang"]].append(crc32(r["id"].encode()))
     languages = sorted(k for k, v in samples.items() if v)
     joined = {}
     for name in languages:
@@ -151,7 +182,9 @@ def learn(docs: DataFrame, text: str = "text", lang: str = "lang") -> Parser:
         share = SAMPLE_SYMBOLS // len(samples[name]) + 1
         while share < longest and sum(min(share, len(t)) for t in samples[name]) < SAMPLE_SYMBOLS:
             share *= 2
-        joined[name] = b" ".join(t[:share] for t in samples[name])[:SAMPLE_SYMBOLS]
+        joined[name] = b" ".join(
+            _excerpt(t, share, at) for t, at in zip(samples[name], places[name], strict=True)
+        )[:SAMPLE_SYMBOLS]
     seen = sorted(set(b"".join(joined.values())) | {0x20})
     symbol = np.full(256, len(seen), np.uint8)
     symbol[seen] = np.arange(len(seen))

@@ -201,6 +201,28 @@ def test_language_held_out_accuracy_and_und(spark):
     assert language.keep_identified(docs).count() == 81
 
 
+def test_language_needs_letters():
+    for text in ("12 \u2014 34 \u2026", "\U0001F642 \u2764\uFE0F", "\u00a0", "\u201c7\u201d", "\u3002\u3001", "3\u0301 \u00bd"):
+        assert not language.letters_of(text).strip(), text
+    assert language.letters_of("\u201cH\u00e9\u201d\u2014e\u0301") == "h\u00e9 e\u0301".encode()
+    assert language.letters_of("\u0939\u093f\u0928\u094d\u0926\u0940\u0964") == "\u0939\u093f\u0928\u094d\u0926\u0940 ".encode()
+
+
+def test_language_learns_beyond_a_shared_header(spark):
+    def text(seed, syllables, n):
+        rng = np.random.default_rng(seed)
+        return " ".join("".join(rng.choice(syllables, rng.integers(1, 4))) for _ in range(n))
+
+    header = text(7, ["zo", "ku", "mi"], 700)
+    kinds = {"aa": ["the", "ing", "er", "on"], "bb": ["lei", "que", "eau", "ou"]}
+    docs = spark.createDataFrame(
+        [(i, header + " " + text(i, kinds[k], 1500), k) for i, k in enumerate(list(kinds) * 40)],
+        "doc_id long, text string, lang string")
+    parser = language.learn(docs)
+    plain = [text(1000 + i, kinds[k], 30) for i, k in enumerate(list(kinds) * 10)]
+    assert language._judged(parser, plain)[0] == list(kinds) * 10
+
+
 def test_cross_parsing_against_a_plain_parser():
     sample, text = "abracadabra ab", b"abrabab zz racad"
     seen = sorted(set(sample.encode()))
