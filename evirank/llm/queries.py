@@ -14,6 +14,7 @@ from evirank.llm.licenses import scan
 from evirank.llm.mixing import taken_words
 from evirank.llm.ngram_join import near_duplicates
 from evirank.llm.pii import find
+from evirank.llm.spelling import spelling_variants
 from evirank.llm.substring_dedup import summarize
 from evirank.llm.top_k import exact_top_k
 from evirank.llm.url_filter import RULES, judge
@@ -150,3 +151,8 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op1_license_scan")
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(table(spark, sf_dir, "documents"))
+
+
+@query("op11_spelling_variants")
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(table(spark, sf_dir, "documents"))
