@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from evirank.llm import gray_index
 from evirank.llm.decontaminate import find_contamination
 from evirank.llm.html_text import extract
 from evirank.llm.language import identify
@@ -156,3 +157,8 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op11_spelling_variants")
 def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling_variants(table(spark, sf_dir, "documents"))
+
+
+@query("op12_simhash_near_dedup")
+def op12_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gray_index.near_duplicates(table(spark, sf_dir, "documents"))
