@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from evirank.llm import gray_index
 from evirank.llm.decontaminate import find_contamination
 from evirank.llm.html_text import extract
+from evirank.llm.hyperplane_tree import hard_negatives
 from evirank.llm.language import identify
 from evirank.llm.licenses import scan
 from evirank.llm.mixing import taken_words
@@ -162,3 +163,29 @@ def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op12_simhash_near_dedup")
 def op12_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gray_index.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query("op13_hard_negatives", """
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT a.vec_id AS anchor_id, c.vec_id, a.label = c.label AS same,
+         CAST(list_sum(list_transform(list_zip(a.e, c.e), lambda p: p[1] * p[2])) AS BIGINT) AS score
+  FROM v a JOIN v c ON a.vec_id % 50 = 0 AND c.vec_id <> a.vec_id),
+positive AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM scored WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT anchor_id, positive_id,
+       CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank,
+       vec_id AS negative_id, positive_score, score AS negative_score
+FROM positive JOIN scored USING (anchor_id)
+WHERE NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
+QUALIFY row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) <= 3
+""")
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    return hard_negatives(rows, F.col("vec_id") % 50 == 0, F.col("vec_id") % 7 == 0)
