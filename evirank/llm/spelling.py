@@ -114,45 +114,50 @@ def trie_edges(spelled: DataFrame, ends: list[int]) -> DataFrame:
     )
 
 
-def _advance(states: DataFrame, edges: DataFrame) -> DataFrame:
+def _advance(states: DataFrame, edges: DataFrame, width: int) -> DataFrame:
     """(w, n, size, node, pos, near_n): what one level makes of the states, all with their one edit made.
 
     ``pos`` is the number of letters of the word that are used; ``near_n`` the count of the word that ends at
-    the new node, if one does.
+    the new node, if one does. ``width`` is the length of the level's labels; one-letter labels need no edit
+    distance. Cheap tests come first, since most pairs of a state and an edge fail them.
     """
-    label, used = F.col("label"), F.length("label")
+    label, pos = F.col("label"), F.col("pos")
+    used = F.lit(1) if width == 1 else F.length("label")
     fresh = F.col("edits") == 0
 
-    def piece(extra: int) -> Column:
-        return F.substr("w", F.col("pos") + F.lit(2), used + F.lit(extra))
+    def letter(ahead: int) -> Column:
+        return F.substr("w", pos + F.lit(ahead + 2), F.lit(1))
 
-    def open_below(extra: int) -> Column:
-        """Does the subtree below the child hold what is left of the word, as far as the masks tell?"""
-        rest = F.substr("w", F.col("pos") + used + F.lit(extra + 2))
-        return (F.getbit("next_mask", _bit(F.substr(rest, F.lit(1), F.lit(1)))) == 1) & (
-            F.getbit("rest_mask", _bit(rest)) == 1)
+    def piece(extra: int) -> Column:
+        return F.substr("w", pos + F.lit(2), used + F.lit(extra))
 
     def one_edit(extra: int) -> Column:
+        if width > 1:
+            return F.levenshtein(piece(extra), label, 1) == 1
         if extra < 0:
-            single = F.lit(True)
-        elif extra == 0:
-            single = piece(0) != label
-        else:
-            single = piece(1).contains(label)
-        return F.when(used == 1, single).otherwise(F.levenshtein(piece(extra), label, 1) == 1)
+            return F.lit(True)
+        if extra == 0:
+            return letter(0) != label
+        # the first of two letters is left out; the second only at the end, else the next level does it
+        return (letter(1) == label) | ((pos + 2 == F.col("size")) & (letter(0) == label))
 
     def possible(extra: int) -> Column:
-        fits = F.col("pos") + used + F.lit(extra) <= F.col("size")
         step = fresh & one_edit(extra)
         if extra == 0:
             step = step | (~fresh & (piece(0) == label))
-        return fits & open_below(extra) & step
-
-    out = F.array_compact(F.array(*[F.when(possible(extra), F.lit(extra)) for extra in (-1, 0, 1)]))
+        at = pos + used + F.lit(extra)
+        # does the subtree below the child hold what is left of the word, as far as the masks tell?
+        following = F.getbit("next_mask", _bit(F.substr("w", at + F.lit(2), F.lit(1)))) == 1
+        remainder = F.getbit("rest_mask", _bit(F.substr("w", at + F.lit(2)))) == 1
+        return (at <= F.col("size")) & step & following & remainder
+
+    inserted, replaced, left_out = (possible(extra) for extra in (-1, 0, 1))
+    out = F.array(*[F.when(ok, F.lit(extra)) for ok, extra in ((inserted, -1), (replaced, 0), (left_out, 1))])
     near = edges.select("node", "label", F.col("child"), F.col("n").alias("near_n"), "next_mask", "rest_mask")
     return (
-        states.join(near, "node")
-        .select("w", "n", "size", "child", "near_n", (F.col("pos") + used).alias("at"), F.explode(out).alias("extra"))
+        states.join(near, "node").where(inserted | replaced | left_out)
+        .select("w", "n", "size", "child", "near_n", (pos + used).alias("at"), F.explode(out).alias("extra"))
+        .where(F.col("extra").isNotNull())
         .select("w", "n", "size", F.col("child").alias("node"), (F.col("at") + F.col("extra")).alias("pos"), "near_n")
     )
 
@@ -172,7 +177,7 @@ def near_pairs(words: DataFrame) -> DataFrame:
             "w", "n", "size", F.substr("w", F.lit(1), F.lit(low + 1)).alias("node"),
             F.lit(low).alias("pos"), F.lit(0).alias("edits"))
         states = begun if carried is None else begun.unionByName(carried)
-        step = stored(_advance(states, level))
+        step = stored(_advance(states, level, high - low))
         at_end = F.col("pos") == F.col("size")
         found.append(step.where(at_end & F.col("near_n").isNotNull()))
         carried = step.where(~at_end & (F.length("node") == high + 1)).select(
