@@ -166,6 +166,8 @@ def near_pairs(words: DataFrame) -> DataFrame:
     """(word, n, near, near_n): every ordered pair of words one edit apart, once."""
     words = stored(words.select("word", "n"))
     ends = level_ends(words.agg(F.max(F.length("word"))).first()[0] or 0)
+    if len(ends) == 1:
+        return words.select("word", "n", F.col("word").alias("near"), F.col("n").alias("near_n")).where(F.lit(False))
     spelled = stored(_spelled(words))
     edges = stored(trie_edges(spelled, ends).sortWithinPartitions("level"))
     carried, found = None, []
@@ -182,8 +184,6 @@ def near_pairs(words: DataFrame) -> DataFrame:
         found.append(step.where(at_end & F.col("near_n").isNotNull()))
         carried = step.where(~at_end & (F.length("node") == high + 1)).select(
             "w", "n", "size", "node", "pos", F.lit(1).alias("edits"))
-    if not found:
-        return words.select("word", "n", F.col("word").alias("near"), F.col("n").alias("near_n")).where(F.lit(False))
     pairs = found[0]
     for part in found[1:]:
         pairs = pairs.unionByName(part)
