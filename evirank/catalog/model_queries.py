@@ -100,11 +100,7 @@ def _attributions(spark: SparkSession, sf: str, name: str, params: dict
                   ) -> tuple[DataFrame, md.FittedModel, DataFrame]:
     feats, labels = inputs(spark, sf)
     fitted = md.train(feats, labels, name, params, rules=t.RULES)
-    path = None
-    if name != "logistic_regression":
-        path = new_folder(spark)
-        md.save_model(fitted, spark, path)
-    return feats, fitted, at.shap_values(fitted, feats, path)
+    return feats, fitted, at.shap_values(fitted, feats)
 
 
 @query("attributions_linear")
@@ -168,9 +164,8 @@ def attribution_sums(spark: SparkSession, sf: str) -> DataFrame:
     feats, labels = inputs(spark, sf)
     parts = []
     for name in _MODEL_NAMES[1:]:
-        fitted, path = md.train(feats, labels, name, ALL_MODELS[name], rules=t.RULES), new_folder(spark)
-        md.save_model(fitted, spark, path)
-        total = at.shap_values(fitted, feats, path).groupBy("group_id", "item_id").agg(
+        fitted = md.train(feats, labels, name, ALL_MODELS[name], rules=t.RULES)
+        total = at.shap_values(fitted, feats).groupBy("group_id", "item_id").agg(
             (F.first("base_value") + F.sum("shap_value")).alias("total"))
         share = F.col("total") if name == "random_forest" else 1 / (1 + F.exp(-F.col("total")))
         parts.append(fitted.score(feats).join(total, ["group_id", "item_id"]).agg(
