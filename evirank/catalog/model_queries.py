@@ -30,10 +30,19 @@ ALL_MODELS = {
 }
 
 
+_BUILT: dict[tuple[str, str], tuple[DataFrame, DataFrame]] = {}
+
+
 def inputs(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    """The whole feature table, pathways, expression and network included, and the labels."""
-    feats = cut_lineage(full_features(spark, sf, centralities(spark, sf)))
-    return feats, cut_lineage(t.labels(spark, sf))
+    """The whole feature table, pathways, expression and network included, and the labels.
+
+    Built once per application and folder: the checkpoints serve all model queries.
+    """
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _BUILT:
+        feats = cut_lineage(full_features(spark, sf, centralities(spark, sf)))
+        _BUILT[key] = feats, cut_lineage(t.labels(spark, sf))
+    return _BUILT[key]
 
 
 def new_folder(spark: SparkSession) -> str:

@@ -10,8 +10,9 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 from functools import reduce
+from multiprocessing.pool import ThreadPool
 
-from pyspark import StorageLevel
+from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,6 +24,7 @@ from evirank.session import cut_lineage
 MIN_SCORE = 400
 PARTNER_MIN_SCORE = 700
 PARTNERS_SHOWN = 15
+STEPS_AT_ONCE = 4
 DAMPING = 0.85
 TOLERANCE = 1.0e-6
 MAX_ITERATIONS = 100
@@ -139,33 +141,35 @@ def pagerank(
     """Weighted PageRank; stops when the L1 change is below ``n * tolerance``.
 
     Raises when ``max_iterations`` is reached first, unless ``tolerance`` is 0,
-    which asks for exactly that many iterations.
+    which asks for exactly that many iterations. The change is looked at, and the
+    lineage cut, every ``STEPS_AT_ONCE`` iterations.
     """
     n = graph.nodes.count()
     if n == 0:
         return graph.nodes.select("node", F.lit(0.0).alias("pagerank"))
     base = (1.0 - damping) / n
     ranks = graph.nodes.select("node", "strength", "fanout", F.lit(1.0 / n).alias("pagerank"))
-    for _ in range(max_iterations):
-        share = ranks.select(
-            F.col("node").alias("src"),
-            F.explode(F.sequence(F.lit(0), F.col("fanout") - 1)).alias("salt"),
-            (F.col("pagerank") / F.col("strength")).alias("_unit"),
-        )
-        inflow = (
-            graph.edges.join(share, ["src", "salt"])
-            .groupBy(F.col("dst").alias("node"))
-            .agg(F.sum(F.col("_unit") * F.col("score")).alias("_in"))
-        )
-        new = F.lit(base) + damping * F.coalesce(F.col("_in"), F.lit(0.0))
-        step = cut_lineage(
-            ranks.join(inflow, "node", "left").select(
+    done = 0
+    while done < max_iterations:
+        steps = min(STEPS_AT_ONCE, max_iterations - done)
+        for _ in range(steps):
+            share = ranks.select(
+                F.col("node").alias("src"),
+                F.explode(F.sequence(F.lit(0), F.col("fanout") - 1)).alias("salt"),
+                (F.col("pagerank") / F.col("strength")).alias("_unit"),
+            )
+            inflow = (
+                graph.edges.join(share, ["src", "salt"])
+                .groupBy(F.col("dst").alias("node"))
+                .agg(F.sum(F.col("_unit") * F.col("score")).alias("_in"))
+            )
+            new = F.lit(base) + damping * F.coalesce(F.col("_in"), F.lit(0.0))
+            ranks = ranks.select("node", "strength", "fanout", "pagerank").join(inflow, "node", "left").select(
                 "node", "strength", "fanout", new.alias("pagerank"),
                 F.abs(new - F.col("pagerank")).alias("_change"),
             )
-        )
-        ranks = step.drop("_change")
-        if tolerance and step.agg(F.sum("_change")).first()[0] < n * tolerance:
+        ranks, done = cut_lineage(ranks), done + steps
+        if tolerance and ranks.agg(F.sum("_change")).first()[0] < n * tolerance:
             break
     else:
         if tolerance:
@@ -279,13 +283,17 @@ def centralities(
     With ``digits`` PageRank is rounded before it is ranked: nodes that differ only by the order
     of summation tie.
     """
-    ranks = pagerank(graph)
+    with ThreadPool(2) as pool:
+        # many short jobs each: one fills the gaps of the other
+        other = pool.apply_async(
+            inheritable_thread_target(graph.nodes.sparkSession)(betweenness), (graph, k, seed)) if with_betweenness else None
+        ranks = pagerank(graph)
+        between = other.get() if with_betweenness else None
     if digits is not None:
         ranks = ranks.withColumn("pagerank", F.round("pagerank", digits))
     out = average_rank_share(ranks, "pagerank", dim("network"), [F.col("node")])
     out = out.withColumnRenamed("pagerank", NETWORK_PREFIX + "pagerank")
     if with_betweenness:
-        between = betweenness(graph, k, seed)
         out = out.join(
             between.withColumnRenamed("betweenness", NETWORK_PREFIX + "betweenness"), "node", "left"
         )
