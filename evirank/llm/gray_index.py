@@ -174,6 +174,9 @@ def _leaves(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def linked(first: np.ndarray, second: np.ndarray | None, most: int = MAX_DIFFERING) -> tuple[np.ndarray, np.ndarray]:
     """A spanning forest of the links between two tiles (or inside one) as (code, code)."""
+    # numpy counts the bits of a signed number's absolute value, so codes are compared unsigned
+    first = first.view(np.uint64)
+    second = None if second is None else second.view(np.uint64)
     a, a_mask, a_pattern = _leaves(first)
     if second is None:
         b, b_mask, b_pattern, codes, shift = a, a_mask, a_pattern, a.reshape(-1), 0
@@ -191,7 +194,7 @@ def linked(first: np.ndarray, second: np.ndarray | None, most: int = MAX_DIFFERI
         n, x, y = np.nonzero(np.bitwise_count(a[r][:, :, None] ^ b[c][:, None, :]) <= most)
         labels = _merged(labels, r[n] * LEAF + x, shift + c[n] * LEAF + y)
     joined = (labels != np.arange(len(codes))) & (codes != codes[labels])
-    return codes[joined], codes[labels[joined]]
+    return codes[joined].view(np.int64), codes[labels[joined]].view(np.int64)
 
 
 def _link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
