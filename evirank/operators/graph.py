@@ -24,7 +24,7 @@ from evirank.session import cut_lineage
 MIN_SCORE = 400
 PARTNER_MIN_SCORE = 700
 PARTNERS_SHOWN = 15
-STEPS_AT_ONCE = 4
+STEPS_AT_ONCE = 1
 DAMPING = 0.85
 TOLERANCE = 1.0e-6
 MAX_ITERATIONS = 100
