@@ -9,12 +9,13 @@ feasible range of the query's largest coordinates; else by length alone. What is
 verified with exact integer products. Only the k best of a block that reach the bound leave it.
 
 The query set is a stated share of the table, so the work grows with queries x rows; blocks
-meet by an equi-join on a dealt part, never as one group.
+meet by an equi-join on the slice of lengths that a block lies in, never as one group. A block of
+queries is sent only to slices whose longest vector times its own longest reaches its least bound.
 
 Edge cases: null vectors and those with null or non-finite components take no part, nor do rows
-without an id; components are saturated at 2**24 after scaling, so products stay exact (wider
-values are refused at 2**24 dimensions or more); vectors of another dimension than the query
-are no candidates; equal scores go to the smaller id; repeated ids are separate candidates, but a
+without an id; products are exact for components of any size below 2**63 after scaling (larger
+ones count as that), scores beyond a long count as its ends; vectors of another dimension than the
+query are no candidates; equal scores go to the smaller id; repeated ids are separate candidates, but a
 query never meets its own id; fewer than k candidates give fewer rows; an empty table gives none.
 """
 
@@ -37,21 +38,22 @@ QUERY_BLOCK = 256
 SEEDS = 1024
 COORDINATE_FROM = 0.6
 FOCUS = 3
-_LIMIT = 1 << 24
+SLICES = 1024  # lengths of the longest vectors, by which query blocks choose where to go
+_LEAST, _MOST = -(1 << 63), (1 << 63) - 1
 
-BLOCK_DDL = "block long, dim int, n int, longest double, ids binary, data binary, bound binary"
+BLOCK_DDL = "block long, dim int, n int, longest double, least double, ids binary, data binary, bound binary"
 
 
 def quantized(vectors: DataFrame, scale: int = SCALE) -> DataFrame:
-    """(vec_id, v array<int>, norm2): rows that take part."""
+    """(vec_id, v array<long>, norm2): rows that take part."""
     component = lambda x: F.floor(x.cast("double") * scale)
     finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    v = F.transform("embedding", lambda x: F.least(F.greatest(component(x), F.lit(-_LIMIT)), F.lit(_LIMIT)).cast("int"))
+    v = F.transform("embedding", component)
     return (
         vectors.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull())
         .where(finite & (F.size("embedding") > 0))
         .select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v"))
-        .withColumn("norm2", F.aggregate("v", F.lit(0).cast("double"), lambda s, x: s + x.cast("double") * x))
+        .withColumn("norm2", F.aggregate("v", F.lit(0).cast("double"), lambda s, x: s + x.cast("double") * x.cast("double")))
     )
 
 
@@ -68,23 +70,39 @@ def _packed(vectors: DataFrame, size: int, with_bound: bool) -> DataFrame:
                 rows = np.flatnonzero(dims == dim)
                 for low in range(0, len(rows), size):
                     part = batch.take(pa.array(rows[low:low + size]))
-                    data = part.column("v").flatten().to_numpy().astype(np.int32)
+                    data = part.column("v").flatten().to_numpy()
+                    if data.min() >= -(1 << 31) and data.max() < 1 << 31:
+                        data = data.astype(np.int32)
                     ids = part.column("vec_id").to_numpy().astype(np.int64)
                     bound = part.column("bound").to_numpy().astype(np.int64) if with_bound else np.zeros(0, np.int64)
                     yield pa.RecordBatch.from_arrays([
                         pa.array([number], pa.int64()), pa.array([dim], pa.int32()), pa.array([len(ids)], pa.int32()),
                         pa.array([float(np.sqrt(part.column("norm2").to_numpy().max()))]),
+                        pa.array([float(bound.min()) if len(bound) else 0.0]),
                         pa.array([ids.tobytes()], pa.binary()), pa.array([data.tobytes()], pa.binary()),
                         pa.array([bound.tobytes()], pa.binary()),
-                    ], names=["block", "dim", "n", "longest", "ids", "data", "bound"])
+                    ], names=["block", "dim", "n", "longest", "least", "ids", "data", "bound"])
                     number += 1
 
     return vectors.mapInArrow(pack, BLOCK_DDL)
 
 
 def _unpacked(row: dict, side: str) -> tuple[np.ndarray, np.ndarray]:
-    ids = np.frombuffer(row[f"{side}_ids"], np.int64)
-    return ids, np.frombuffer(row[f"{side}_data"], np.int32).reshape(len(ids), -1).astype(np.float64)
+    ids, data = np.frombuffer(row[f"{side}_ids"], np.int64), row[f"{side}_data"]
+    wide = len(data) == 8 * len(ids) * row["dim"]
+    return ids, np.frombuffer(data, np.int64 if wide else np.int32).reshape(len(ids), -1).astype(np.int64)
+
+
+def exact_products(block: np.ndarray, query: np.ndarray) -> np.ndarray:
+    """Integer inner products of the rows with the query; beyond 64 bits the ends of a long."""
+    if not len(block):
+        return np.zeros(0, np.int64)
+    reach = np.abs(block.astype(float)).max() * np.abs(query.astype(float)).max() * len(query)
+    if reach < 1 << 53:  # every partial sum is exact in doubles
+        return (block.astype(float) @ query.astype(float)).astype(np.int64)
+    if reach < 1 << 62:
+        return block @ query
+    return np.array([min(max(x, _LEAST), _MOST) for x in block.astype(object) @ query.astype(object)], np.int64)
 
 
 def survivors(query: np.ndarray, length: float, block: np.ndarray, lengths: np.ndarray, bound: float) -> np.ndarray:
@@ -116,20 +134,21 @@ def _search(k: int):
                 query_ids, queries = _unpacked(row, "q")
                 bounds = np.frombuffer(row["q_bound"], np.int64)
                 ids, block = _unpacked(row, "c")
-                lengths = np.sqrt((block * block).sum(axis=1))
+                near = block.astype(np.float64)  # for pruning, which allows for rounding
+                lengths = np.sqrt((near * near).sum(axis=1))
                 order = np.lexsort((ids, -lengths))
-                ids, block, lengths = ids[order], block[order], lengths[order]
+                ids, block, near, lengths = ids[order], block[order], near[order], lengths[order]
                 out_q, out_v, out_s = [], [], []
                 for n, query in enumerate(queries):
-                    places = survivors(query, float(np.sqrt(query @ query)), block, lengths, float(bounds[n]))
+                    rough = query.astype(np.float64)
+                    places = survivors(rough, float(np.sqrt(rough @ rough)), near, lengths, float(bounds[n]))
                     places = places[ids[places] != query_ids[n]]
                     if not len(places):
                         continue
-                    # products below 2**53 are exact in doubles; the saturation keeps them there
-                    score = (block[places] @ query).astype(np.int64)
+                    score = exact_products(block[places], query)
                     keep = score >= bounds[n]
                     places, score = places[keep], score[keep]
-                    best = np.lexsort((ids[places], -score))[:k]
+                    best = np.lexsort((ids[places], ~score))[:k]  # ~ turns the order and cannot overflow
                     out_q += [int(query_ids[n])] * len(best)
                     out_v += ids[places[best]].tolist()
                     out_s += score[best].tolist()
@@ -140,17 +159,32 @@ def _search(k: int):
     return search
 
 
-def _meet(queries: DataFrame, candidates: DataFrame, k: int, parts: int) -> DataFrame:
-    """Scores of all block pairs of equal dimension; parts spreads the candidate blocks."""
+def _meet(queries: DataFrame, candidates: DataFrame, k: int) -> DataFrame:
+    """Scores of all block pairs of equal dimension whose lengths can reach the query block's least bound."""
+    part = F.shiftright("block", 40)  # blocks are packed from slices of descending length
     c = candidates.select(
-        F.pmod(F.xxhash64("block"), F.lit(parts)).cast("int").alias("part"), "dim",
-        *[F.col(x).alias(f"c_{x}") for x in ("ids", "data", "longest")],
+        part.alias("part"), "dim", *[F.col(x).alias(f"c_{x}") for x in ("ids", "data", "longest")],
     )
-    q = queries.select(
-        F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), "dim",
-        *[F.col(x).alias(f"q_{x}") for x in ("ids", "data", "bound")],
+    parts = candidates.agg(F.coalesce(F.max(part), F.lit(0)) + 1).first()[0]
+    width = -(-parts // SLICES)
+    longest = dict(candidates.groupBy((part / width).cast("int").alias("of"))
+                   .agg(F.max("longest")).collect())  # at most SLICES rows
+    reach = F.array([F.lit(float(longest.get(i, 0.0))) for i in range(-(-parts // width))])
+    # slices in reach of the block; without a bound above zero all of them
+    slack = 1 - 1e-9
+    inside = F.transform(reach, lambda x: (F.col("least") <= 0) | (x * F.col("longest") >= F.col("least") * slack))
+    q = queries.withColumn("inside", inside).select(
+        F.posexplode("inside").alias("of", "in_reach"), "dim",
+        *[F.col(x).alias(f"q_{x}") for x in ("ids", "data", "bound", "longest", "least")],
+    ).where("in_reach").select(
+        F.explode(F.sequence(F.col("of") * width, F.least((F.col("of") + 1) * width, F.lit(parts)) - 1)).alias("part"),
+        "*",
+    ).withColumn("part", F.col("part").cast("long"))
+    pairs = (
+        q.join(c, ["part", "dim"])
+        .where((F.col("q_least") <= 0) | (F.col("c_longest") * F.col("q_longest") >= F.col("q_least") * slack))
+        .select("dim", "q_ids", "q_data", "q_bound", "c_ids", "c_data")
     )
-    pairs = q.join(c, ["part", "dim"]).select("q_ids", "q_data", "q_bound", "c_ids", "c_data")
     return pairs.mapInArrow(_search(k), "query_id long, vec_id long, score long")
 
 
@@ -168,18 +202,18 @@ def exact_top_k(vectors: DataFrame, is_query: Column, k: int = K, scale: int = S
                                  .sortWithinPartitions(F.desc("norm2"), "vec_id"), BLOCK, False))
     queries = rows.where(is_query)
     # the longest vectors: SEEDS rows, a bounded table
-    seeds = _packed(rows.orderBy(F.desc("norm2"), "vec_id").limit(SEEDS).coalesce(1), SEEDS, False)
-    open_bound = F.lit(-(1 << 62)).alias("bound")
+    seeds = cut_lineage(_packed(rows.orderBy(F.desc("norm2"), "vec_id").limit(SEEDS).coalesce(1), SEEDS, False))
+    open_bound = F.lit(_LEAST).alias("bound")
     query_parts = max(1, -(-n // (BLOCK * 16)))
     first = _packed(queries.select("*", open_bound).repartition(query_parts, F.xxhash64("vec_id")), QUERY_BLOCK, True)
     reached = (
-        _ranked(_meet(first, seeds, k, 1), k).where(F.col("rank") == k)
+        _ranked(_meet(first, seeds, k), k).where(F.col("rank") == k)
         .select(F.col("query_id").alias("vec_id"), F.col("score").alias("bound"))
     )
     bounded = queries.join(reached.groupBy("vec_id").agg(F.min("bound").alias("bound")), "vec_id", "left").select(
-        "vec_id", "v", "norm2", F.coalesce("bound", F.lit(-(1 << 62))).alias("bound")
+        "vec_id", "v", "norm2", F.coalesce("bound", F.lit(_LEAST)).alias("bound")
     )
     packed = cut_lineage(_packed(bounded.repartition(query_parts, F.xxhash64("vec_id")), QUERY_BLOCK, True))
-    return _ranked(_meet(packed, blocks, k, parts), k).select(
+    return _ranked(_meet(packed, blocks, k), k).select(
         "query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score"
     )

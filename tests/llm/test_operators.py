@@ -303,6 +303,31 @@ def test_top_k_against_brute_force(spark):
     assert set(got) == set(range(0, 400, 20))
 
 
+def test_top_k_of_large_components_is_exact(spark):
+    rng = np.random.default_rng(8)
+    x = np.round(rng.normal(size=(300, 4)) * rng.choice([1, 1e3, 1e6, 1e9], (300, 1)), 3)
+    x[7], x[8], x[9] = [1, 0, 0, 0], [20000, 0, 0, 0], [30000, 0, 0, 0]
+    rows = [(i, [float(v) for v in r]) for i, r in enumerate(x)] + [(500, [1.0, 2.0]), (501, [3.0, 4.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    q = [[int(np.floor(1024 * v)) for v in r] for r in x]
+    got = defaultdict(list)
+    wanted = F.col("vec_id").isin(7, 20, 40, 60, 80, 500)
+    for r in top_k.exact_top_k(df, wanted).orderBy("query_id", "rank").collect():
+        got[r.query_id].append((r.score, r.vec_id))
+    for i in (7, 20, 40, 60, 80):
+        exact = [(sum(a * b for a, b in zip(q[i], q[j])), j) for j in range(300) if j != i]
+        clipped = [(min(max(s, -(1 << 63)), (1 << 63) - 1), j) for s, j in exact]
+        assert got[i] == sorted(clipped, key=lambda p: (-p[0], p[1]))[:10]
+    assert got[500] == [(1024 * 1024 * 11, 501)]
+
+
+def test_top_k_with_clashing_names_and_one_row(spark):
+    one = spark.createDataFrame([(100, [1.0], 3, 4)], "vec_id long, embedding array<float>, block int, score int")
+    assert top_k.exact_top_k(one, F.lit(True)).count() == 0
+    two = one.unionByName(spark.createDataFrame([(5, [2.0], 0, 0)], one.schema))
+    assert [tuple(r) for r in top_k.exact_top_k(two, F.col("vec_id") == 100).collect()] == [(100, 1, 5, 2 << 20)]
+
+
 def test_coordinate_pruning_loses_nothing():
     rng = np.random.default_rng(4)
     block = rng.normal(size=(500, 6))
