@@ -10,6 +10,10 @@ repeats itself every few words has none) may hold no whole chunk, so all such wi
 compared by digest too. Any other window holds a whole chunk wherever it stands, so short
 repeated lines and passages are told apart exactly.
 
+Windows go through one exchange. Of equal windows in one block of texts only those of its
+least document are sent, so a passage that every document holds puts one row per block into its
+task; there the sorted rows pass by as a stream and no group is held.
+
 Edge cases: null and empty texts have no words and no passages; a text shorter than
 ``min_words`` never has one; repeats inside one document alone do not count; rows with the
 same doc_id and text are one document (they share the result); extra columns are ignored by
@@ -22,10 +26,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evirank.llm.tables import stored
 from evirank.llm.words import Words, mix, range_hash, word_pieces
 
 MIN_WORDS = 50
@@ -34,6 +38,10 @@ _GEAR_WORDS = 4
 _SLACK = REACH + _GEAR_WORDS  # words beyond a chunk's end that decide on its cut
 _GEAR_SHIFT = 8  # bits that the 32-bit hash moves per word, so that it forgets after four
 
+# passages found (without digests) and windows still to compare; ``known``: repeated in its own block
+PROPOSAL_DDL = "row long, start int, end int, own boolean, digest_a long, digest_b long, known boolean"
+PASSAGE_DDL = "row long, start int, end int, own boolean"
+
 
 def _gear(words: Words) -> np.ndarray:
     """Rolling gear hash at every word: the last four words, older ones shifted out."""
@@ -158,10 +166,36 @@ def _merged(hashes: np.ndarray, at: np.ndarray, min_words: int) -> Iterator[tupl
         yield s, e, a, b
 
 
+def _proposals(found: list[tuple]) -> pa.RecordBatch:
+    """Proposals of one block of texts from (row, start, end, own, digest_a, digest_b) tuples.
+
+    Equal windows of several documents are settled here, apart from those of the least document.
+    """
+    row, start, end, own, digest_a, digest_b = (list(c) for c in zip(*found, strict=True))
+    is_window = np.array([a is not None for a in digest_a])
+    known = np.zeros(len(found), bool)
+    settled = ~is_window
+    at = np.flatnonzero(is_window)
+    if len(at):
+        a, b, r = (np.array([c[i] for i in at], np.int64) for c in (digest_a, digest_b, row))
+        order = np.lexsort((r, b, a))
+        a, b, r = a[order], b[order], r[order]
+        first = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
+        group = np.cumsum(first) - 1
+        least = r[first]
+        most = r[np.append(np.flatnonzero(first)[1:], len(r)) - 1]
+        known[at[order]] = (least < most)[group]
+        settled[at[order]] = r != least[group]
+    own = [False if w and s else o for w, s, o in zip(is_window, settled, own, strict=True)]
+    return pa.RecordBatch.from_arrays([
+        pa.array(row, pa.int64()), pa.array(start, pa.int32()), pa.array(end, pa.int32()),
+        pa.array(own, pa.bool_()), pa.array(digest_a, pa.int64(), mask=settled),
+        pa.array(digest_b, pa.int64(), mask=settled), pa.array(known),
+    ], names=["row", "start", "end", "own", "digest_a", "digest_b", "known"])
+
+
 def stretches(docs: DataFrame, min_words: int) -> DataFrame:
-    """(row, start, end, digest_a, digest_b): windows whose own words settle fewer than two cuts."""
-    names = ["row", "start", "end", "digest_a", "digest_b"]
-    types = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64()]
+    """Windows whose own words settle fewer than two cuts, as proposals."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -175,16 +209,12 @@ def stretches(docs: DataFrame, min_words: int) -> DataFrame:
                 for some in np.split(at, np.flatnonzero(np.diff(text)) + 1) if len(at) else ():
                     k = int(np.searchsorted(words.first, some[0], side="right")) - 1
                     a, b = words.first[k:k + 2]
-                    out += [(int(row[first + k]), *w) for w in _merged(words.hash[a:b], some - a, min_words)]
+                    out += [(int(row[first + k]), *w[:2], None, *w[2:])
+                            for w in _merged(words.hash[a:b], some - a, min_words)]
                 if out:
-                    columns = zip(*out, strict=True)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names
-                    )
+                    yield _proposals(out)
 
-    return keyed(docs).select("row", "text").mapInArrow(
-        scan, "row long, start int, end int, digest_a long, digest_b long"
-    )
+    return keyed(docs).select("row", "text").mapInArrow(scan, PROPOSAL_DDL)
 
 
 def _unsettled(words: Words, ends: np.ndarray, min_words: int) -> np.ndarray:
@@ -201,9 +231,6 @@ def _propose(docs: DataFrame, found: DataFrame, min_words: int) -> DataFrame:
     lists = found.groupBy("row").agg(
         F.collect_list(F.struct("at", "size", "partner", "partner_at", "holders")).alias("found")
     )
-    names = ["row", "start", "end", "own", "digest_a", "digest_b"]
-    types = [pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.int64(), pa.int64()]
-
     def propose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows, lists = batch.column("row").to_pylist(), batch.column("found")
@@ -217,15 +244,49 @@ def _propose(docs: DataFrame, found: DataFrame, min_words: int) -> DataFrame:
                     found = lists[k].as_py()
                     out += [(rows[k], *p) for p in _passages(rows[k], found, words.hash[a:b], cuts, min_words)]
                 if out:
-                    columns = zip(*out, strict=True)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names
-                    )
+                    yield _proposals(out)
 
     texts = keyed(docs).select("row", "text").join(lists, "row").dropDuplicates(["row"])
-    return texts.select("row", "text", "found").mapInArrow(
-        propose, "row long, start int, end int, own boolean, digest_a long, digest_b long"
-    )
+    return texts.select("row", "text", "found").mapInArrow(propose, PROPOSAL_DDL)
+
+
+def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Passages found, and windows that two documents hold, of rows sorted by (digest_a, digest_b, row).
+
+    Only the rows of the last digest's least document wait for the next batch.
+    """
+    names = ["row", "start", "end", "own"]
+    waiting = None  # arrays of the rows carried over, and whether each was sent already
+    for batch in batches:
+        window = batch.column("digest_a").is_valid()
+        done = batch.filter(pc.invert(window))
+        if len(done):
+            yield done.select(names)
+        rest = batch.filter(window)
+        if not len(rest):
+            continue
+        columns = [rest.column(c).to_numpy(zero_copy_only=False)
+                   for c in ("digest_a", "digest_b", "row", "start", "end", "known")]
+        columns.append(np.zeros(len(rest), bool))
+        if waiting is not None:
+            columns = [np.concatenate(c) for c in zip(waiting, columns, strict=True)]
+        a, b, row, start, end, known, sent = columns
+        first = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
+        group = np.cumsum(first) - 1
+        begin = np.flatnonzero(first)
+        least = row[begin]
+        repeated = (row[np.append(begin[1:], len(row)) - 1] != least) | np.logical_or.reduceat(known, begin)
+        own = row == least[group]
+        keep = repeated[group] & ~sent
+        if keep.any():
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(row[keep]), pa.array(start[keep], pa.int32()), pa.array(end[keep], pa.int32()),
+                 pa.array(own[keep])], names=names)
+        last = np.arange(begin[-1], len(row))
+        last = last[:1] if repeated[-1] else last  # one sent row keeps the least document in mind
+        waiting = [c[last] for c in columns]
+        waiting[5] = waiting[5] | repeated[-1]
+        waiting[6] = np.full(len(last), bool(repeated[-1]))
 
 
 def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
@@ -252,19 +313,12 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
         .select("row", "at", "size", "holders", F.col("p.row").alias("partner"),
                 F.col("p.at").alias("partner_at"))
     )
-    proposed = stored(_propose(docs, found, min_words).unionByName(
-        stretches(docs, min_words).withColumn("own", F.lit(None).cast("boolean"))
-    ))
-    settled = proposed.where("digest_a IS NULL").select("row", "start", "end", "own")
-    windows = proposed.where("digest_a IS NOT NULL")
-    twice = (
-        windows.groupBy("digest_a", "digest_b").agg(F.min("row").alias("low"), F.max("row").alias("high"))
-        .where("low < high")
-    )
-    compared = windows.join(twice, ["digest_a", "digest_b"]).select(
-        "row", "start", "end", (F.col("row") == F.col("low")).alias("own")
+    proposed = _propose(docs, found, min_words).unionByName(stretches(docs, min_words))
+    return (
+        proposed.repartition(F.coalesce("digest_a", "row"))
+        .sortWithinPartitions("digest_a", "digest_b", "row")
+        .mapInArrow(_compare, PASSAGE_DDL)
     )
-    return settled.unionByName(compared)
 
 
 def merge_spans(spans: list) -> list[tuple[int, int]]:
