@@ -38,8 +38,10 @@ _GEAR_WORDS = 4
 _SLACK = REACH + _GEAR_WORDS  # words beyond a chunk's end that decide on its cut
 _GEAR_SHIFT = 8  # bits that the 32-bit hash moves per word, so that it forgets after four
 
-# passages found (without digests) and windows still to compare; ``known``: repeated in its own block
-PROPOSAL_DDL = "row long, start int, end int, own boolean, digest_a long, digest_b long, known boolean"
+# Passages found (without digest) and windows still to compare, packed since they are shuffled:
+# ``tail`` is a second digest of 32 bits above the first word, ``size`` the number of words above the
+# bits "own" and "known" (repeated in its own block). 96 bits tell 10**13 windows apart.
+PROPOSAL_DDL = "row long, digest long, tail long, size long"
 PASSAGE_DDL = "row long, start int, end int, own boolean"
 
 
@@ -186,12 +188,14 @@ def _proposals(found: list[tuple]) -> pa.RecordBatch:
         most = r[np.append(np.flatnonzero(first)[1:], len(r)) - 1]
         known[at[order]] = (least < most)[group]
         settled[at[order]] = r != least[group]
-    own = [False if w and s else o for w, s, o in zip(is_window, settled, own, strict=True)]
+    start, end = np.array(start, np.int64), np.array(end, np.int64)
+    second = np.array([0 if b is None else b for b in digest_b], np.int64)
+    own = np.array([bool(o) for o in own])  # windows are owned, or not, once they are compared
     return pa.RecordBatch.from_arrays([
-        pa.array(row, pa.int64()), pa.array(start, pa.int32()), pa.array(end, pa.int32()),
-        pa.array(own, pa.bool_()), pa.array(digest_a, pa.int64(), mask=settled),
-        pa.array(digest_b, pa.int64(), mask=settled), pa.array(known),
-    ], names=["row", "start", "end", "own", "digest_a", "digest_b", "known"])
+        pa.array(row, pa.int64()),
+        pa.array(np.array([0 if a is None else a for a in digest_a], np.int64), mask=settled),
+        pa.array(second << 32 | start), pa.array((end - start) << 2 | own.astype(np.int64) << 1 | known),
+    ], names=["row", "digest", "tail", "size"])
 
 
 def stretches(docs: DataFrame, min_words: int) -> DataFrame:
@@ -251,42 +255,46 @@ def _propose(docs: DataFrame, found: DataFrame, min_words: int) -> DataFrame:
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Passages found, and windows that two documents hold, of rows sorted by (digest_a, digest_b, row).
+    """Passages found, and windows that two documents hold, of proposals sorted by digests and row.
 
     Only the rows of the last digest's least document wait for the next batch.
     """
-    names = ["row", "start", "end", "own"]
+
+    def passages(row, start, size, own):
+        end = (start + (size >> 2)).astype(np.int32)
+        return pa.RecordBatch.from_arrays(
+            [pa.array(row), pa.array(start.astype(np.int32)), pa.array(end), pa.array(own)],
+            names=["row", "start", "end", "own"],
+        )
+
     waiting = None  # arrays of the rows carried over, and whether each was sent already
     for batch in batches:
-        window = batch.column("digest_a").is_valid()
-        done = batch.filter(pc.invert(window))
-        if len(done):
-            yield done.select(names)
+        window = batch.column("digest").is_valid()
+        row, tail, size = (batch.filter(pc.invert(window)).column(c).to_numpy() for c in ("row", "tail", "size"))
+        if len(row):
+            yield passages(row, tail & 0xFFFFFFFF, size, (size & 2) > 0)
         rest = batch.filter(window)
         if not len(rest):
             continue
-        columns = [rest.column(c).to_numpy(zero_copy_only=False)
-                   for c in ("digest_a", "digest_b", "row", "start", "end", "known")]
+        columns = [rest.column(c).to_numpy() for c in ("digest", "tail", "row", "size")]
         columns.append(np.zeros(len(rest), bool))
         if waiting is not None:
             columns = [np.concatenate(c) for c in zip(waiting, columns, strict=True)]
-        a, b, row, start, end, known, sent = columns
-        first = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
-        group = np.cumsum(first) - 1
-        begin = np.flatnonzero(first)
+        digest, tail, row, size, sent = columns
+        second = tail >> 32
+        first = np.concatenate([[True], (digest[1:] != digest[:-1]) | (second[1:] != second[:-1])])
+        group, begin = np.cumsum(first) - 1, np.flatnonzero(first)
         least = row[begin]
-        repeated = (row[np.append(begin[1:], len(row)) - 1] != least) | np.logical_or.reduceat(known, begin)
-        own = row == least[group]
+        most = row[np.append(begin[1:], len(row)) - 1]
+        # a row that was sent stands for a group known to be repeated
+        repeated = (most != least) | np.logical_or.reduceat((size & 1 > 0) | sent, begin)
         keep = repeated[group] & ~sent
         if keep.any():
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(row[keep]), pa.array(start[keep], pa.int32()), pa.array(end[keep], pa.int32()),
-                 pa.array(own[keep])], names=names)
+            yield passages(row[keep], tail[keep] & 0xFFFFFFFF, size[keep], (row == least[group])[keep])
         last = np.arange(begin[-1], len(row))
         last = last[:1] if repeated[-1] else last  # one sent row keeps the least document in mind
         waiting = [c[last] for c in columns]
-        waiting[5] = waiting[5] | repeated[-1]
-        waiting[6] = np.full(len(last), bool(repeated[-1]))
+        waiting[4] = np.full(len(last), bool(repeated[-1]))
 
 
 def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
@@ -315,8 +323,8 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     )
     proposed = _propose(docs, found, min_words).unionByName(stretches(docs, min_words))
     return (
-        proposed.repartition(F.coalesce("digest_a", "row"))
-        .sortWithinPartitions("digest_a", "digest_b", "row")
+        proposed.repartition(F.coalesce("digest", "row"))
+        .sortWithinPartitions("digest", F.shiftright("tail", 32), "row")
         .mapInArrow(_compare, PASSAGE_DDL)
     )
 

@@ -5,6 +5,7 @@ import re
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -167,6 +168,20 @@ def test_repeated_passages_against_brute_force(spark):
         assert {p for a, b in spans for p in range(a, b)} == want[r.doc_id], r.doc_id
 
 
+def test_compared_windows_across_batches():
+    """A digest whose rows lie in several batches, unrepeated digests, settled rows, blocks that knew."""
+    rows = [(4, None, 7, 60 << 2 | 2)]
+    rows += [(r, 5, 9 << 32 | r, 50 << 2) for r in (1, 1, 2, 3, 3, 8)]
+    rows += [(1, 6, 9 << 32 | 2, 50 << 2), (2, 6, -9 << 32 | 2, 50 << 2), (7, 8, 1 << 32 | 3, 51 << 2 | 1)]
+    rows.sort(key=lambda r: (r[1] is not None, r[1] or 0, r[2] >> 32, r[0]))
+    want = {(4, 7, 67, True), (7, 3, 54, True)} | {(r, r, r + 50, r == 1) for r in (1, 2, 3, 8)}
+    table = pa.table(dict(zip(("row", "digest", "tail", "size"), zip(*rows, strict=True), strict=True)),
+                     pa.schema([(c, pa.int64()) for c in ("row", "digest", "tail", "size")]))
+    for step in (1, 2, 3, 20):
+        got = [tuple(r.values()) for b in substring_dedup._compare(iter(table.to_batches(step))) for r in b.to_pylist()]
+        assert set(got) == want and len(got) == 8
+
+
 @pytest.mark.parametrize("length", [51, 100, 400])
 def test_repeated_passages_of_periodic_text(spark, length):
     """Text that repeats every few words has no cuts: pairs that share it at other offsets are found."""
