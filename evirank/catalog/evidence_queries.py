@@ -298,6 +298,23 @@ def score_summary(spark: SparkSession, sf: str) -> DataFrame:
     return out.withColumns({c: F.round(c, 6) for c in ("mean", "stddev")})
 
 
+_SUMMARISED = ("genetics", "evidence_diversity", "functional", "literature", "druggability")
+
+
+@query("dimension_summary", " UNION ALL ".join(
+    f"""SELECT '{c}' AS "column", count({c}) AS n, round(avg({c}), 6) AS mean,
+    round(stddev({c}), 6) AS stddev, round(min({c}), 9) AS min, round(max({c}), 9) AS max,
+    round(median({c}), 9) AS median FROM {table}"""
+    for c, table in [("score", "weighted"), *[(f"dim__{d}", "feats") for d in _SUMMARISED]]
+))
+def dimension_summary(spark: SparkSession, sf: str) -> DataFrame:
+    """The score and every dimension it weighs."""
+    columns = ["score", *[f"dim__{d}" for d in _SUMMARISED]]
+    out = ev.column_summaries(t.weighted(spark, sf), columns)
+    digits = {"mean": 6, "stddev": 6, "min": 9, "max": 9, "median": 9}
+    return out.withColumns({c: F.round(c, d) for c, d in digits.items()})
+
+
 @query("group_medians", """
 SELECT group_id, median(score) AS median FROM weighted GROUP BY 1
 """)

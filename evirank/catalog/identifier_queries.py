@@ -184,6 +184,26 @@ def _name_index(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@query("nested_names", """
+SELECT p_partkey AS item_id, unnest(list_filter(
+         [p_brand, p_type, p_brand || ' x', CASE WHEN p_size % 2 = 0 THEN p_name END, p_name || '!', p_type || '?'],
+         lambda x: x IS NOT NULL)) AS name FROM part
+""")
+def nested_names(spark: SparkSession, sf: str) -> DataFrame:
+    """Names from lists of structs, structs in structs, lists of lists, plain strings and map values."""
+    part = t.read(spark, sf, "part", "p_partkey", "p_brand", "p_type", "p_size", "p_name")
+    shaped = part.select(F.col("p_partkey").alias("item_id"), F.struct(
+        F.array(F.struct(F.col("p_brand").alias("label"), F.array("p_type").alias("other"),
+                         F.col("p_size").alias("size"))).alias("exact"),
+        F.struct(F.array(F.array(F.concat("p_brand", F.lit(" x"))), F.lit(None).cast("array<string>"))
+                 .alias("lists")).alias("deep"),
+        F.when(F.col("p_size") % 2 == 0, F.col("p_name")).alias("plain"),
+        F.create_map(F.lit("k"), F.struct(
+            F.concat("p_name", F.lit("!")).alias("a"), F.concat("p_type", F.lit("?")).alias("b"))).alias("by_key"),
+    ).alias("names"))
+    return shaped.select("item_id", F.explode(ids.flatten_names(shaped, "names")).alias("name"))
+
+
 @query("unresolved_names", """
 SELECT key, query FROM specs WHERE key NOT IN (SELECT key FROM name_hits)
 """)

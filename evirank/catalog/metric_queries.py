@@ -13,6 +13,7 @@ from evirank.functions.numeric import stable_uniform
 from evirank.operators import labels as lb
 from evirank.operators import metrics as mt
 from evirank.operators import scoring
+from evirank.plans.comparison import compare_profiles
 from evirank.session import cut_lineage
 
 KEYS = ["method", "group_id"]
@@ -304,3 +305,34 @@ def weight_profile_comparison(spark: SparkSession, sf: str) -> DataFrame:
     table = mt.evaluate(scored, t.labels(spark, sf, shared), ("ndcg_at_10",),
                         keys=["profile", "group_id"], digits=None)
     return mt.mean_over_groups(table, ["ndcg_at_10"], ["profile"])
+
+
+@query("profile_comparison", """
+WITH scored AS (
+  SELECT 'default' AS profile, group_id, item_id, score FROM weighted
+  UNION ALL SELECT 'without_literature', group_id, item_id, score FROM no_lit
+  UNION ALL SELECT 'genetics_only', group_id, item_id, round(coalesce(dim__genetics, 0), 9) FROM feats
+), scopes AS (
+  SELECT 'primary' AS scope, group_id, item_id, label FROM label_table WHERE label IS NOT NULL
+  UNION ALL SELECT 'novel_only', group_id, item_id, label FROM novel WHERE label IS NOT NULL
+), placed AS (
+  SELECT profile, scope, group_id, label AS l,
+         row_number() OVER (PARTITION BY scope, profile, group_id ORDER BY score DESC, item_id) AS rank
+  FROM scored JOIN scopes USING (group_id, item_id)
+), graded AS (
+  SELECT profile, scope, group_id, sum(CASE WHEN rank <= 10 THEN l / log2(rank + 1) END) AS dcg,
+         sum(CASE WHEN rank <= 10 THEN l END) AS h, sum(l) AS p, count(*) AS n FROM placed GROUP BY 1, 2, 3
+)
+SELECT profile, scope, round(avg(CASE WHEN p > 0 THEN dcg / list_sum(list_transform(
+         range(1, least(p, 10, n)::INT + 1), lambda i: 1 / log2(i + 1))) END), 10) AS ndcg_at_10,
+       count(*) FILTER (p = 0) AS ndcg_at_10_excluded, round(avg(h / least(10, n)), 10) AS precision_at_10,
+       count(*) FILTER (n = 0) AS precision_at_10_excluded, NULL::VARCHAR AS skipped
+FROM graded GROUP BY 1, 2
+UNION ALL SELECT 'without_unknown', NULL, NULL, NULL, NULL, NULL, 'drops no scored dimension'
+""")
+def profile_comparison(spark: SparkSession, sf: str) -> DataFrame:
+    """Both scopes of every profile, and the ablation that cannot be made with its reason."""
+    shared = cut_lineage(t.evidence(spark, sf))
+    return compare_profiles(
+        t.score_features(spark, sf, shared), t.labels(spark, sf, shared),
+        {"default": scoring.DEFAULT_WEIGHTS}, "default", _ABLATIONS, digits=9)

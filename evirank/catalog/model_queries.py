@@ -71,9 +71,7 @@ def fold_medians(spark: SparkSession, sf: str) -> DataFrame:
     """The imputation values each fold learns from its training rows."""
     feats, labels = inputs(spark, sf)
     rows = md.training_slice(feats, labels, _MEDIAN_COLUMNS)
-    by_fold = md.fold_medians(rows, _MEDIAN_COLUMNS, md.group_values(feats))
-    flat = [(g, c, m) for g, values in by_fold.items() for c, m in values.items()]
-    return spark.createDataFrame(flat, "fold STRING, column STRING, median DOUBLE")
+    return md.fold_median_table(rows, _MEDIAN_COLUMNS, feats.select("group_id").distinct())
 
 
 def _lodo(name: str, params: dict):  # noqa: ANN202

@@ -11,6 +11,8 @@ from evirank.catalog import metric_queries as mq
 from evirank.catalog import tables as t
 from evirank.catalog.evidence_queries import full_features
 from evirank.catalog.label_queries import drug_table
+from evirank.catalog.source_queries import new_path
+from evirank.operators import attributions as at
 from evirank.operators import evidence as ev
 from evirank.operators import graph as gr
 from evirank.operators import quality
@@ -19,6 +21,7 @@ from evirank.operators import metrics as mt
 from evirank.operators import scoring
 from evirank.plans import features as pf
 from evirank.plans import products as pr
+from evirank.plans import training as tr
 from evirank.session import cut_lineage
 
 W = scoring.DEFAULT_WEIGHTS
@@ -52,6 +55,13 @@ def ranked_product(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+REMARKS = (
+    "Groups are market segments of customers.", "Items are parts that they ordered.",
+    "Sources are order priorities.", "Partners are suppliers of the part.",
+    "Stages stand for order states.",
+)
+
+
 @query("evidence_card", """
 SELECT d.group_id, d.item_id, score,
        array_to_string(list_transform(list_filter(list_sort([
@@ -64,12 +74,7 @@ SELECT d.group_id, d.item_id, score,
 FROM display_done d JOIN weighted USING (group_id, item_id)
 """)
 def evidence_card(spark: SparkSession, sf: str) -> DataFrame:
-    remarks = (
-        "Groups are market segments of customers.", "Items are parts that they ordered.",
-        "Sources are order priorities.", "Partners are suppliers of the part.",
-        "Stages stand for order states.",
-    )
-    cards = pr.evidence_cards(full_features(spark, sf), limitations=remarks)
+    cards = pr.evidence_cards(full_features(spark, sf), limitations=REMARKS)
     return cards.select(
         "group_id", "item_id", F.round("score", 9).alias("score"),
         F.array_join("supporting.category", ",").alias("supporting"),
@@ -97,6 +102,58 @@ def _as_item(partners: DataFrame) -> DataFrame:
     return partners.withColumn("partner_id", F.substring("partner_id", 2, 20).cast("long"))
 
 
+_POSITIVE = """list_transform(list_filter(list_sort([
+         (-c_genetics, 'genetics'), (-c_diversity, 'evidence_diversity'),
+         (-c_functional, 'functional'), (-c_literature, 'literature'),
+         (-c_druggability, 'druggability')]), lambda x: x[1] < 0), lambda x: x[2])"""
+
+
+@query("evidence_card_factors", f"""
+SELECT d.group_id, d.item_id, array_to_string(list_concat(
+         list_transform({_POSITIVE}, lambda x: 'weighted_baseline__' || x),
+         list_transform({_POSITIVE}, lambda x: 'held_out__dim__' || x)), ',') AS supporting,
+       CASE WHEN prio__has_safety_event = -1 THEN 'safety_event' ELSE '' END AS contradicting
+FROM display_done d JOIN weighted USING (group_id, item_id)
+""")
+def evidence_card_factors(spark: SparkSession, sf: str) -> DataFrame:
+    """Cards with the factors of a model that did not see the group: here the weights, which saw none."""
+    feats = cut_lineage(full_features(spark, sf))
+    factors = at.explain_weighted(feats).select(
+        "group_id", "item_id", "top_positive_factors", "top_negative_factors")
+    cards = pr.evidence_cards(feats, factors=factors, limitations=REMARKS)
+    return cards.select(
+        "group_id", "item_id", F.array_join("supporting.category", ",").alias("supporting"),
+        F.array_join("contradicting.category", ",").alias("contradicting"))
+
+
+@query("explain_pairs_weighted", f"""
+SELECT d.group_id, d.item_id, score,
+       array_to_string(list_transform({_POSITIVE}, lambda x: 'dim__' || x), ',') AS positive, 0 AS n_negative,
+       concat_ws(',', CASE WHEN dim__druggability IS NOT NULL THEN 'druggability' END,
+                 CASE WHEN dim__evidence_diversity IS NOT NULL THEN 'evidence_diversity' END,
+                 CASE WHEN dim__functional IS NOT NULL THEN 'functional' END,
+                 CASE WHEN dim__genetics IS NOT NULL THEN 'genetics' END,
+                 CASE WHEN dim__literature IS NOT NULL THEN 'literature' END) AS present,
+       concat_ws(',', CASE WHEN dim__druggability IS NULL THEN 'druggability' END,
+                 CASE WHEN dim__evidence_diversity IS NULL THEN 'evidence_diversity' END,
+                 CASE WHEN dim__functional IS NULL THEN 'functional' END,
+                 CASE WHEN dim__genetics IS NULL THEN 'genetics' END,
+                 CASE WHEN dim__literature IS NULL THEN 'literature' END) AS missing,
+       'https://platform.example.org/item/' || d.item_id AS item_link, 5 AS n_limitations
+FROM feats d JOIN weighted USING (group_id, item_id)
+""")
+def explain_pairs_weighted(spark: SparkSession, sf: str) -> DataFrame:
+    """Every pair explained by the weighted model, with links and limits."""
+    out = pr.pair_explanations(at.explain_weighted(t.score_features(spark, sf)), REMARKS)
+    return out.select(
+        "group_id", "item_id", F.round("score", 9).alias("score"),
+        F.array_join("top_positive_factors.feature", ",").alias("positive"),
+        F.size("top_negative_factors").alias("n_negative"),
+        F.array_join("evidence_present", ",").alias("present"),
+        F.array_join("evidence_missing", ",").alias("missing"),
+        F.col("source_links")["item"].alias("item_link"), F.size("limitations").alias("n_limitations"))
+
+
 @query("detail_pathways", """
 SELECT d.item_id, d.root_id, d.root_name, pathway_id, evidence_code, n_pathways, position
 FROM detail d JOIN (
@@ -146,14 +203,17 @@ def literature_summary(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("group_overview", """
-SELECT group_id, count(*) AS n_items, count(*) FILTER (dim__genetics IS NOT NULL) AS n_genetics,
-       count(*) FILTER (dim__functional IS NOT NULL) AS n_functional,
-       count(*) FILTER (dim__druggability IS NOT NULL) AS n_druggability,
-       3 AS categories_built, 6 AS categories_total
-FROM feats GROUP BY 1
+SELECT group_id, count(*) AS n_items, count(*) - sum(m_genetics)::BIGINT AS n_genetics,
+       count(*) - sum(m_functional)::BIGINT AS n_functional,
+       count(*) - sum(m_pathways)::BIGINT AS n_pathways,
+       count(*) - sum(m_expression)::BIGINT AS n_expression,
+       count(*) - sum(m_network)::BIGINT AS n_network,
+       count(*) - sum(m_druggability)::BIGINT AS n_druggability,
+       6 AS categories_built, 6 AS categories_total
+FROM display GROUP BY 1
 """)
 def group_overview(spark: SparkSession, sf: str) -> DataFrame:
-    return pr.group_overview(t.score_features(spark, sf))
+    return pr.group_overview(full_features(spark, sf))
 
 
 cte("sym_rank", """
@@ -273,6 +333,27 @@ LEFT JOIN (SELECT c_mktsegment AS group_id, min(c_name) AS description FROM cust
 LEFT JOIN info USING (item_id)
 """)
 def display_bundle(spark: SparkSession, sf: str) -> DataFrame:
+    return _bundle(spark, sf)
+
+
+@query("display_bundle_held_out", """
+SELECT r.group_id, r.item_id, r.score AS held_out_score, r.rank AS held_out_rank, o.score AS overall_score,
+       n_other_groups_positive, max_clinical_stage AS label__max_clinical_stage,
+       coalesce(label__n_drugs, 0) AS label__n_drugs
+FROM (SELECT *, row_number() OVER (PARTITION BY group_id ORDER BY score DESC, item_id) AS rank FROM weighted) r
+LEFT JOIN overall o USING (group_id, item_id) LEFT JOIN popular USING (group_id, item_id)
+LEFT JOIN label_table USING (group_id, item_id) LEFT JOIN drugs USING (group_id, item_id)
+""")
+def display_bundle_held_out(spark: SparkSession, sf: str) -> DataFrame:
+    """The bundle with score and rank by the model that did not see the group (weights see none)."""
+    feats, labels = t.score_features(spark, sf), t.labels(spark, sf)
+    held = tr.leave_one_group_out(feats, labels, {"weighted_baseline": {}}, rules=t.RULES)
+    held = held.select("group_id", "item_id", F.round("score", 9).alias("held_out_score"))
+    ranked = scoring.rank_scored(held, score="held_out_score").withColumnRenamed("rank", "held_out_rank")
+    return _bundle(spark, sf, ranked).drop("description", "symbol", "label__drug_names")
+
+
+def _bundle(spark: SparkSession, sf: str, held_out: DataFrame | None = None) -> DataFrame:
     shared = cut_lineage(t.evidence(spark, sf))
     pairs = ev.drop_denied_sources(shared, t.RULES).select("group_id", "item_id").distinct()
     labels = cut_lineage(t.labels(spark, sf, shared))
@@ -281,7 +362,7 @@ def display_bundle(spark: SparkSession, sf: str) -> DataFrame:
     text = t.read(spark, sf, "customer", "c_mktsegment", "c_name").select(
         F.col("c_mktsegment").alias("group_id"), F.col("c_name").alias("description"))
     return pf.display_bundle(
-        pairs, None, overall, lb.popularity(pairs, labels), labels, drug_table(spark, sf),
+        pairs, held_out, overall, lb.popularity(pairs, labels), labels, drug_table(spark, sf),
         lb.descriptions(text, "group_id", "description"),
         t.item_info(spark, sf).select("item_id", "symbol"),
     )
@@ -320,6 +401,18 @@ def duplicate_keys(spark: SparkSession, sf: str) -> DataFrame:
 _FLAGS = [*t.DRUGGABILITY, *t.SAFETY]
 
 
+@query("null_round_trip", " UNION ALL ".join(
+    f"""SELECT 'dim__{c}' AS "column", count(*) FILTER (dim__{c} IS NULL) AS n_null,
+    count(*) FILTER (dim__{c} IS NULL) AS n_null_parquet, count(*) FILTER (dim__{c} IS NULL) AS n_null_json
+    FROM feats""" for c in sorted(W)
+))
+def null_round_trip(spark: SparkSession, sf: str) -> DataFrame:
+    """Missing evidence of a product is still missing after it went through the sinks."""
+    columns = [f"dim__{c}" for c in sorted(W)]
+    return quality.null_round_trip(
+        cut_lineage(t.score_features(spark, sf).select(*columns)), columns, new_path(spark, "nulls"))
+
+
 @query("null_check", " UNION ALL ".join(
     f"""SELECT '{c}' AS "column", count(*) FILTER ({c} IS NULL) AS n_null, count(*) AS n_rows
     FROM flags""" for c in _FLAGS
@@ -329,25 +422,32 @@ def null_check(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("drop_audit", """
+WITH keyed AS (SELECT *, l_orderkey || '-' || l_linenumber AS k FROM lineitem)
 SELECT 0 AS step, 'score' AS stage, 'below the threshold' AS reason,
        count(*) FILTER (NOT l_quantity >= 20) AS dropped, count(*) AS total,
-       round(count(*) FILTER (NOT l_quantity >= 20) / count(*) * 100, 6) AS pct FROM lineitem
+       round(count(*) FILTER (NOT l_quantity >= 20) / count(*) * 100, 6) AS pct,
+       (SELECT string_agg(k, ',' ORDER BY k) FROM (SELECT k FROM keyed WHERE NOT l_quantity >= 20
+        ORDER BY k LIMIT 5)) AS examples FROM lineitem
 UNION ALL
 SELECT 1, 'status', 'returned', count(*) FILTER (l_returnflag = 'R'), count(*),
-       round(count(*) FILTER (l_returnflag = 'R') / count(*) * 100, 6)
+       round(count(*) FILTER (l_returnflag = 'R') / count(*) * 100, 6),
+       (SELECT string_agg(k, ',' ORDER BY k) FROM (SELECT k FROM keyed WHERE l_quantity >= 20
+        AND l_returnflag = 'R' ORDER BY k LIMIT 5))
 FROM lineitem WHERE l_quantity >= 20
 UNION ALL
-SELECT 2, 'tax', 'never drops', 0, count(*), 0 FROM lineitem
+SELECT 2, 'tax', 'never drops', 0, count(*), 0, '' FROM lineitem
 WHERE l_quantity >= 20 AND l_returnflag <> 'R'
 """)
 def drop_audit(spark: SparkSession, sf: str) -> DataFrame:
-    lines = t.read(spark, sf, "lineitem", "l_quantity", "l_returnflag", "l_tax", "l_partkey")
+    lines = t.read(spark, sf, "lineitem", "l_quantity", "l_returnflag", "l_tax", "l_orderkey", "l_linenumber")
+    lines = lines.withColumn("line", F.concat_ws("-", "l_orderkey", "l_linenumber"))
     out = quality.drop_audit(lines, [
         ("score", "below the threshold", F.col("l_quantity") >= 20),
         ("status", "returned", F.col("l_returnflag") != "R"),
         ("tax", "never drops", F.col("l_tax") >= 0),
-    ], "l_partkey")
-    return out.drop("example").withColumn("pct", F.round("pct", 6))
+    ], "line")
+    return out.drop("example").withColumns({
+        "pct": F.round("pct", 6), "examples": F.array_join("examples", ",")})
 
 
 @query("acceptance_suite", """

@@ -168,6 +168,27 @@ def scenario_scores(spark: SparkSession, sf: str) -> DataFrame:
     return out.withColumn("score", F.round("score", 9))
 
 
+_OWN = {"genetics": 3.0, "literature": 1.0, "druggability": 0.0}
+_SCENARIOS = {**scoring.SCENARIOS, "own": scoring.custom_scenario(_OWN)}
+
+
+@query("scenario_ranking", "WITH scored AS (" + " UNION ALL ".join(
+    f"""SELECT group_id, item_id, prio__has_safety_event, '{p}' AS profile,
+    round({_profile_sql(w)}, 9) AS score FROM feats""" for p, w in {
+        **scoring.PROFILES, "safety_first": scoring.DEFAULT_WEIGHTS,
+        "own": {"genetics": 0.75, "literature": 0.25}}.items()
+) + """), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY profile, group_id ORDER BY score DESC, item_id) AS rank FROM scored
+), filtered AS (
+  SELECT *, row_number() OVER (PARTITION BY profile, group_id ORDER BY rank) AS place FROM placed
+  WHERE profile <> 'safety_first' OR prio__has_safety_event IS DISTINCT FROM -1
+) SELECT profile, group_id, item_id, score, rank FROM filtered WHERE place <= 25
+""")
+def scenario_ranking(spark: SparkSession, sf: str) -> DataFrame:
+    """The 25 best of every scenario and group; one scenario filters, one has weights on a scale of its own."""
+    return scoring.rank_scenarios(t.score_features(spark, sf), _SCENARIOS, n=25, digits=9)
+
+
 @query("normalized_weights", """
 SELECT group_id, source, n / sum(n) OVER (PARTITION BY group_id) AS weight
 FROM (SELECT group_id, source, sum(evidence_count)::DOUBLE AS n FROM ev GROUP BY 1, 2)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from evirank.catalog import query
@@ -73,6 +73,27 @@ FROM part, LATERAL (SELECT 'size of part' AS tissue, p_size::DOUBLE AS tpm
 """)
 def gct_read(spark: SparkSession, sf: str) -> DataFrame:
     """A matrix with its preamble, versioned ids and duplicate-region rows; the latter go."""
+    clean = readers.clean_matrix(readers.read_gct(spark, _gct(spark, sf)), "Name")
+    long = readers.to_long(clean, ["Name", "Description"])
+    return long.select(F.col("Name").alias("item_id"), F.col("Description").alias("symbol"), "tissue",
+                       F.round("tpm", 6).alias("tpm"))
+
+
+@query("gct_duplicates", """
+SELECT count(*) + count(*) FILTER (p_partkey % 5 = 0) AS n_rows, count(*) FILTER (p_partkey % 5 = 0) AS n_duplicates,
+       count(*) AS n_kept FROM part
+""")
+def gct_duplicates(spark: SparkSession, sf: str) -> DataFrame:
+    """How many duplicate-region rows went, counted in the pass that writes the clean matrix."""
+    counted = Observation("duplicates")
+    path = new_path(spark, "matrix")
+    readers.clean_matrix(readers.read_gct(spark, _gct(spark, sf)), "Name", counted=counted).write.parquet(path)
+    found = counted.get
+    return spark.read.parquet(path).agg(F.count(F.lit(1)).alias("n_kept")).withColumns({
+        "n_rows": F.lit(found["n_rows"]), "n_duplicates": F.lit(found["n_duplicates"])})
+
+
+def _gct(spark: SparkSession, sf: str) -> str:
     path = new_path(spark, "gct")
     part = t.read(spark, sf, "part", "p_partkey", "p_brand", "p_size", "p_retailprice")
     ids = [F.concat(F.lit("I"), "p_partkey", F.lit(".3")), F.when(
@@ -81,10 +102,7 @@ def gct_read(spark: SparkSession, sf: str) -> DataFrame:
     write_lines(rows.select(tabbed("Name", "p_brand", "p_size", "p_retailprice")), path, [
         "#1.2", f"{part.count()}\t2", "Name\tDescription\tsize of part\tprice",
     ], gzip=True)
-    clean = readers.clean_matrix(readers.read_gct(spark, path), "Name")
-    long = readers.to_long(clean, ["Name", "Description"])
-    return long.select(F.col("Name").alias("item_id"), F.col("Description").alias("symbol"), "tissue",
-                       F.round("tpm", 6).alias("tpm"))
+    return path
 
 
 @query("headered_tsv_read", """

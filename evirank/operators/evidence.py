@@ -244,6 +244,20 @@ def score_summary(df: DataFrame, value: str) -> DataFrame:
     return basic.withColumn("_one", F.lit(1)).join(F.broadcast(middle), "_one", "left").drop("_one")
 
 
+def column_summaries(df: DataFrame, columns: list[str]) -> DataFrame:
+    """:func:`score_summary` of several columns: one row per column, one pass and one exact median.
+
+    A column without values keeps its row: n is 0, the rest null.
+    """
+    long = df.select(*[F.col(c).cast("double").alias(c) for c in columns]).unpivot(
+        [], columns, "column", "value")
+    basic = long.groupBy("column").agg(
+        F.count("value").alias("n"), F.avg("value").alias("mean"), F.stddev("value").alias("stddev"),
+        F.min("value").alias("min"), F.max("value").alias("max"),
+    )
+    return basic.join(exact_median(long, ["column"], "value"), "column", "left")
+
+
 def evidence_histogram(df: DataFrame, n: str = "n_evidence_types") -> DataFrame:
     """Number of rows per distinct count value."""
     return df.groupBy(n).agg(F.count(F.lit(1)).alias("n_rows"))

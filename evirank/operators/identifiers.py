@@ -101,19 +101,67 @@ def ambiguous_symbols(lookup: DataFrame, item: str = "item_id") -> DataFrame:
     )
 
 
+def _strings(value: Column, kind: T.DataType) -> Column | None:
+    """All strings inside a value of the given type as one list; None where the type holds none."""
+    if isinstance(kind, T.StringType):
+        return F.array(value)
+    if isinstance(kind, T.MapType):
+        return _strings(F.map_values(value), T.ArrayType(kind.valueType))
+    if isinstance(kind, T.ArrayType):
+        if _strings(F.lit(None), kind.elementType) is None:
+            return None
+        found = F.flatten(F.transform(value, lambda v: _strings(v, kind.elementType)))
+    elif isinstance(kind, T.StructType):
+        parts = [_strings(value.getField(f.name), f.dataType) for f in kind.fields]
+        parts = [p for p in parts if p is not None]
+        if not parts:
+            return None
+        found = F.concat(*parts)
+    else:
+        return None
+    return F.coalesce(found, F.array().cast("array<string>"))
+
+
 def flatten_names(df: DataFrame, column: str) -> Column:
-    """All strings of a list column, or of a struct of lists of any shape, as one list."""
-    field = df.schema[column].dataType
-    empty = F.array().cast("array<string>")
-    if isinstance(field, T.StructType):
-        parts = [
-            F.coalesce(F.col(f"{column}.{f.name}").cast("array<string>"), empty)
-            for f in field.fields if isinstance(f.dataType, T.ArrayType)
-        ]
-        return F.concat(*parts) if parts else empty
-    if isinstance(field, T.ArrayType):
-        return F.coalesce(F.col(column).cast("array<string>"), empty)
-    return F.when(F.col(column).isNotNull(), F.array(F.col(column))).otherwise(empty)
+    """All strings of a column as one list: strings, lists, structs and map values, nested to any depth.
+
+    Order follows the schema. Nulls at any level add nothing; values that are not text are left out.
+    """
+    found = _strings(F.col(f"`{column}`"), df.schema[column].dataType)
+    return F.array().cast("array<string>") if found is None else F.array_compact(found)
+
+
+PIECE = 3  # letters of the pieces that substring searches are joined on
+
+
+def _pieces(text: Column, length: Column) -> Column:
+    """The distinct pieces of ``length`` letters of a text (the text itself if it is shorter)."""
+    last = F.greatest(F.length(text) - length + 1, F.lit(1))
+    return F.array_distinct(F.transform(
+        F.sequence(F.lit(1), last), lambda i: F.substring(text, i, length)))
+
+
+def name_pieces(named: DataFrame, asked: DataFrame, name: str = "_name", query: str = "_q") -> DataFrame:
+    """One row per name and piece, in the lengths that the queries need (1, 2 or 3: at most three)."""
+    sizes = asked.select(F.least(F.length(query), F.lit(PIECE)).alias("_len")).distinct()
+    return named.join(F.broadcast(sizes), F.length(name) >= F.col("_len")).withColumn(
+        "_piece", F.explode(_pieces(F.col(name), F.col("_len")))
+    ).drop("_len")
+
+
+def rarest_pieces(asked: DataFrame, pieces: DataFrame, key: str = "key", query: str = "_q") -> DataFrame:
+    """``key, query, _piece, n_names``: of each query's pieces the one that fewest names hold.
+
+    Ties go to the smaller piece. A piece that no name holds counts zero, so its query meets nothing.
+    """
+    held = pieces.groupBy("_piece").agg(F.count(F.lit(1)).alias("n_names"))
+    length = F.least(F.length(query), F.lit(PIECE))
+    own = asked.select(key, query, F.explode(_pieces(F.col(query), length)).alias("_piece"))
+    counted = own.join(held, "_piece", "left").withColumn(
+        "n_names", F.coalesce("n_names", F.lit(0).cast("long")))
+    return counted.groupBy(key, query).agg(
+        F.min(F.struct("n_names", "_piece")).alias("_least")
+    ).select(key, query, "_least._piece", "_least.n_names")
 
 
 def resolve_names(
@@ -125,8 +173,8 @@ def resolve_names(
     The first tier with a candidate decides. Several candidates: the preferred
     prefix first, then the id; the kind gets ``_ambiguous`` and up to five
     alternatives are kept. Queries that match nothing keep one row with nulls.
-    Tiers 1 and 2 are equi-joins. Tier 3 joins on three-letter pieces of the
-    query's first piece and then checks ``contains``, and only for queries still open.
+    Tiers 1 and 2 are equi-joins. Tier 3, for queries still open, joins on the one of
+    the query's three-letter pieces that fewest names hold and then checks ``contains``.
     """
     asked = specs.select(key, query, normalize_text(F.col(query)).alias("_q"))
     named = index.select(
@@ -148,22 +196,12 @@ def resolve_names(
         )
         hits = hits.unionByName(by_synonym)
     open_specs = asked.join(hits.select(key).distinct(), key, "left_anti").where(F.col("_q") != "")
-    # every name that contains the query contains the query's first piece
-    piece = F.substring("_q", 1, 3)
-    pieces = F.array_distinct(F.transform(
-        F.sequence(F.lit(1), F.greatest(F.length("_name") - F.length("_piece") + 1, F.lit(1))),
-        lambda i: F.substring(F.col("_name"), i, F.length("_piece")),
-    ))
-    sizes = open_specs.select(F.length(piece).alias("_len")).distinct()
-    # 1, 2 or 3: at most three rows
-    grams = named.select("match_id", "match_name", "_name").join(
-        F.broadcast(sizes), F.length("_name") >= F.col("_len")
-    ).withColumn("_piece", F.repeat(F.lit("x"), F.col("_len"))).select(
-        "match_id", "match_name", "_name", F.explode(pieces).alias("_piece")
-    )
+    # a name that contains the query contains every piece of it, so also the rarest
+    pieces = name_pieces(named.select("match_id", "match_name", "_name"), open_specs)
+    chosen = rarest_pieces(open_specs, pieces, key).where(F.col("n_names") > 0)
     partial = (
-        open_specs.withColumn("_piece", piece).join(grams, "_piece")
-        .where(F.col("_name").contains(F.col("_q")))
+        chosen.join(pieces, "_piece")
+        .where((F.length("_name") >= F.length("_q")) & F.col("_name").contains(F.col("_q")))
         .select(key, "match_id", "match_name", F.lit(3).alias("tier")).distinct()
     )
     hits = hits.unionByName(partial)

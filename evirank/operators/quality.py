@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from evirank.columns import GROUP, ITEM, missing, source_count, source_score
@@ -17,6 +17,7 @@ from evirank.operators.evidence import (
     stale_rules,
     violations,
 )
+from evirank.operators.ranking import top_n
 from evirank.operators.scoring import DISPLAY_CATEGORIES, label_derived, select_features
 
 
@@ -127,33 +128,73 @@ def leakage_probe(features: DataFrame, rules: tuple[DenyRule, ...] = DEFAULT_RUL
     raise AssertionError("the leakage guard accepted an injected forbidden column")
 
 
+def _drop_counts(steps: list[tuple[str, str, Column]]) -> list[Column]:
+    """Per step the rows it sees (``t0``, ...) and those it drops (``d0``, ...)."""
+    aggs, alive = [], F.lit(True)
+    for i, (_, _, keep) in enumerate(steps):
+        ok = F.coalesce(keep, F.lit(False))
+        aggs += [F.count_if(alive).alias(f"t{i}"), F.count_if(alive & ~ok).alias(f"d{i}")]
+        alive = alive & ok
+    return aggs
+
+
 def drop_audit(
-    df: DataFrame, steps: list[tuple[str, str, Column]], example: str | None = None
+    df: DataFrame, steps: list[tuple[str, str, Column]], example: str | None = None, examples: int = 5
 ) -> DataFrame:
-    """Sequential filter accounting in one pass: one row per step, zeros included.
+    """Sequential filter accounting: one row per step, zeros included.
 
     ``steps`` are ``(stage, reason, keep)``; each sees the rows that the steps
-    before it kept.
+    before it kept. The counts are one pass. With ``example`` (a column that tells rows apart)
+    ``examples`` holds the smallest values, as text, among the rows that a step dropped, at most
+    that many, and ``example`` the first; every task sends at most that many rows per step.
     """
-    aggs, alive = [], F.lit(True)
-    for i, (_, _, keep) in enumerate(steps):
-        ok = F.coalesce(keep, F.lit(False))
-        aggs.append(F.count_if(alive).alias(f"t{i}"))
-        aggs.append(F.count_if(alive & ~ok).alias(f"d{i}"))
-        first = F.min(F.when(alive & ~ok, F.col(example).cast("string"))) if example else F.lit(None)
-        aggs.append(first.cast("string").alias(f"e{i}"))
-        alive = alive & ok
     rows = F.array(*[
         F.struct(
             F.lit(i).alias("step"), F.lit(stage).alias("stage"), F.lit(reason).alias("reason"),
             F.col(f"d{i}").alias("dropped"), F.col(f"t{i}").alias("total"),
             F.when(F.col(f"t{i}") > 0, F.col(f"d{i}") / F.col(f"t{i}") * 100.0)
             .otherwise(F.lit(0.0)).alias("pct"),
-            F.col(f"e{i}").alias("example"),
         )
         for i, (stage, reason, _) in enumerate(steps)
     ])
-    return df.agg(*aggs).select(F.inline(rows))
+    counts = df.agg(*_drop_counts(steps)).select(F.inline(rows))
+    none = F.array().cast("array<string>")
+    if example is None:
+        return counts.withColumns({"example": F.lit(None).cast("string"), "examples": none})
+    dropped = df.select(
+        F.coalesce(*[F.when(~F.coalesce(keep, F.lit(False)), F.lit(i))
+                     for i, (_, _, keep) in enumerate(steps)]).alias("step"),
+        F.col(example).cast("string").alias("_example"),
+    ).where(F.col("step").isNotNull() & F.col("_example").isNotNull())
+    few = top_n(dropped, "step", [F.col("_example").asc()], examples, "_place").groupBy("step").agg(
+        # at most `examples` entries
+        F.array_distinct(F.array_sort(F.collect_list("_example"))).alias("examples"))
+    return counts.join(few, "step", "left").withColumn(
+        "examples", F.coalesce("examples", none)).withColumn("example", F.get("examples", F.lit(0)))
+
+
+def observed_filter(df: DataFrame, steps: list[tuple[str, str, Column]], name: str = "drops"
+                    ) -> tuple[DataFrame, Observation]:
+    """The rows that all steps keep, and an observation that counts the drops in that same pass.
+
+    Once an action has run on the kept rows, :func:`observed_drops` reads the counts: nothing is
+    scanned again.
+    """
+    seen = Observation(name)
+    kept = df.observe(seen, *_drop_counts(steps))
+    for _, _, keep in steps:
+        kept = kept.where(keep)
+    return kept, seen
+
+
+def observed_drops(seen: Observation, steps: list[tuple[str, str, Column]]) -> list[dict]:
+    """``step, stage, reason, dropped, total, pct`` of every step; waits for the action."""
+    found = seen.get
+    return [
+        {"step": i, "stage": stage, "reason": reason, "dropped": found[f"d{i}"], "total": found[f"t{i}"],
+         "pct": found[f"d{i}"] / found[f"t{i}"] * 100.0 if found[f"t{i}"] else 0.0}
+        for i, (stage, reason, _) in enumerate(steps)
+    ]
 
 
 def sparse_columns(df: DataFrame, columns: list[str], group: str = GROUP) -> DataFrame:
@@ -249,6 +290,25 @@ def source_suite(
     ])
 
 
+def null_round_trip(df: DataFrame, columns: list[str], path: str) -> DataFrame:
+    """``column, n_null, n_null_parquet, n_null_json``: nulls before and after both sinks.
+
+    The table is written below ``path`` in both formats and read back with its own schema; JSON
+    keeps null fields. Equal counts mean that no null became a zero, or the other way round.
+    """
+    kept = df.select(*columns)
+    kept.write.parquet(f"{path}/parquet")
+    kept.write.option("ignoreNullFields", "false").json(f"{path}/json")
+    spark = df.sparkSession
+
+    def nulls(table: DataFrame, out: str) -> DataFrame:
+        return null_counts(table, columns).select("column", F.col("n_null").alias(out))
+
+    return nulls(kept, "n_null").join(
+        nulls(spark.read.schema(kept.schema).parquet(f"{path}/parquet"), "n_null_parquet"), "column"
+    ).join(nulls(spark.read.schema(kept.schema).json(f"{path}/json"), "n_null_json"), "column")
+
+
 def product_contract(df: DataFrame, allowed_prefixes: tuple[str, ...] = ()) -> None:
     """A ranking product carries no label field."""
     bad = [c for c in df.columns if label_derived(c) and not c.startswith(allowed_prefixes or "\0")]

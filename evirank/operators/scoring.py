@@ -25,7 +25,7 @@ from evirank.columns import (
 from evirank.functions.numeric import row_sum
 from evirank.operators.evidence import DEFAULT_RULES, DenyRule, LeakageError, violations
 from evirank.operators.matrix import DETECTION_LEVEL, RELEVANT
-from evirank.operators.ranking import rank_within_group
+from evirank.operators.ranking import rank_within_group, top_n
 
 # Default weights, scenario weights and display categories.
 DEFAULT_WEIGHTS = {
@@ -276,6 +276,53 @@ class RankingFilters:
         return out
 
 
+@dataclass(frozen=True)
+class Scenario:
+    """A way to look at a ranking: weights, and filters that act after the rank is known."""
+
+    weights: dict[str, float]
+    filters: RankingFilters = RankingFilters()
+
+
+SCENARIOS = {name: Scenario(weights) for name, weights in PROFILES.items()} | {
+    "safety_first": Scenario(DEFAULT_WEIGHTS, RankingFilters(exclude_safety=True)),
+}
+
+
+def custom_scenario(weights: dict[str, float], filters: RankingFilters | None = None) -> Scenario:
+    """A scenario of the caller's own weights on any scale; zero weights are left out."""
+    if any(not (math.isfinite(w) and w >= 0) for w in weights.values()):
+        raise ValueError(f"weights must be finite and not negative: {weights}")
+    total = math.fsum(weights.values())
+    if not total > 0:
+        raise ValueError("a scenario needs a positive weight")
+    return Scenario({d: w / total for d, w in weights.items() if w > 0}, filters or RankingFilters())
+
+
+def rank_scenarios(
+    features: DataFrame, scenarios: dict[str, Scenario], n: int | None = None,
+    digits: int | None = None, group: str = GROUP, item: str = ITEM,
+) -> DataFrame:
+    """``profile, group, item, score, rank``: every scenario from one pass over the features.
+
+    Ranks are over all candidates of the group; a scenario's filters then drop rows, so ranks
+    keep their gaps, and at most n rows per scenario and group stay.
+    """
+    needed = {dim("genetics"), RELEVANT, FLAG_PREFIX + "has_small_molecule_binder",
+              FLAG_PREFIX + "has_safety_event", DISPLAY_COMPLETENESS}
+    keep = [group, item, *sorted(needed & set(features.columns))]
+    scored = score_profiles(features, {name: s.weights for name, s in scenarios.items()}, keep)
+    if digits is not None:
+        scored = scored.withColumn("score", F.round("score", digits))
+    kept = rank_within_group(scored, ["profile", group], "score", item)
+    for name, scenario in scenarios.items():
+        for p in scenario.filters.predicates():
+            kept = kept.where((F.col("profile") != name) | p)
+    kept = kept.select("profile", group, item, "score", "rank")
+    return kept if n is None else top_n(
+        kept, ["profile", group], [F.col("rank").asc()], n, "_keep").drop("_keep")
+
+
 def select_features(
     df: DataFrame, rules: tuple[DenyRule, ...] = DEFAULT_RULES, exclude: set[str] | None = None
 ) -> list[str]:

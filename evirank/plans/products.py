@@ -144,6 +144,16 @@ def evidence_cards(
     )
 
 
+def pair_explanations(
+    explained: DataFrame, limitations: tuple[str, ...] = (), group: str = GROUP, item: str = ITEM
+) -> DataFrame:
+    """Explained pairs of any model with their three links and the caller's standing remarks."""
+    return explained.withColumns({
+        "source_links": source_links(F.col(item), F.col(group)),
+        "limitations": F.array(*[F.lit(x) for x in limitations]).cast("array<string>"),
+    })
+
+
 @dataclass(frozen=True)
 class EvidenceDetail:
     """The detail tables of the asked pairs; each is long, so nothing grows per row."""

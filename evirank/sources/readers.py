@@ -5,7 +5,7 @@ from __future__ import annotations
 import logging
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from evirank.functions.text import snake_case
@@ -65,10 +65,18 @@ def read_gct(spark: SparkSession, path: str, id_columns: int = 2) -> DataFrame:
     return body.repartition("value").select(parsed.alias("_r")).select("_r.*")
 
 
-def clean_matrix(df: DataFrame, id_col: str, duplicate_marker: str = "_PAR_Y") -> DataFrame:
-    """Drop the duplicate-region rows and strip id versions."""
+def clean_matrix(df: DataFrame, id_col: str, duplicate_marker: str = "_PAR_Y",
+                 counted: Observation | None = None) -> DataFrame:
+    """Drop the duplicate-region rows and strip id versions.
+
+    ``counted`` observes ``n_rows`` and ``n_duplicates`` in the pass that drops them; it can be
+    read once an action has run on the result.
+    """
     from evirank.functions.text import normalize_id
 
+    if counted is not None:
+        df = df.observe(counted, F.count(F.lit(1)).alias("n_rows"),
+                        F.count_if(F.col(id_col).contains(duplicate_marker)).alias("n_duplicates"))
     return df.where(~F.col(id_col).contains(duplicate_marker)).withColumn(
         id_col, normalize_id(F.col(id_col))
     )

@@ -114,3 +114,10 @@ def test_config_invariants():
         FeatureConfig({"a": ["x"], "b": ["x"]}, [], [])
     with pytest.raises(ValueError, match="forbidden"):
         FeatureConfig({"a": ["clinical_precedence"]}, [], [])
+
+
+def test_column_summaries_keep_empty_columns(spark, by):
+    df = spark.createDataFrame([(1.0, None, 1), (4.0, None, 2), (7.0, None, None)], "a DOUBLE, b DOUBLE, c INT")
+    got = by(ev.column_summaries(df, ["a", "b", "c"]), "column")
+    assert got["a"] == {"column": "a", "n": 3, "mean": 4.0, "stddev": 3.0, "min": 1.0, "max": 7.0, "median": 4.0}
+    assert got["b"]["n"] == 0 and got["b"]["median"] is None and got["c"]["median"] == 1.5

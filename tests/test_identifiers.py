@@ -110,3 +110,46 @@ def test_search_puts_the_exact_name_first(groups):
 def test_suggest_is_prefix_only(groups):
     assert [r["name"] for r in ids.suggest(groups, "alz").collect()] == ["Alzheimer's disease"]
     assert ids.suggest(groups, "heimer").count() == 0
+
+
+def test_names_of_any_shape(spark):
+    rows = [
+        (1, ((["a", None], [("b", ["c"]), None]), "d", {"k": ["e"]}, 7)),
+        (2, ((None, None), None, None, None)),
+        (3, None),
+    ]
+    df = spark.createDataFrame(
+        rows, "id INT, n STRUCT<deep: STRUCT<l: ARRAY<STRING>, s: ARRAY<STRUCT<x: STRING, y: ARRAY<STRING>>>>, "
+              "plain STRING, by_key: MAP<STRING, ARRAY<STRING>>, size INT>")
+    got = {r["id"]: r["names"] for r in df.select("id", ids.flatten_names(df, "n").alias("names")).collect()}
+    assert got == {1: ["a", "b", "c", "d", "e"], 2: [], 3: []}
+    plain = spark.createDataFrame([("x", 1), (None, 2)], "a STRING, b INT")
+    assert [r[0] for r in plain.select(ids.flatten_names(plain, "a")).collect()] == [["x"], []]
+    assert [r[0] for r in plain.select(ids.flatten_names(plain, "b")).collect()] == [[], []]
+
+
+def test_a_common_beginning_is_not_the_key_of_the_join(spark):
+    named = spark.range(300).select(
+        F.concat(F.lit("m"), "id").alias("match_id"), F.concat(F.lit("common start "), "id").alias("_name"))
+    asked = spark.createDataFrame([("a", "common start 271"), ("b", "start 9"), ("c", "zz"), ("d", "co")],
+                                  "key STRING, _q STRING")
+    chosen = {r["key"]: r for r in ids.rarest_pieces(asked, ids.name_pieces(named, asked)).collect()}
+    assert chosen["a"]["n_names"] <= 3 and chosen["c"]["n_names"] == 0 and chosen["d"]["n_names"] == 300
+    held = chosen["b"]
+    assert held["n_names"] == sum(held["_piece"] in f"common start {i}" for i in range(300)) == 11
+
+
+def test_substring_resolution_equals_a_scan(spark):
+    names = ["Alpha beta", "alpha", "beta-alpha gamma", "x", "gamma ray", "", "phase alpha"]
+    index = spark.createDataFrame([(f"I{i}", n) for i, n in enumerate(names)], "id STRING, name STRING")
+    queries = ["alpha b", "amma", "a", "ray", "zeta", "pha", "ph alpha", ""]
+    specs = spark.createDataFrame([(q or "none", q) for q in queries], "key STRING, query STRING")
+    got = {r["query"]: (r["match_id"], r["n_candidates"]) for r in ids.resolve_names(specs, index).collect()}
+
+    def scan(q):
+        plain = [n.lower().replace("-", " ") for n in names]
+        hits = [f"I{i}" for i, n in enumerate(plain) if n == q]
+        hits = hits or ([f"I{i}" for i, n in enumerate(plain) if q in n] if q else [])
+        return (min(hits), len(hits)) if hits else (None, None)
+
+    assert got == {q: scan(q) for q in queries}

@@ -89,3 +89,30 @@ def test_partner_lookup_falls_back_to_the_id(spark, by):
                                    "symbol"), "partner_id")
     assert rows["b"]["is_candidate"] and rows["b"]["partner_symbol"] == "B"
     assert not rows["z"]["is_candidate"] and rows["z"]["partner_symbol"] == "z"
+
+
+def test_drop_audit_shows_the_smallest_examples(spark, by):
+    df = spark.range(20).withColumn("name", F.format_string("n%02d", "id"))
+    steps = [("s", "odd", F.col("id") % 2 == 0), ("t", "small", F.col("id") > 3), ("u", "none", F.lit(True))]
+    rows = by(quality.drop_audit(df, steps, "name"), "step")
+    assert rows[0]["examples"] == ["n01", "n03", "n05", "n07", "n09"]
+    assert rows[1]["examples"] == ["n00", "n02"] and rows[2]["examples"] == []
+    bare = by(quality.drop_audit(df, steps), "step")
+    assert bare[0]["dropped"] == 10 and bare[0]["examples"] == [] and bare[0]["example"] is None
+    none = by(quality.drop_audit(df.where("id < 0"), steps, "name"), "step")
+    assert [(r["dropped"], r["total"], r["pct"], r["examples"]) for r in none.values()] == [(0, 0, 0.0, [])] * 3
+
+
+def test_observed_filter_counts_in_the_pass_that_filters(spark):
+    df = spark.range(20).select(F.when(F.col("id") != 4, F.col("id")).alias("id"))
+    steps = [("s", "odd or null", F.col("id") % 2 == 0), ("t", "small", F.col("id") > 3)]
+    kept, seen = quality.observed_filter(df, steps)
+    assert sorted(r["id"] for r in kept.collect()) == [6, 8, 10, 12, 14, 16, 18]
+    found = quality.observed_drops(seen, steps)
+    assert [(r["dropped"], r["total"]) for r in found] == [(11, 20), (2, 9)] and found[0]["pct"] == pytest.approx(55.0)
+
+
+def test_nulls_survive_both_sinks(spark, tmp_path):
+    df = spark.createDataFrame([(1.0, None), (None, 0.0), (None, None)], "a DOUBLE, b DOUBLE")
+    got = {r["column"]: tuple(r)[1:] for r in quality.null_round_trip(df, ["a", "b"], str(tmp_path / "x")).collect()}
+    assert got == {"a": (2, 2, 2), "b": (2, 2, 2)}

@@ -244,3 +244,59 @@ def test_nulls_survive_the_sinks(spark, candidates, shown, tmp_path, by):
         back = by(spark.read.schema(product.schema).format(kind).load(path), "item_id")
         for i, r in ROWS.items():
             assert back[i]["evidence"].get("genetics") == r["dim__genetics"]
+
+
+def _wide(spark):
+    rows = [("g", i, 0.1 * i, None if i % 2 else 1.0, 0.5, 0.2, None, -1 if i in (8, 9) else None) for i in range(10)]
+    return spark.createDataFrame(rows, "group_id STRING, item_id INT, dim__genetics DOUBLE, "
+                                 "dim__evidence_diversity DOUBLE, dim__functional DOUBLE, dim__literature DOUBLE, "
+                                 "dim__druggability DOUBLE, prio__has_safety_event INT")
+
+
+def test_safety_first_filters_after_the_rank(spark):
+    got = sc.rank_scenarios(_wide(spark), sc.SCENARIOS, n=3, digits=9).collect()
+    first = {(r["profile"]): [] for r in got}
+    for r in sorted(got, key=lambda r: r["rank"]):
+        first[r["profile"]].append((r["rank"], r["item_id"]))
+    assert set(first) == set(sc.SCENARIOS)
+    assert first["research"] == [(1, 8), (2, 6), (3, 4)]
+    safe = sc.rank_scenarios(_wide(spark), {"safety_first": sc.SCENARIOS["safety_first"]}).collect()
+    assert len(safe) == 8 and min(r["rank"] for r in safe) == 2
+
+
+def test_custom_scenarios_are_rescaled_or_refused():
+    own = sc.custom_scenario({"genetics": 3, "literature": 1, "functional": 0})
+    assert own.weights == {"genetics": 0.75, "literature": 0.25}
+    for bad in ({"genetics": -1.0}, {"genetics": 0.0}, {}, {"genetics": float("nan")}):
+        with pytest.raises(ValueError):
+            sc.custom_scenario(bad)
+
+
+def test_weighted_explanations_carry_links_and_limits(spark):
+    from evirank.operators.attributions import explain_weighted
+    from evirank.plans.products import pair_explanations
+
+    out = pair_explanations(explain_weighted(_wide(spark), n=2), ("a", "b")).where("item_id = 9").first()
+    assert [f["feature"] for f in out["top_positive_factors"]] == ["dim__genetics", "dim__functional"]
+    assert [f["place"] for f in out["top_positive_factors"]] == [1, 2] and out["top_negative_factors"] == []
+    assert out["evidence_missing"] == ["druggability", "evidence_diversity"]
+    assert out["evidence_present"] == ["functional", "genetics", "literature"]
+    assert len(out["source_links"]) == 3 and out["limitations"] == ["a", "b"]
+
+
+def test_profile_comparison_reports_scopes_and_skipped_ablations(spark, by):
+    from evirank.plans.comparison import compare_profiles
+
+    feats = _wide(spark)
+    feats = feats.unionByName(feats.withColumn("group_id", F.lit("h")))
+    labels = feats.select("group_id", "item_id", (
+        (F.col("item_id") == 9) | ((F.col("group_id") == "h") & (F.col("item_id") == 0))).cast("int").alias("label"))
+    got = by(compare_profiles(feats, labels, {"base": sc.DEFAULT_WEIGHTS}, "base", {
+        "no_genetics": {"drop_groups": ["genetics"]}, "all": {"drop_groups": list(sc.DEFAULT_WEIGHTS)},
+        "other": {"drop_groups": ["absent"]}}), "profile", "scope")
+    assert set(got) == {("base", "primary"), ("base", "novel_only"), ("no_genetics", "primary"),
+                        ("no_genetics", "novel_only"), ("all", None), ("other", None)}
+    assert got["other", None]["skipped"] == "drops no scored dimension" and got["all", None]["ndcg_at_10"] is None
+    # item 9 is positive in both groups, so group g has no novel positive
+    assert got["base", "novel_only"]["ndcg_at_10_excluded"] == 1
+    assert got["base", "primary"]["ndcg_at_10_excluded"] == 0 and got["base", "primary"]["precision_at_10"] == 0.15

@@ -129,3 +129,13 @@ def test_integrity(spark, tmp_path):
     upstream = files.select("path", F.lit("0").alias("sha1"))
     up = integrity.verify(files, loaded, upstream)
     assert {r["detail"] for r in up.collect()} == {"upstream sha1 mismatch"}
+
+
+def test_duplicate_rows_are_counted_as_they_go(spark):
+    from pyspark.sql import Observation
+
+    counted = Observation("duplicates")
+    df = spark.createDataFrame([("A.1", 1.0), ("A.1_PAR_Y", 1.0), ("B", 2.0)], "Name STRING, v DOUBLE")
+    clean = readers.clean_matrix(df, "Name", counted=counted)
+    assert sorted(r["Name"] for r in clean.collect()) == ["A", "B"]
+    assert counted.get == {"n_rows": 3, "n_duplicates": 1}
