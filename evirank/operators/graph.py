@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evirank.columns import MISSING_PREFIX, NETWORK_PREFIX, dim
+from evirank.operators import brandes
 from evirank.operators.ranking import average_rank_share, top_n
 from evirank.session import cut_lineage
 
@@ -219,56 +220,32 @@ def sampled_sources(nodes: DataFrame, k: int, seed: int = 0) -> DataFrame:
 def betweenness(graph: Graph, k: int = BETWEENNESS_SOURCES, seed: int = 0) -> DataFrame:
     """Sampled, unweighted, normalised betweenness of every node.
 
-    Brandes' method as frontier tables over ``(source, node)``: path counts go
-    forward level by level, dependencies come back by level. Scaled by
+    Brandes' method as tables of vectors over blocks of sources (:mod:`brandes`): path counts
+    go forward level by level, dependencies come back by level. Scaled by
     ``n/k / ((n-1)(n-2))``, so ``k >= n`` is exact.
     """
     n = graph.nodes.count()
     sources = cut_lineage(sampled_sources(graph.nodes, k, seed))
     used = min(k, n)
-    edges = graph.edges.select("src", "dst", "salt")
-    level0 = cut_lineage(sources.select(
-        F.col("node").alias("source"), "node", F.lit(1.0).alias("sigma"),
-    ))
-    levels = [level0]
+    coded = brandes.code_graph(graph.nodes, graph.edges, EDGES_PER_TASK)
+    levels = [brandes.first_level(coded, sources)]
     while True:
-        # a neighbour of a level lies in it, in the one before, or in the next
-        seen = reduce(DataFrame.unionByName, [x.select("source", "node") for x in levels[-2:]])
-        ahead = (
-            graph.spread(levels[-1]).withColumnRenamed("node", "src")
-            .join(edges, ["src", "salt"])
-            .groupBy("source", F.col("dst").alias("node")).agg(F.sum("sigma").alias("sigma"))
-        )
-        nxt = cut_lineage(ahead.join(seen, ["source", "node"], "left_anti"))
+        nxt = cut_lineage(brandes.next_level(coded, levels[-1], levels[-2] if len(levels) > 1 else None))
         if nxt.isEmpty():
             break
         levels.append(nxt)
 
     # delta(v) = sum over successors w of sigma(v)/sigma(w) * (1 + delta(w))
-    deeper = levels[-1].withColumn("delta", F.lit(0.0))
+    deeper = brandes.deepest(levels[-1])
     parts = []
     for level in reversed(levels[1:-1]):
-        parts.append(deeper)
-        gain = (
-            graph.spread(deeper.withColumn("_unit", (1.0 + F.col("delta")) / F.col("sigma")))
-            .withColumnRenamed("node", "src").join(edges, ["src", "salt"])
-            .groupBy("source", F.col("dst").alias("node")).agg(F.sum("_unit").alias("_gain"))
-        )
-        deeper = cut_lineage(
-            level.join(gain, ["source", "node"], "left").select(
-                "source", "node", "sigma",
-                (F.col("sigma") * F.coalesce(F.col("_gain"), F.lit(0.0))).alias("delta"),
-            )
-        )
-    if len(levels) > 1:
-        parts.append(deeper)
+        deeper = cut_lineage(brandes.returned(coded, level, deeper))
+        parts.append(deeper.select("node", "delta"))
     scale = (n / used) / ((n - 1) * (n - 2)) if n > 2 else (n / used if used else 0.0)
     if not parts:
         return graph.nodes.select("node", F.lit(0.0).alias("betweenness"))
-    total = parts[0]
-    for p in parts[1:]:
-        total = total.unionByName(p)
-    summed = total.groupBy("node").agg(F.sum("delta").alias("_d"))
+    total = reduce(DataFrame.unionByName, parts).groupBy(F.col("node").alias("id")).agg(F.sum("delta").alias("_d"))
+    summed = total.join(coded.ids, "id").drop("id")
     return graph.nodes.select("node").join(summed, "node", "left").select(
         "node", (F.coalesce(F.col("_d"), F.lit(0.0)) * F.lit(scale)).alias("betweenness")
     )

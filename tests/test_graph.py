@@ -133,3 +133,25 @@ def test_top_partners_stay_inside_the_universe(spark, edges):
     rows = gr.top_partners(edges, universe, "node", 25, 1).collect()
     assert {(r["node"], r["partner_id"], r["score"]) for r in rows} == {
         ("k1", "k2", 30), ("k2", "k3", 70), ("k3", "k2", 70)}
+
+
+def test_betweenness_steps_hold_one_row_per_node_and_block_of_sources(spark, by):
+    from evirank.operators import brandes
+
+    # a wheel with spokes: the hub has 75 edges, the sources fill two blocks
+    pairs = [("hub", f"r{i:02d}") for i in range(75)] + [(f"r{i:02d}", f"r{(i + 1) % 75:02d}") for i in range(0, 75, 2)]
+    df = spark.createDataFrame([(min(p), max(p), 500) for p in pairs], "a STRING, b STRING, score INT").distinct()
+    graph = gr.prepare_graph(df)
+    nodes = sorted({x for p in pairs for x in p})
+    coded = brandes.code_graph(graph.nodes, graph.edges, 10)
+    first = brandes.first_level(coded, graph.nodes.select("node"))
+    second = brandes.next_level(coded, first, None)
+    # as rows per source the second level has one for every edge and direction
+    ends = 2 * df.count()
+    keys = [tuple(r) for r in second.select("node", "block").collect()]
+    assert len(keys) == len(set(keys)) <= 2 * len(nodes) < ends + len(nodes)
+    # no partition holds the hub's edges alone, and every edge lies in one
+    assert coded.edges.count() == df.count() and coded.edges.select("part").distinct().count() > 3
+    rows = by(gr.betweenness(graph, k=len(nodes)), "node")
+    want = brute_betweenness({(min(p), max(p)) for p in pairs}, nodes)
+    assert {k: pytest.approx(v) for k, v in want.items()} == {k: r["betweenness"] for k, r in rows.items()}
