@@ -139,3 +139,19 @@ def test_duplicate_rows_are_counted_as_they_go(spark):
     clean = readers.clean_matrix(df, "Name", counted=counted)
     assert sorted(r["Name"] for r in clean.collect()) == ["A", "B"]
     assert counted.get == {"n_rows": 3, "n_duplicates": 1}
+
+
+def test_integrity_faults_of_tables_in_folders(spark, tmp_path):
+    from evirank.catalog import load, source_queries
+
+    load()
+    names = ["nation", "part", "region", "documents", "orders"]
+    for name in names:
+        (tmp_path / f"{name}.parquet").mkdir()
+        for k in range(2):
+            (tmp_path / f"{name}.parquet" / f"part-000{k}.parquet").write_bytes(f"{name} {k}".encode())
+    (tmp_path / "events.parquet").write_bytes(b"events")
+    got = [tuple(r) for r in source_queries.integrity_faults(spark, str(tmp_path)).collect()]
+    assert sorted(got) == [
+        ("documents", "ok"), ("events", "ok"), ("gone", "file missing"), ("nation", "size mismatch"),
+        ("orders", "ok"), ("part", "sha256 mismatch"), ("region", "no manifest")]
