@@ -43,7 +43,8 @@ JOIN display_done d USING (group_id, item_id) JOIN popular USING (group_id, item
 """)
 def ranked_product(spark: SparkSession, sf: str) -> DataFrame:
     feats = cut_lineage(full_features(spark, sf))
-    shown = lb.popularity(feats.select("group_id", "item_id"), t.labels(spark, sf))
+    pairs = feats.select("group_id", "item_id")
+    shown = lb.popularity(pairs, cut_lineage(t.labels_of_pairs(spark, sf, pairs)))
     out = pr.rank_groups(feats, shown, n=30)
     return out.select(
         "group_id", "item_id", "symbol", "item_name", F.round("score", 9).alias("score"), "rank",
@@ -346,7 +347,8 @@ LEFT JOIN label_table USING (group_id, item_id) LEFT JOIN drugs USING (group_id,
 """)
 def display_bundle_held_out(spark: SparkSession, sf: str) -> DataFrame:
     """The bundle with score and rank by the model that did not see the group (weights see none)."""
-    feats, labels = t.score_features(spark, sf), t.labels(spark, sf)
+    feats = cut_lineage(t.score_features(spark, sf))
+    labels = t.labels_of_pairs(spark, sf, feats)
     held = tr.leave_one_group_out(feats, labels, {"weighted_baseline": {}}, rules=t.RULES)
     held = held.select("group_id", "item_id", F.round("score", 9).alias("held_out_score"))
     ranked = scoring.rank_scored(held, score="held_out_score").withColumnRenamed("rank", "held_out_rank")
@@ -459,8 +461,8 @@ WHERE EXISTS (SELECT 1 FROM ev)
 """)
 def acceptance_suite(spark: SparkSession, sf: str) -> DataFrame:
     feats = cut_lineage(full_features(spark, sf))
-    shown = t.labels(spark, sf)
-    return quality.acceptance_suite(feats, pr.rank_groups(feats, n=None), shown)
+    shown = t.labels_of_pairs(spark, sf, feats)
+    return quality.acceptance_suite(feats, cut_lineage(pr.rank_groups(feats, n=None)), shown)
 
 
 @query("source_suite", """

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from evirank.columns import MISSING_PREFIX, NETWORK_PREFIX, dim
 from evirank.operators import brandes
 from evirank.operators.ranking import average_rank_share, top_n
-from evirank.session import cut_lineage
+from evirank.session import cut_lineage, spread
 
 # Score bands and walk parameters.
 MIN_SCORE = 400
@@ -60,19 +60,20 @@ class Graph:
 
 
 def collapse_edges(
-    edges: DataFrame, a: str = "a", b: str = "b", score: str = "score"
+    edges: DataFrame, a: str = "a", b: str = "b", score: str = "score", rows: int | None = None
 ) -> DataFrame:
-    """One row per unordered pair with the max score; self-loops dropped."""
-    return (
-        edges.where(F.col(a) != F.col(b))
-        .groupBy(F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
-        .agg(F.max(score).alias("score"))
-    )
+    """One row per unordered pair with the max score; self-loops dropped. ``rows``, if known, sizes the tasks."""
+    pairs = edges.where(F.col(a) != F.col(b)).select(
+        F.least(a, b).alias("a"), F.greatest(a, b).alias("b"), F.col(score).alias("score"))
+    if rows is not None:
+        pairs = spread(pairs, rows, "a", "b")
+    return pairs.groupBy("a", "b").agg(F.max("score").alias("score"))
 
 
 def translate_edges(
     raw: DataFrame, lookup: DataFrame, min_score: float = MIN_SCORE, left: str = "raw_a",
     right: str = "raw_b", score: str = "score", raw_id: str = "raw_id", node: str = "node",
+    rows: int | None = None,
 ) -> DataFrame:
     """Threshold, translate both endpoints (inner), drop self-loops, collapse.
 
@@ -84,7 +85,7 @@ def translate_edges(
     pairs = lookup.select(F.col(raw_id).alias(left), F.col(node).alias("a")).distinct()
     pairs_b = lookup.select(F.col(raw_id).alias(right), F.col(node).alias("b")).distinct()
     both = kept.join(pairs, left).join(pairs_b, right)
-    return collapse_edges(both, "a", "b", score)
+    return collapse_edges(both, "a", "b", score, rows)
 
 
 def symmetric(edges: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from evirank.columns import EXPRESSION_PREFIX, ITEM, dim, missing
@@ -29,12 +30,18 @@ def matrix_profile(
 ) -> DataFrame:
     """Max, median, number detected and mean per item; with ``n_columns`` also Tau.
 
-    The median's buffer is one matrix row, so its size is the number of columns.
+    The median is the mean of the middle places of a matrix row, found by a window over its columns.
     """
     tau = [] if n_columns is None else [_tau(value, n_columns).alias(SPECIFICITY)]
-    return _one_row_per_column(long, item, variable, value).groupBy(item).agg(
+    row = W.partitionBy(item)
+    placed = _one_row_per_column(long, item, variable, value).select(
+        item, value, F.count(value).over(row).alias("_n"),
+        F.row_number().over(row.orderBy(F.col(value).asc_nulls_last())).alias("_at"),
+    )
+    middle = F.col("_at").between(F.floor((F.col("_n") + 1) / 2), F.floor(F.col("_n") / 2) + 1)
+    return placed.groupBy(item).agg(
         F.max(value).alias(MAX),
-        F.median(value).alias(MEDIAN),
+        F.avg(F.when(middle, F.col(value))).alias(MEDIAN),
         F.count_if(F.col(value) > detection).alias(DETECTED),
         F.avg(value).alias(EXPRESSION_PREFIX + "mean_tpm"),
         *tau,

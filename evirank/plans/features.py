@@ -35,6 +35,7 @@ class FeatureConfig:
     rules: tuple[DenyRule, ...] = DEFAULT_RULES
     saturation: int = DIVERSITY_SATURATION
     matrix_columns: int = 2
+    unique_sources: bool = False  # the evidence has one row per key and source
     dataset_version: str | None = None
     stamp_date: bool = False
 
@@ -62,9 +63,8 @@ def evidence_features(evidence: DataFrame, config: FeatureConfig, keys: list[str
         here = F.col(SOURCE) == F.lit(s)
         wide.append(F.max(F.when(here, F.col(SCORE))).alias(source_score(s)))
         wide.append(F.sum(F.when(here, F.col(COUNT))).alias(source_count(s)))
-    out = evidence.groupBy(*keys).agg(
-        *best, F.countDistinct(SOURCE).alias("n_evidence_types"), *wide
-    )
+    n_types = F.count(SOURCE) if config.unique_sources else F.countDistinct(SOURCE)
+    out = evidence.groupBy(*keys).agg(*best, n_types.alias("n_evidence_types"), *wide)
     return out.withColumns({
         dim("evidence_diversity"): saturate(F.col("n_evidence_types"), config.saturation),
         **{missing(d): F.col(dim(d)).isNull().cast("byte") for d in config.dimensions},

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import tempfile
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
@@ -11,6 +12,9 @@ from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 
 
+ROWS_PER_TASK = 500_000
+
+
 def local_session(cores: int = 8, app_name: str = "evirank") -> SparkSession:
     """Session for tests and the local benchmark; a cluster brings its own."""
     return (
@@ -49,6 +53,17 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def spread(df: DataFrame, rows: int, *keys: str) -> DataFrame:
+    """The rows dealt by ``keys`` to as many tasks as ``rows`` need, so that a task's memory does not grow with them.
+
+    Small tables keep the session's number of partitions, which adaptive execution merges.
+    """
+    n = math.ceil(rows / ROWS_PER_TASK)
+    if n <= df.sparkSession.sparkContext.defaultParallelism:
+        return df.repartition(*keys)
+    return df.repartition(n, *keys)
+
+
 def together(*calls: Callable[[], Any]) -> list:
     """The results of calls that run Spark jobs, side by side: jobs of a few long tasks leave cores to others."""
     with ThreadPoolExecutor(len(calls)) as pool:
