@@ -8,6 +8,7 @@ task. Iterations are cut by reliable checkpoints.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 from functools import reduce
 from multiprocessing.pool import ThreadPool
@@ -18,8 +19,8 @@ from pyspark.sql import functions as F
 
 from evirank.columns import MISSING_PREFIX, NETWORK_PREFIX, dim
 from evirank.operators import brandes
-from evirank.operators.ranking import average_rank_share, top_n
-from evirank.session import cut_lineage, spread
+from evirank.operators.ranking import average_rank_share, running_totals, top_n
+from evirank.session import ROWS_PER_TASK, cut_lineage, spread
 
 # Score bands and walk parameters.
 MIN_SCORE = 400
@@ -105,15 +106,16 @@ def node_features(edges: DataFrame) -> DataFrame:
 
 
 def prepare_graph(edges: DataFrame, edges_per_task: int = EDGES_PER_TASK) -> Graph:
-    both = symmetric(edges)
+    both = symmetric(cut_lineage(edges))
     nodes = cut_lineage(
         both.groupBy(F.col("src").alias("node")).agg(
             F.count(F.lit(1)).alias("degree"), F.sum("score").cast("double").alias("strength")
         ).withColumn("fanout", F.ceil(F.col("degree") / F.lit(edges_per_task)).cast("int"))
     )
-    has_hubs = not nodes.where(F.col("fanout") > 1).isEmpty()
+    ends, fanout = nodes.agg(F.sum("degree"), F.max("fanout")).first()
+    has_hubs = (fanout or 0) > 1
     if not has_hubs:
-        return Graph(_placed(both.withColumn("salt", F.lit(0))), nodes, False)
+        return Graph(_placed(both.withColumn("salt", F.lit(0)), ends or 0), nodes, False)
     hubs = nodes.where(F.col("fanout") > 1).select(F.col("node").alias("src"), "fanout")
     salted = both.join(hubs, "src", "left").withColumn(
         "salt",
@@ -121,16 +123,16 @@ def prepare_graph(edges: DataFrame, edges_per_task: int = EDGES_PER_TASK) -> Gra
             F.pmod(F.xxhash64("dst"), F.col("fanout")).cast("int")
         ),
     ).drop("fanout")
-    return Graph(_placed(salted), nodes, True)
+    return Graph(_placed(salted, ends), nodes, True)
 
 
-def _placed(edges: DataFrame) -> DataFrame:
+def _placed(edges: DataFrame, rows: int) -> DataFrame:
     """Edges hash-partitioned by the step key once, so that no iteration shuffles them again.
 
     The cached partitions are rebuilt from the checkpoint when an executor is lost.
     """
-    n = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    placed = cut_lineage(edges).repartition(n, "src", "salt").persist(StorageLevel.MEMORY_AND_DISK)
+    n = max(int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(rows / ROWS_PER_TASK))
+    placed = edges.repartition(n, "src", "salt").persist(StorageLevel.MEMORY_AND_DISK)
     # only a filled cache tells the planner how it is partitioned
     placed.count()
     return placed
@@ -185,31 +187,48 @@ def seed_distances(
     """Hops to the nearest seed of each group; unreachable nodes have no row.
 
     ``seeds`` holds ``groups + node``; all groups are walked together, one
-    distributed frontier step per hop.
+    distributed frontier step per hop. A frontier row is a node and the groups of
+    one block of 64 that reach it, as bits, so that a step moves no row per group.
     """
     groups = groups or []
-    keys = [*groups, "node"]
-    known = seeds.select(*keys).distinct().join(graph.nodes.select("node"), "node", "left_semi")
-    frontier = cut_lineage(known.select(*keys, F.lit(0).cast("long").alias("distance")))
-    reached = last = frontier
-    hop = 0
-    while max_hops is None or hop < max_hops:
-        hop += 1
+    known = cut_lineage(
+        seeds.select(*groups, "node").distinct().join(graph.nodes.select("node"), "node", "left_semi"))
+    numbers = _numbered(known, groups)
+    of_group = [known[g].eqNullSafe(numbers[g]) for g in groups]
+    placed = known.join(numbers, reduce(lambda a, b: a & b, of_group, F.lit(True)))
+    frontier = cut_lineage(placed.groupBy("node", "block").agg(
+        F.bit_or(F.expr("shiftleft(1L, bit)")).alias("bits")))
+    levels, none = [frontier], F.lit(0).cast("long")
+    while max_hops is None or len(levels) <= max_hops:
         if frontier.isEmpty():
             break
-        ahead = (
-            graph.spread(frontier.select(*keys)).withColumnRenamed("node", "src")
-            .join(graph.edges.select("src", "dst", "salt"), ["src", "salt"])
-            .select(*groups, F.col("dst").alias("node")).distinct()
-        )
+        ahead = graph.spread(frontier).withColumnRenamed("node", "src").join(
+            graph.edges.select("src", "dst", "salt"), ["src", "salt"]
+        ).select(F.col("dst").alias("node"), "block", F.col("bits").alias("_new"), none.alias("_old"))
         # a neighbour of a level lies in it, in the one before, or in the next
-        near = frontier if hop == 1 else frontier.unionByName(last)
-        last, frontier = frontier, cut_lineage(
-            ahead.join(near.select(*keys), keys, "left_anti")
-            .withColumn("distance", F.lit(hop).cast("long"))
-        )
-        reached = reached.unionByName(frontier)
-    return reached
+        for level in levels[-2:]:
+            ahead = ahead.unionByName(level.select("node", "block", none.alias("_new"), F.col("bits").alias("_old")))
+        met = ahead.groupBy("node", "block").agg(F.bit_or("_new").alias("_new"), F.bit_or("_old").alias("_old"))
+        frontier = cut_lineage(met.select(
+            "node", "block", F.col("_new").bitwiseAND(F.bitwise_not("_old")).alias("bits")
+        ).where(F.col("bits") != 0))
+        levels.append(frontier)
+    found = reduce(DataFrame.unionByName, [
+        level.withColumn("distance", F.lit(hop).cast("long")) for hop, level in enumerate(levels)])
+    held = F.filter(F.sequence(F.lit(0), F.lit(63)), lambda i: F.getbit("bits", i) == 1)
+    return found.select("node", "block", "distance", F.explode(held).alias("bit")).join(
+        numbers, ["block", "bit"]).select(*groups, "node", "distance")
+
+
+def _numbered(known: DataFrame, groups: list[str]) -> DataFrame:
+    """``groups, block, bit``: the groups numbered in blocks of 64, small enough a table to be joined back."""
+    if not groups:
+        one = known.sparkSession.range(1)
+        return one.select(F.lit(0).cast("long").alias("block"), F.lit(0).alias("bit"))
+    order = [F.col(g).asc_nulls_first() for g in groups]
+    place = F.col("_k") - 1
+    return cut_lineage(running_totals(known.select(*groups).distinct(), [], order, rank="_k").select(
+        *groups, F.floor(place / 64).alias("block"), F.pmod(place, F.lit(64)).cast("int").alias("bit")))
 
 
 def sampled_sources(nodes: DataFrame, k: int, seed: int = 0) -> DataFrame:

@@ -69,6 +69,25 @@ def test_distances(spark, edges, by, per_task):
     assert gr.seed_distances(graph, none).count() == 0
 
 
+def test_distances_of_more_groups_than_a_block_holds(spark, edges):
+    """130 groups and one without a name: every group as if walked alone, no node twice."""
+    graph = gr.prepare_graph(edges, 2)
+    seeds = [(f"g{k:03d}", NODES[k % 6]) for k in range(130)] + [(None, "k4"), ("g000", "k4")]
+    rows = gr.seed_distances(
+        graph, spark.createDataFrame(seeds, "g STRING, node STRING"), ["g"], max_hops=5).collect()
+    got = {(r["g"], r["node"]): r["distance"] for r in rows}
+    near = {n: {x for e in EDGES for x in e[:2] if n in e[:2]} - {n} for n in NODES}
+    want = {}
+    for g in {g for g, _ in seeds}:
+        level, hop, seen = {n for s, n in seeds if s == g}, 0, set()
+        while level:
+            want |= {(g, n): hop for n in level}
+            seen |= level
+            level, hop = {x for n in level for x in near[n]} - seen, hop + 1
+    assert got == want
+    assert len(rows) == len(want)
+
+
 @pytest.mark.parametrize("per_task", [500_000, 2])
 def test_betweenness_equals_enumeration(spark, by, per_task):
     pairs = [(a, b) for a, b in itertools.combinations("abcdefgh", 2) if (ord(a) * ord(b)) % 3 == 0]
