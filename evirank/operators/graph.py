@@ -80,9 +80,8 @@ def translate_edges(
 
     The lookup may map one raw id to several nodes; each mapping counts.
     """
-    kept = raw.where(F.col(score) >= min_score).groupBy(left, right).agg(
-        F.max(score).alias(score)
-    )
+    # repeated raw pairs meet in the collapse, and only there
+    kept = raw.where(F.col(score) >= min_score).select(left, right, score)
     pairs = lookup.select(F.col(raw_id).alias(left), F.col(node).alias("a")).distinct()
     pairs_b = lookup.select(F.col(raw_id).alias(right), F.col(node).alias("b")).distinct()
     both = kept.join(pairs, left).join(pairs_b, right)

@@ -19,24 +19,26 @@ SPECIFICITY = EXPRESSION_PREFIX + "tissue_specificity"
 RELEVANT = EXPRESSION_PREFIX + "relevant_tissue_tpm"
 
 
-def _one_row_per_column(long: DataFrame, item: str, variable: str, value: str) -> DataFrame:
-    """Max per cell: makes the cell unique and pre-aggregates before the item shuffle."""
+def _one_row_per_column(long: DataFrame, item: str, variable: str, value: str, unique: bool = False) -> DataFrame:
+    """Max per cell: makes the cell unique and pre-aggregates before the item shuffle, unless it is ``unique`` already."""
+    if unique:
+        return long.select(item, variable, value)
     return long.groupBy(item, variable).agg(F.max(value).alias(value))
 
 
 def matrix_profile(
     long: DataFrame, item: str = ITEM, variable: str = "tissue", value: str = "tpm",
-    detection: float = DETECTION_LEVEL, n_columns: int | None = None,
+    detection: float = DETECTION_LEVEL, n_columns: int | None = None, unique_cells: bool = False,
 ) -> DataFrame:
     """Max, median, number detected and mean per item; with ``n_columns`` also Tau.
 
-    The median is the mean of the middle places of a matrix row, found by a window over its columns.
+    The median is the mean of the middle places of a matrix row, found by one window over its columns.
     """
     tau = [] if n_columns is None else [_tau(value, n_columns).alias(SPECIFICITY)]
-    row = W.partitionBy(item)
-    placed = _one_row_per_column(long, item, variable, value).select(
-        item, value, F.count(value).over(row).alias("_n"),
-        F.row_number().over(row.orderBy(F.col(value).asc_nulls_last())).alias("_at"),
+    row = W.partitionBy(item).orderBy(F.col(value).asc_nulls_last())
+    whole = row.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    placed = _one_row_per_column(long, item, variable, value, unique_cells).select(
+        item, value, F.count(value).over(whole).alias("_n"), F.row_number().over(row).alias("_at"),
     )
     middle = F.col("_at").between(F.floor((F.col("_n") + 1) / 2), F.floor(F.col("_n") / 2) + 1)
     return placed.groupBy(item).agg(
@@ -106,7 +108,7 @@ def match_columns(
 
 def population_percentile(
     long: DataFrame, matched: DataFrame, keys: list[str], item: str = ITEM,
-    variable: str = "tissue", value: str = "tpm",
+    variable: str = "tissue", value: str = "tpm", unique_cells: bool = False,
 ) -> DataFrame:
     """Mean over each key's matched columns, ranked against the whole population.
 
@@ -114,7 +116,7 @@ def population_percentile(
     matrix, never a candidate list, so the result does not depend on who is asked for.
     """
     cols = matched.where(F.col(variable).isNotNull()).select(*keys, variable).distinct()
-    cells = _one_row_per_column(long, item, variable, value)
+    cells = _one_row_per_column(long, item, variable, value, unique_cells)
     # rounded, so that ties do not depend on the order of summation
     relevant = cells.join(cols, variable).groupBy(*keys, item).agg(
         F.round(F.avg(value), 10).alias(RELEVANT)
@@ -126,10 +128,11 @@ def population_percentile(
 def add_expression_features(
     df: DataFrame, long: DataFrame, matched: DataFrame, n_columns: int,
     keys: list[str], item: str = ITEM, variable: str = "tissue", value: str = "tpm",
+    unique_cells: bool = False,
 ) -> DataFrame:
     """Append profile, specificity, percentile and missing flag by ``keys + item``."""
-    profile = matrix_profile(long, item, variable, value, n_columns=n_columns)
-    pct = population_percentile(long, matched, keys, item, variable, value)
+    profile = matrix_profile(long, item, variable, value, n_columns=n_columns, unique_cells=unique_cells)
+    pct = population_percentile(long, matched, keys, item, variable, value, unique_cells)
     return (
         df.join(profile, item, "left").join(pct, [*keys, item], "left")
         .withColumn(missing("expression"), F.col(MAX).isNull().cast("byte"))

@@ -36,6 +36,7 @@ class FeatureConfig:
     saturation: int = DIVERSITY_SATURATION
     matrix_columns: int = 2
     unique_sources: bool = False  # the evidence has one row per key and source
+    unique_cells: bool = False  # the matrix has one row per item and column
     dataset_version: str | None = None
     stamp_date: bool = False
 
@@ -101,7 +102,8 @@ def build_feature_table(
             missing("network"), F.coalesce(missing("network"), F.lit(1)).cast("byte")
         )
     if matrix is not None and matched is not None:
-        out = add_expression_features(out, matrix, matched, config.matrix_columns, [GROUP])
+        out = add_expression_features(out, matrix, matched, config.matrix_columns, [GROUP],
+                                      unique_cells=config.unique_cells)
     if rooted is not None and matrix is not None:
         out = cooccurrence_flags(out)
     if config.dataset_version:

@@ -59,3 +59,21 @@ def test_collapse_edges_sized_by_rows(spark):
     want = [("x", "y", 5), ("x", "z", 2)]
     assert sorted(tuple(r) for r in gr.collapse_edges(df).collect()) == want
     assert sorted(tuple(r) for r in gr.collapse_edges(df, rows=10**9).collect()) == want
+
+
+def test_profile_sorts_its_cells_once(spark):
+    """One window for both the place and the number of the cells; cells known to be unique are not grouped again."""
+    cells = t.matrix(spark, SF)
+    plans = [matrix_profile(cells, unique_cells=u) for u in (False, True)]
+    shown = [p._jdf.queryExecution().executedPlan().toString() for p in plans]
+    assert [s.count("Window [") for s in shown] == [1, 1]
+    assert shown[1].count("HashAggregate") < shown[0].count("HashAggregate")
+    one, other = ({r["item_id"]: tuple(r) for r in p.collect()} for p in plans)
+    assert one.keys() == other.keys()
+    assert all(one[k] == pytest.approx(other[k]) for k in one)
+
+
+def test_memberships_are_dealt_as_numbers(spark):
+    """Names of pathways are made behind the exchange, not sent through it."""
+    plan = t.memberships(spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "concat(" not in plan[plan.index("Exchange"):]
