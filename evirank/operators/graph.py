@@ -1,16 +1,17 @@
 """Undirected weighted graphs as edge tables.
 
-``prepare_graph`` stores every edge both ways with a salt, and every node with
-its fanout. A hub's edges then sit under several ``(src, salt)`` keys and the
-hub's state is repeated per salt, so no step puts all edges of one hub into one
-task. Iterations are cut by reliable checkpoints.
+``prepare_graph`` stores every edge once, and every node with its fanout. Distances
+walk the edges both ways with a salt: a hub's edges sit under several ``(src, salt)``
+keys and the hub's state is repeated per salt, so no step puts all edges of one hub
+into one task. PageRank and betweenness walk edges packed per partition
+(:mod:`brandes`). Iterations are cut by stored tables.
 """
 
 from __future__ import annotations
 
 import math
 from dataclasses import dataclass
-from functools import reduce
+from functools import cached_property, reduce
 from multiprocessing.pool import ThreadPool
 
 from pyspark import StorageLevel, inheritable_thread_target
@@ -20,7 +21,7 @@ from pyspark.sql import functions as F
 from evirank.columns import MISSING_PREFIX, NETWORK_PREFIX, dim
 from evirank.operators import brandes
 from evirank.operators.ranking import average_rank_share, running_totals, top_n
-from evirank.session import ROWS_PER_TASK, cut_lineage, spread
+from evirank.session import ROWS_PER_TASK, cut_lineage, drop_stored, spread, stored
 
 # Score bands and walk parameters.
 MIN_SCORE = 400
@@ -33,22 +34,44 @@ MAX_ITERATIONS = 100
 BETWEENNESS_SOURCES = 500
 
 EDGES_PER_TASK = 500_000
+PACKED_PER_TASK = 1_500_000  # packed, an edge is 24 bytes in a task; fewer tasks hold a hub fewer times
 
 
 @dataclass(frozen=True)
 class Graph:
-    """``edges(src, dst, score, salt)`` both ways, ``nodes(node, degree, strength, fanout)``.
+    """``pairs(a, b, score)`` once each, ``nodes(node, degree, strength, fanout)``.
 
-    ``has_hubs`` tells whether any node has a fanout above one.
+    ``has_hubs`` tells whether any node has a fanout above one, ``ends`` the sum of the degrees.
     """
 
-    edges: DataFrame
+    pairs: DataFrame
     nodes: DataFrame
     has_hubs: bool
+    ends: int
+
+    @cached_property
+    def edges(self) -> DataFrame:
+        """``(src, dst, score, salt)`` both ways, placed by the step key and kept from the first use on."""
+        both = symmetric(self.pairs)
+        if not self.has_hubs:
+            return _placed(both.withColumn("salt", F.lit(0)), self.ends)
+        hubs = self.nodes.where(F.col("fanout") > 1).select(F.col("node").alias("src"), "fanout")
+        return _placed(both.join(hubs, "src", "left").withColumn(
+            "salt",
+            F.when(F.col("fanout").isNull(), F.lit(0)).otherwise(
+                F.pmod(F.xxhash64("dst"), F.col("fanout")).cast("int")
+            ),
+        ).drop("fanout"), self.ends)
+
+    @cached_property
+    def coded(self) -> brandes.CodedGraph:
+        """The edges packed per partition, from the first use on."""
+        return brandes.code_graph(self.nodes, symmetric(self.pairs), PACKED_PER_TASK)
 
     def release(self) -> None:
         """Drop the cached edges; finished results do not need them."""
-        self.edges.unpersist()
+        if "edges" in self.__dict__:
+            self.edges.unpersist()
 
     def spread(self, state: DataFrame, node: str = "node") -> DataFrame:
         """Repeat each state row once per salt of its node."""
@@ -105,30 +128,20 @@ def node_features(edges: DataFrame) -> DataFrame:
 
 
 def prepare_graph(edges: DataFrame, edges_per_task: int = EDGES_PER_TASK) -> Graph:
-    both = symmetric(cut_lineage(edges))
-    nodes = cut_lineage(
-        both.groupBy(F.col("src").alias("node")).agg(
+    pairs = stored(edges.select("a", "b", "score"))
+    nodes = stored(
+        symmetric(pairs).groupBy(F.col("src").alias("node")).agg(
             F.count(F.lit(1)).alias("degree"), F.sum("score").cast("double").alias("strength")
         ).withColumn("fanout", F.ceil(F.col("degree") / F.lit(edges_per_task)).cast("int"))
     )
     ends, fanout = nodes.agg(F.sum("degree"), F.max("fanout")).first()
-    has_hubs = (fanout or 0) > 1
-    if not has_hubs:
-        return Graph(_placed(both.withColumn("salt", F.lit(0)), ends or 0), nodes, False)
-    hubs = nodes.where(F.col("fanout") > 1).select(F.col("node").alias("src"), "fanout")
-    salted = both.join(hubs, "src", "left").withColumn(
-        "salt",
-        F.when(F.col("fanout").isNull(), F.lit(0)).otherwise(
-            F.pmod(F.xxhash64("dst"), F.col("fanout")).cast("int")
-        ),
-    ).drop("fanout")
-    return Graph(_placed(salted, ends), nodes, True)
+    return Graph(pairs, nodes, (fanout or 0) > 1, ends or 0)
 
 
 def _placed(edges: DataFrame, rows: int) -> DataFrame:
     """Edges hash-partitioned by the step key once, so that no iteration shuffles them again.
 
-    The cached partitions are rebuilt from the checkpoint when an executor is lost.
+    The cached partitions are rebuilt from the stored pairs when an executor is lost.
     """
     n = max(int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(rows / ROWS_PER_TASK))
     placed = edges.repartition(n, "src", "salt").persist(StorageLevel.MEMORY_AND_DISK)
@@ -151,33 +164,28 @@ def pagerank(
     if n == 0:
         return graph.nodes.select("node", F.lit(0.0).alias("pagerank"))
     base = (1.0 - damping) / n
-    ranks = graph.nodes.select("node", "strength", "fanout", F.lit(1.0 / n).alias("pagerank"))
-    done = 0
+    ids = graph.coded.ids
+    state = stored(graph.nodes.join(ids, "node").select(F.col("id").alias("node"), "strength"))
+    ranks, kept, done = state.withColumn("pagerank", F.lit(1.0 / n)), [], 0
     while done < max_iterations:
         steps = min(STEPS_AT_ONCE, max_iterations - done)
         for _ in range(steps):
-            share = ranks.select(
-                F.col("node").alias("src"),
-                F.explode(F.sequence(F.lit(0), F.col("fanout") - 1)).alias("salt"),
-                (F.col("pagerank") / F.col("strength")).alias("_unit"),
-            )
-            inflow = (
-                graph.edges.join(share, ["src", "salt"])
-                .groupBy(F.col("dst").alias("node"))
-                .agg(F.sum(F.col("_unit") * F.col("score")).alias("_in"))
-            )
+            unit = ranks.select("node", (F.col("pagerank") / F.col("strength")).alias("x"))
+            inflow = brandes.weighted_sums(graph.coded, unit).withColumnRenamed("x", "_in")
             new = F.lit(base) + damping * F.coalesce(F.col("_in"), F.lit(0.0))
-            ranks = ranks.select("node", "strength", "fanout", "pagerank").join(inflow, "node", "left").select(
-                "node", "strength", "fanout", new.alias("pagerank"),
-                F.abs(new - F.col("pagerank")).alias("_change"),
+            ranks = ranks.select("node", "strength", "pagerank").join(inflow, "node", "left").select(
+                "node", "strength", new.alias("pagerank"), F.abs(new - F.col("pagerank")).alias("_change"),
             )
-        ranks, done = cut_lineage(ranks), done + steps
+        ranks, done = stored(ranks), done + steps
+        drop_stored(*kept)
+        kept = [ranks]
         if tolerance and ranks.agg(F.sum("_change")).first()[0] < n * tolerance:
             break
     else:
         if tolerance:
             raise RuntimeError(f"PageRank did not converge in {max_iterations} iterations")
-    return ranks.select("node", "pagerank")
+    drop_stored(state)
+    return ranks.withColumnRenamed("node", "id").join(ids, "id").select("node", "pagerank")
 
 
 def seed_distances(
@@ -246,11 +254,12 @@ def betweenness(graph: Graph, k: int = BETWEENNESS_SOURCES, seed: int = 0) -> Da
     n = graph.nodes.count()
     sources = cut_lineage(sampled_sources(graph.nodes, k, seed))
     used = min(k, n)
-    coded = brandes.code_graph(graph.nodes, graph.edges, EDGES_PER_TASK)
+    coded = graph.coded
     levels = [brandes.first_level(coded, sources)]
     while True:
-        nxt = cut_lineage(brandes.next_level(coded, levels[-1], levels[-2] if len(levels) > 1 else None))
+        nxt = stored(brandes.next_level(coded, levels[-1], levels[-2] if len(levels) > 1 else None))
         if nxt.isEmpty():
+            drop_stored(nxt)
             break
         levels.append(nxt)
 
@@ -258,13 +267,16 @@ def betweenness(graph: Graph, k: int = BETWEENNESS_SOURCES, seed: int = 0) -> Da
     deeper = brandes.deepest(levels[-1])
     parts = []
     for level in reversed(levels[1:-1]):
-        deeper = cut_lineage(brandes.returned(coded, level, deeper))
-        parts.append(deeper.select("node", "delta"))
+        deeper = stored(brandes.returned(coded, level, deeper))
+        drop_stored(levels.pop())
+        parts.append(deeper)
     scale = (n / used) / ((n - 1) * (n - 2)) if n > 2 else (n / used if used else 0.0)
     if not parts:
         return graph.nodes.select("node", F.lit(0.0).alias("betweenness"))
-    total = reduce(DataFrame.unionByName, parts).groupBy(F.col("node").alias("id")).agg(F.sum("delta").alias("_d"))
-    summed = total.join(coded.ids, "id").drop("id")
+    total = reduce(DataFrame.unionByName, [p.select("node", "delta") for p in parts]).groupBy(
+        F.col("node").alias("id")).agg(F.sum("delta").alias("_d"))
+    summed = stored(total.join(coded.ids, "id").drop("id"))
+    drop_stored(*levels, *parts)
     return graph.nodes.select("node").join(summed, "node", "left").select(
         "node", (F.coalesce(F.col("_d"), F.lit(0.0)) * F.lit(scale)).alias("betweenness")
     )
@@ -279,6 +291,7 @@ def centralities(
     With ``digits`` PageRank is rounded before it is ranked: nodes that differ only by the order
     of summation tie.
     """
+    graph.coded  # noqa: B018  packed once, before both walk it
     with ThreadPool(2) as pool:
         # many short jobs each: one fills the gaps of the other
         other = pool.apply_async(

@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import math
 import tempfile
-from collections.abc import Callable
+import uuid
+from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
+from contextlib import contextmanager
+from threading import Lock
 from typing import Any
 
 from pyspark import inheritable_thread_target
@@ -13,6 +16,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 ROWS_PER_TASK = 500_000
+_FREED = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_LOCK, _FREEING = Lock(), {"now": 0}
 
 
 def local_session(cores: int = 8, app_name: str = "evirank") -> SparkSession:
@@ -47,10 +52,46 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+@contextmanager
+def _shuffles_freed(spark: SparkSession) -> Iterator[None]:
+    """Queries begun here leave no shuffle files, unless the session has its own setting; threads may overlap."""
+    with _LOCK:
+        ours = _FREEING["now"] > 0 or spark.conf.get(_FREED, None) is None
+        if ours:
+            _FREEING["now"] += 1
+            spark.conf.set(_FREED, "true")
+    try:
+        yield
+    finally:
+        with _LOCK:
+            if ours:
+                _FREEING["now"] -= 1
+                if not _FREEING["now"]:
+                    spark.conf.unset(_FREED)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable eager checkpoint: survives lost executors and ends the plan here."""
+    """Reliable eager checkpoint: survives lost executors and ends the plan here; its shuffle files go."""
     ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    with _shuffles_freed(df.sparkSession):
+        return df.select("*").checkpoint(eager=True)
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """Like ``cut_lineage``, but compressed: Parquet in the folder all executors share. Rows keep no order."""
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/table-{uuid.uuid4().hex}"
+    with _shuffles_freed(spark):
+        df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def drop_stored(*tables: DataFrame) -> None:
+    """Delete tables that ``stored`` wrote and nothing reads any more."""
+    for df in tables:
+        spark = df.sparkSession
+        folder = spark._jvm.org.apache.hadoop.fs.Path(df.inputFiles()[0]).getParent()
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def spread(df: DataFrame, rows: int, *keys: str) -> DataFrame:

@@ -174,3 +174,47 @@ def test_betweenness_steps_hold_one_row_per_node_and_block_of_sources(spark, by)
     rows = by(gr.betweenness(graph, k=len(nodes)), "node")
     want = brute_betweenness({(min(p), max(p)) for p in pairs}, nodes)
     assert {k: pytest.approx(v) for k, v in want.items()} == {k: r["betweenness"] for k, r in rows.items()}
+
+
+def test_vectors_are_written_without_their_zeros():
+    import numpy as np
+
+    from evirank.operators import brandes
+
+    x = np.zeros((3, brandes.WIDTH))
+    x[0, 5], x[2, 0], x[2, 63] = 2.5, 1.0, 7.0
+    packed = brandes._binary(x)
+    assert [len(v.as_py()) for v in packed] == [16, 8, 24]
+    assert (brandes._dense(packed) == x).all() and (brandes._dense(packed.slice(1)) == x[1:]).all()
+
+
+def test_steps_leave_neither_shuffle_files_nor_old_tables(spark, edges):
+    import glob
+    import os
+    import time
+
+    from evirank import session
+
+    def files():
+        return set(glob.glob(f"{local}/blockmgr-*/*/shuffle_*.data"))
+
+    def left(cut):
+        before = files()
+        cut(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count())
+        time.sleep(1)  # files go in the background
+        return len(files() - before)
+
+    local = spark.sparkContext.getConf().get("spark.local.dir", os.environ.get("SPARK_LOCAL_DIRS", "/tmp"))
+    assert left(session.stored) == left(session.cut_lineage) == 0
+    assert spark.conf.get(session._FREED, None) is None
+    spark.conf.set(session._FREED, "false")
+    try:
+        assert left(session.stored) > 0  # the session's own setting holds
+    finally:
+        spark.conf.unset(session._FREED)
+    folder = session.ensure_checkpoint_dir(spark).removeprefix("file:")
+    tables = set(os.listdir(folder))
+    graph = gr.prepare_graph(edges)
+    gr.betweenness(graph, k=10)
+    # pairs, nodes, ids, packed edges, places and the summed betweenness; no levels
+    assert len([t for t in set(os.listdir(folder)) - tables if t.startswith("table-")]) == 6
