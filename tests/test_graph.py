@@ -218,3 +218,10 @@ def test_steps_leave_neither_shuffle_files_nor_old_tables(spark, edges):
     gr.betweenness(graph, k=10)
     # pairs, nodes, ids, packed edges, places and the summed betweenness; no levels
     assert len([t for t in set(os.listdir(folder)) - tables if t.startswith("table-")]) == 6
+
+
+def test_local_columns_come_from_the_prepared_graph(edges, by):
+    graph = gr.prepare_graph(edges)
+    assert by(graph.features(), "node") == by(gr.node_features(edges), "node")
+    graph.release()
+    assert graph.nodes.count() == len(NODES)
