@@ -100,20 +100,42 @@ def _far_apart(sample: np.ndarray, k: int) -> np.ndarray:
     return sample[taken]
 
 
+def _low_hashes(rows: DataFrame, share: float) -> DataFrame:
+    """About this share of the rows, those with the smallest hashes, as (v, _h, vec_id)."""
+    hashed = rows.select("v", F.xxhash64("vec_id", "v").alias("_h"), "vec_id")
+    return hashed if share >= 1 else hashed.where(F.col("_h") < F.lit(int(share * 2.0**64) - (1 << 63)))
+
+
+def _sample(rows: DataFrame, n: int) -> pa.Array:
+    """Vectors of the SAMPLE rows with the smallest hashes. Tasks send about 2 * SAMPLE rows in all, not SAMPLE each."""
+    share = 2 * SAMPLE / max(n, 1)
+    while True:
+        found = _low_hashes(rows, share).orderBy("_h", "vec_id").limit(SAMPLE).select("v").toArrow()
+        if found.num_rows == SAMPLE or share >= 1:
+            return found.column("v").combine_chunks()
+        share *= 4
+
+
 def fit_tree(rows: DataFrame, n: int) -> Tree | None:
     """Split points from SAMPLE rows with the smallest hashes (of their commonest dimension)."""
-    sample = rows.orderBy(F.xxhash64("vec_id", "v"), "vec_id").limit(SAMPLE).select("v").collect()
-    if not sample:
+    sample = _sample(rows, n)
+    if not len(sample):
         return None
-    sizes = [len(r["v"]) for r in sample]
-    dim = max(set(sizes), key=lambda d: (sizes.count(d), d))
-    x = np.array([r["v"] for r in sample if len(r["v"]) == dim], np.int64)
+    sizes = sample.value_lengths().to_numpy()
+    dims, counts = np.unique(sizes, return_counts=True)
+    dim = max(zip(counts, dims, strict=True))[1]
+    x = _matrix(sample.take(pa.array(np.flatnonzero(sizes == dim))))
     fanout = int(min(MAX_FANOUT, max(2, round((n / BLOCK) ** 0.5))))
     first = _far_apart(x, fanout)
     home = _distances(x, first).argmin(axis=1)
     return Tree(first, [_far_apart(x[home == i], fanout) for i in range(len(first))])
 
 
+def _parts(n: int) -> int:
+    """Partitions of blocks: 4 blocks each, above 128 partitions up to 64, as the driver samples keys for each of them."""
+    return max(1, min(n // (4 * BLOCK), max(128, n // (64 * BLOCK))))
+
+
 def _assigned(rows: DataFrame, tree: Tree) -> DataFrame:
     """Rows with their branch (subtree number, -1 for another dimension) and the distance to its split point."""
 
@@ -401,7 +423,7 @@ def hard_negatives(
     tree = fit_tree(rows, n)
     if tree is None:
         tree = Tree(np.zeros((0, 0), np.int64), [])
-    blocks = stored(_blocks(_assigned(rows, tree), tree, max(1, n // (4 * BLOCK)), n_positives))
+    blocks = stored(_blocks(_assigned(rows, tree), tree, _parts(n), n_positives))
     subtrees = _subtrees(blocks)
     chunks = stored(_anchors(blocks))
     positives = stored(_first(_met(_routed(chunks, tree, subtrees), blocks, tree, False, n_positives), n_positives))

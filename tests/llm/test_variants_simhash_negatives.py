@@ -231,3 +231,17 @@ def test_negatives_of_odd_rows(spark):
     df = clashing(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"))
     assert negatives_of(df) == brute_negatives(rows)
     assert negatives_of(df.where("vec_id < 0")) == Counter()
+
+
+def test_split_points_come_from_few_rows(spark, monkeypatch):
+    monkeypatch.setattr(hyperplane_tree, "SAMPLE", 16)
+    rows = spark.range(0, 4000, 1, 8).select(F.col("id").alias("vec_id"), F.array("id", F.col("id") + 1).alias("v"))
+    want = [r["v"] for r in rows.orderBy(F.xxhash64("vec_id", "v"), "vec_id").limit(16).collect()]
+    assert hyperplane_tree._sample(rows, 4000).to_pylist() == want
+    # each of the 8 tasks sent 16 rows before
+    assert 16 <= hyperplane_tree._low_hashes(rows, 2 * 16 / 4000).count() < 64
+    # copies of one hash are asked for again, and no row is asked for beyond those there are
+    copies = rows.withColumn("vec_id", F.lit(1).cast("long")).withColumn("v", F.array(F.lit(3).cast("long")))
+    assert hyperplane_tree._sample(copies, 4000).to_pylist() == [[3]] * 16
+    assert len(hyperplane_tree._sample(rows.limit(5), 5)) == 5
+    assert [hyperplane_tree._parts(n) for n in (10, 40_960, 4_000_000, 15_000_000)] == [1, 10, 128, 228]
