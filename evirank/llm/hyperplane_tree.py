@@ -344,6 +344,9 @@ def _met(routed: DataFrame, blocks: DataFrame, tree: Tree, negatives: bool, k: i
         for batch in batches:
             keep = []
             for row in batch.select(["q_ids", "q_labels", "q_data", "q_windows", "branch", "low", "high", "shortest", "longest"]).to_pylist():
+                if row["low"] is None:
+                    keep.append(False)
+                    continue
                 _, _, x, windows = _unpacked(row)
                 least, most = _envelope(windows)
                 length = np.sqrt((x.astype(float) ** 2).sum(axis=1))
@@ -354,7 +357,8 @@ def _met(routed: DataFrame, blocks: DataFrame, tree: Tree, negatives: bool, k: i
             yield batch.filter(pa.array(keep, pa.bool_())).select([*CHUNK_SCHEMA.names, "block"])
 
     about = blocks.select("block", "branch", "dim", "low", "high", "shortest", "longest")
-    left = routed.join(about, ["branch", "dim"]).mapInArrow(prune, CHUNK_DDL + ", block long")
+    # a left join is never built on the routed chunks, which the planner takes for as few as the chunks themselves
+    left = routed.join(about, ["branch", "dim"], "left").mapInArrow(prune, CHUNK_DDL + ", block long")
     rows = blocks.select("block", "n", "ids", "labels", "data")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
